@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and continues from there: the lineage ends, executors may be lost."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions by ``keys`` only where the scan has fewer partitions than the cluster has cores.
+
+    For steps that cost far more a row than moving the row does. A scan of many files or large files is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, for sessions whose workers don't find it on their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_passagemill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp" if Path("/tmp").is_dir() else None)) / "passagemill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in root.rglob("*.py"):
+            out.write(source, Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._passagemill_shipped = True
