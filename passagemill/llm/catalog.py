@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from passagemill.llm import oracles
 from passagemill.llm.budget import BudgetState, update_budget
 from passagemill.llm.encode import encode_corpus
+from passagemill.llm.language_id import document_languages, wrong_labels
 from passagemill.llm.packing import pack
 from passagemill.llm.quota import allocate, quota_sample, shortfalls, target_counts
+from passagemill.llm.sentences import sentences
 from passagemill.llm.stable import stable_sample
 from passagemill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "passages"), table(spark, sf_dir, "questions"))
+
+
 def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all passages, built from an empty state."""
     tables = (table(spark, sf_dir, t) for t in ("passages", "package", "dataset_catalog"))
@@ -50,8 +56,20 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrong_labels(document_languages(table(spark, sf_dir, "documents")))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language or languages, with places and confidence."""
+    return document_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (p3_token_budget, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers)
+    found = (
+        p2_found, p3_token_budget, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers, p8_found,
+        p8_segments,
+    )
     return {q.__name__: q for q in found}
 
 
