@@ -11,6 +11,7 @@ from passagemill.llm.budget import BudgetState, update_budget
 from passagemill.llm.encode import encode_corpus
 from passagemill.llm.language_id import document_languages, wrong_labels
 from passagemill.llm.packing import pack
+from passagemill.llm.pairs import broken_pairs
 from passagemill.llm.quota import allocate, quota_sample, shortfalls, target_counts
 from passagemill.llm.sentences import sentences
 from passagemill.llm.stable import stable_sample
@@ -19,6 +20,10 @@ from passagemill.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_pairs(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "passages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "passages"), table(spark, sf_dir, "questions"))
 
@@ -67,7 +72,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        p2_found, p3_token_budget, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers, p8_found,
+        p1_found, p2_found, p3_token_budget, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers, p8_found,
         p8_segments,
     )
     return {q.__name__: q for q in found}

@@ -67,23 +67,35 @@ _CODE = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+|<[^<>\n]{1,200}>|&#?\w{1,
 
 #: Capitalised words within a line are mostly names, which say little about the language around them.
 _NAME = regex.compile(r"(?<=[^\s])(\s+(?:[\p{P}]*))\p{Lu}[\p{Ll}\p{M}'’-]+")
+_FOREIGN_LETTER = regex.compile(r"(?!\p{Latin})\p{L}")
+_LATIN_NAME = regex.compile(r"(?=\p{Lu})\p{Latin}[\p{Latin}\p{M}'’-]*")
 _ALONE = regex.compile(r"[^\p{L}]*\p{Lu}[\p{L}\p{M}]*[^\p{L}]*")
 
 
+_MAYBE_CODE = regex.compile(r"[<&@]|://|www\.|\.(?:example|html?|com|org)\b")
+
+
 def readable(text: str) -> str:
     """The text in composed form without addresses and markup."""
-    return unicodedata.normalize("NFC", _CODE.sub(" ", text))
+    if _MAYBE_CODE.search(text):
+        text = _CODE.sub(" ", text)
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
 def nameless(sentence: str) -> str:
     """A sentence without its names; one that is nothing but a name or title becomes empty."""
     left = _NAME.sub(r"\1", sentence)
+    if not left.isascii() and len(_FOREIGN_LETTER.findall(left[:400])) >= 3:
+        left = _LATIN_NAME.sub(" ", left)
     return "" if _ALONE.fullmatch(left) else left
 
 
+_ACCENT = regex.compile("[\u0300-\u036f]+")
+
+
 def _bare(text: str) -> str:
     """Without accents, as some sources deliver it."""
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f")
+    return text if text.isascii() else _ACCENT.sub("", unicodedata.normalize("NFD", text))
 
 
 @dataclass(frozen=True)
