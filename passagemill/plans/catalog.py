@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from passagemill.plans import corpus_queries, evaluation_queries, graph_queries, sampling_queries, text_queries  # noqa: F401  (they register)
+from passagemill.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from passagemill.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "passages").groupBy("corpus_id").count()
+FLAGSHIP: Query = QUERIES["retrieve_graph"]
 
 
 def queries() -> dict[str, Query]:
