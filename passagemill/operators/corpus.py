@@ -67,3 +67,14 @@ def stated_questions(questions: DataFrame, every: int = 100) -> DataFrame:
 def question_entities(question_rows: DataFrame) -> DataFrame:
     """Names in a question, in lower case: question_no, corpus_id, entity."""
     return question_rows.select("question_no", "corpus_id", F.explode(F.array_distinct(F.transform(names_in(F.col("question")), F.lower))).alias("entity"))
+
+
+def sentence_triples(sentence_rows: DataFrame) -> DataFrame:
+    """Neighbouring names of a sentence as subject and object: corpus_id, sentence_id, subject, object.
+
+    The default for models that extract triples; its rows grow with the sentences, not with pairs of names.
+    """
+    names = F.regexp_extract_all("sentence", F.lit(NAME_PATTERN), F.lit(0))
+    pairs = F.arrays_zip(F.slice("names", 1, F.size("names") - 1).alias("subject"), F.slice("names", 2, F.size("names") - 1).alias("object"))
+    rows = sentence_rows.select("corpus_id", "sentence_id", names.alias("names")).filter(F.size("names") > 1)
+    return rows.select("corpus_id", "sentence_id", F.explode(pairs).alias("p")).select("corpus_id", "sentence_id", F.col("p.subject").alias("subject"), F.col("p.object").alias("object"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,60 @@ def propagate(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, leas
     return Propagated(total, active, trace)
 
 
+def propagate_sequential(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, least: float = 0.05, top_sentences: int = 3, rounds: int = 2) -> Propagated:
+    """Propagation entity after entity: a sentence that one entity has used is gone for those after it.
+
+    The order is fixed here: entities by score down and name, sentences by similarity down and id, a sentence's
+    entities by name. A contribution, the entity's score times the similarity, below ``least`` is dropped; weights add
+    up, while score and tier of an entity are those of its last contribution. Seeds have tier 1.
+    An entity can lose at most ``top_sentences`` choices to each entity before it, so its best
+    ``top_sentences`` x (entities of the frontier) sentences are all that is sent to the question's task.
+    """
+    keys = ["question_no", "corpus_id"]
+    frontier = weights = start_scores(seeds)
+    active = frontier.withColumn("tier", F.lit(1))
+    used = trace = None
+    for t in range(1, rounds + 1):
+        frontier = frontier.filter(F.col("score") >= least)
+        reach = frontier.join(mentions, ["corpus_id", "entity"])
+        if used is not None:
+            reach = reach.join(used, [*keys, "sentence_id"], "left_anti")
+        reach = reach.join(similarity, [*keys, "sentence_id"]).filter(F.col("sim") * F.col("score") >= least)
+        size = frontier.groupBy(*keys).agg(F.count("*").alias("n"))
+        best = Window.partitionBy(*keys, "entity").orderBy(F.desc("sim"), "sentence_id")
+        near = reach.join(size, keys).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= F.col("n") * top_sentences)
+        picked = cut(near.select(*keys, "entity", "score", "sentence_id", "sim").groupBy(*keys).applyInPandas(_take_turns(top_sentences), _PICKS))
+        now_used = picked.select(*keys, "sentence_id")
+        used = now_used if used is None else used.unionByName(now_used)
+        given = picked.withColumnRenamed("entity", "source").join(mentions, ["corpus_id", "sentence_id"])
+        step = given.select(*keys, F.lit(t).alias("round"), "turn", "sentence_id", F.col("gives").alias("sentence_score"), "source", "entity")
+        trace = step if trace is None else trace.unionByName(step)
+        gained = cut(given.groupBy(*keys, "entity").agg(F.sum("gives").alias("total"), F.max_by("gives", "turn").alias("score")))
+        weights = weights.unionByName(gained.select(*keys, "entity", F.col("total").alias("score"))).groupBy(*keys, "entity").agg(F.sum("score").alias("score"))
+        frontier = gained.select(*keys, "entity", "score")
+        active = active.join(frontier, [*keys, "entity"], "left_anti").unionByName(frontier.withColumn("tier", F.lit(t + 1)))
+    return Propagated(weights, active, trace)
+
+
+_PICKS = "question_no bigint, corpus_id string, entity string, sentence_id string, gives double, turn int"
+
+
+def _take_turns(top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Lets each entity of a question take its best unused sentences, in order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "entity", "sim", "sentence_id"], ascending=[False, True, False, True], kind="stable")
+        gone, out = set(), []
+        for _, own in rows.groupby("entity", sort=False):
+            taken = [r for r in own.itertuples() if r.sentence_id not in gone][:top]
+            for r in taken:
+                gone.add(r.sentence_id)
+                out.append((r.question_no, r.corpus_id, r.entity, r.sentence_id, r.score * r.sim, len(out)))
+        return pd.DataFrame(out, columns=["question_no", "corpus_id", "entity", "sentence_id", "gives", "turn"])
+
+    return run
+
+
 def passage_priors(
     questions: DataFrame, corpus_rows: DataFrame, similarity: DataFrame, active: DataFrame, ratio: float = 2.0, node_weight: float = 0.05
 ) -> DataFrame:

@@ -239,3 +239,54 @@ def one_hop(t: Tables) -> DataFrame:
         .select("question_no", "corpus_id", F.concat(F.lit("entity-"), F.md5(F.col("name").cast("binary"))).alias("dst")).distinct()
     )
     return G.entity_edges(mentions).join(focus, ["corpus_id", "dst"]).select("question_no", "src", "dst", F.lit("mention").alias("kind"), F.round("weight", 6).alias("weight"))
+
+
+TRIPLES = rf"""triple AS (
+  SELECT corpus_id, sentence_id, names[i] AS subject, names[i + 1] AS object FROM (
+    SELECT corpus_id, sentence_id, names, unnest(range(1, len(names))) AS i FROM (
+      SELECT corpus_id, sentence_id, regexp_extract_all(sentence, '{C.NAME_PATTERN}') AS names FROM sentence) WHERE len(names) > 1))"""
+
+
+@query(S.clauses(*BASE, S.SENTENCES, TRIPLES) + "SELECT corpus_id, sentence_id, subject, object FROM triple")
+def open_triples(t: Tables) -> DataFrame:
+    """Names that follow each other in a sentence, as subject and object."""
+    return C.sentence_triples(C.sentences(C.corpus(t.passages)))
+
+
+@query(S.clauses(*BASE, S.SENTENCES, S.QUESTIONS, S.SEEDS, TRIPLES, """
+edge AS (SELECT corpus_id, passage_id AS src, 'entity-' || md5(entity) AS dst, CAST(n AS DOUBLE) AS weight FROM mention),
+adjacent AS (SELECT corpus_id, 'entity-' || md5(subject) AS src, 'entity-' || md5(object) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM triple GROUP BY 1, 2, 3),
+prior AS (SELECT question_no, corpus_id, NULL::VARCHAR AS passage_id, 0.0 AS prior FROM asked WHERE false)""",
+S.pagerank("start"), recursive=True) + f"SELECT question_no, passage_id, round(score, 6) AS score, rank FROM (SELECT *, {TOP5} AS rank FROM rank) WHERE rank <= 5")
+def phrase_graph_retrieve(t: Tables) -> DataFrame:
+    """Retrieval over a graph of phrases: triples and mentions as edges, reset to the seeds, passages by their mass."""
+    rows = cut(C.corpus(t.passages))
+    mentions = cut(C.passage_mentions(rows))
+    asked = C.stated_questions(t.questions)
+    seeds = R.seed_entities(C.question_entities(asked), mentions)
+    entity = lambda c: F.concat(F.lit("entity-"), F.md5(F.col(c).cast("binary")))
+    links = C.sentence_triples(C.sentences(rows)).groupBy("corpus_id", entity("subject").alias("src"), entity("object").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    held = mentions.select("corpus_id", F.col("passage_id").alias("src"), entity("entity").alias("dst"), F.col("n").cast("double").alias("weight"))
+    steps = G.transitions(held.unionByName(links).join(asked.select("corpus_id").distinct(), "corpus_id", "left_semi"))
+    reset = G.reset_vector(R.start_scores(seeds).select("question_no", "corpus_id", entity("entity").alias("node_id"), F.col("score").alias("w")))
+    ranks = G.personalized_pagerank(steps, reset, 0.5, 12).filter(F.col("n").startswith("passage-"))
+    return G.top_passages(ranks.select("question_no", F.col("n").alias("passage_id"), F.col("x").alias("score"))).withColumn("score", F.round("score", 6))
+
+
+@query()
+def propagated_sequential(t: Tables) -> DataFrame:
+    """Propagation entity after entity (no SQL: the order of turns can't be stated as one)."""
+    rows = C.corpus(t.passages)
+    asked = C.stated_questions(t.questions)
+    parts = C.sentences(rows)
+    seeds = R.seed_entities(C.question_entities(asked), C.passage_mentions(rows))
+    moved = R.propagate_sequential(seeds, C.sentence_mentions(parts), R.overlap_similarity(asked, parts, "sentence_id", "sentence"))
+    return moved.active.select("question_no", "entity", F.round("score", 6).alias("score"), "tier")
+
+
+@query(S.clauses(*BASE) + r"""SELECT 'passage' AS namespace, count(DISTINCT passage_id) AS n FROM corpus UNION ALL SELECT 'entity', count(DISTINCT md5(entity)) FROM mention""")
+def store_counts(t: Tables) -> DataFrame:
+    """Distinct texts of each namespace of the embedding store."""
+    rows = C.corpus(t.passages)
+    ids = rows.select("passage_id").unionByName(C.passage_mentions(rows).select(F.concat(F.lit("entity-"), F.md5(F.col("entity").cast("binary"))).alias("passage_id"))).distinct()
+    return ids.groupBy(F.substring_index("passage_id", "-", 1).alias("namespace")).agg(F.count("*").alias("n"))
