@@ -66,7 +66,7 @@ def passage_rows(passages: DataFrame, packages: DataFrame, catalog: DataFrame) -
     )
     sources = (
         packages.groupBy("corpus_id")
-        .agg(F.max_by("source_dataset", F.when(F.col("source_dataset").isNotNull(), F.col("prepared_at"))).alias("given"))
+        .agg(F.max_by("source_dataset", F.when(F.col("source_dataset").isNotNull(), F.coalesce("prepared_at", F.timestamp_seconds(F.lit(0))))).alias("given"))
         .withColumn("key", name_key("given"))
         .join(names, "key", "left")
         .select("corpus_id", F.coalesce("clean", "key", F.lit(UNKNOWN)).alias("source_dataset"), F.coalesce("domain", F.lit(UNKNOWN)).alias("domain"))

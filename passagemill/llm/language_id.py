@@ -58,7 +58,7 @@ SWITCH_AT_RULE = 1.5
 #: From so many bytes of letters on, a stretch may be a language of its own.
 LEAST_LETTERS = 20
 
-_CUT = regex.compile(r"(?<=[.!?…։؟۔]['\"”’»)\]]*)\s+(?=\S)|(?<=[。！？｡।॥][」』”’）]*)|\s*[\n\t]+\s*|\s+[/|—–]\s+")
+_CUT = regex.compile(r"(?<=[.!?…։؟۔]['\"”’»)\]]*)\s+(?=[^\s\p{Ll}\d])|(?<=[。！？｡।॥][」』”’）]*)|\s*[\n\t]+\s*|\s+[/|—–]\s+")
 _RULE = regex.compile(r"\s[/|—–]\s|^[-*_=~]{3,}|\n\s*\n|\n[-*_=~]{3,}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 #: Not written in a language: addresses, tags, entities, file paths.

@@ -12,7 +12,7 @@ SQL = {
     "p4_found": f"""
 WITH {QUESTIONS},
 typed AS (SELECT corpus_id, type_key, count(*) AS n FROM questions_once WHERE type_key IS NOT NULL GROUP BY 1, 2),
-sizes AS (SELECT corpus_id, arg_max(sample_count, prepared_at) AS sample_count FROM package GROUP BY 1)
+sizes AS (SELECT corpus_id, arg_max(sample_count, coalesce(prepared_at, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS sample_count FROM package GROUP BY 1)
 SELECT t.corpus_id, t.question_type
 FROM sample_targets t JOIN sizes s USING (corpus_id)
 LEFT JOIN typed q ON q.corpus_id = t.corpus_id AND q.type_key = regexp_replace(lower(t.question_type), '[\\s _-]+', '', 'g')

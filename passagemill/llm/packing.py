@@ -167,6 +167,9 @@ def pack(docs: DataFrame, containers: DataFrame, key: str = "doc_id", text: str
     kinds = containers.select("container_kind", "tokenizer", F.col("capacity_tokens").cast("bigint")).distinct().take(MAX_KINDS + 1)
     if len(kinds) > MAX_KINDS or sum(k[2] for k in kinds) > MAX_CAPACITY:
         raise ValueError("too many container kinds or too large capacities")
+    kind = docs.schema[key].dataType.simpleString()
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], f"container_kind string, container_no bigint, `{key}` {kind}, part_no bigint, start_token bigint, n_tokens bigint")
     names = sorted({k[1] for k in kinds})
     specs = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(names.index(t) + 1).alias("i"), F.lit(c).alias("capacity")) for k, t, c in sorted(kinds)])
     sized = cut(token_sizes(docs, names, key, text, folder))

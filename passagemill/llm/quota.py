@@ -51,7 +51,7 @@ def target_counts(questions: DataFrame, packages: DataFrame, targets: DataFrame)
     Packages registered several times count once, by their latest ``prepared_at``. Targets without a package are
     kept with a null sample_count; nulls in target_share and min_count count as 0.
     """
-    sizes = packages.groupBy("corpus_id").agg(F.max_by("sample_count", "prepared_at").alias("sample_count"))
+    sizes = packages.groupBy("corpus_id").agg(F.max_by("sample_count", F.coalesce("prepared_at", F.timestamp_seconds(F.lit(0)))).alias("sample_count"))
     have = distinct_questions(questions).groupBy("corpus_id", "type_key").agg(F.count("*").alias("available"))
     return (
         targets.select(
