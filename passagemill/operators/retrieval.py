@@ -74,7 +74,8 @@ def propagate(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, leas
     of its entities' scores times its similarity to each of its entities. Picked sentences are used up for the question.
     """
     keys = ["question_no", "corpus_id"]
-    frontier = total = start_scores(seeds)
+    mentions, similarity = cut(mentions), cut(similarity)
+    frontier = total = cut(start_scores(seeds))
     active = frontier.withColumn("tier", F.lit(0))
     used = trace = None
     for t in range(1, rounds + 1):
@@ -109,7 +110,8 @@ def propagate_sequential(seeds: DataFrame, mentions: DataFrame, similarity: Data
     ``top_sentences`` x (entities of the frontier) sentences are all that is sent to the question's task.
     """
     keys = ["question_no", "corpus_id"]
-    frontier = weights = start_scores(seeds)
+    mentions, similarity = cut(mentions), cut(similarity)
+    frontier = weights = cut(start_scores(seeds))
     active = frontier.withColumn("tier", F.lit(1))
     used = trace = None
     for t in range(1, rounds + 1):
@@ -201,8 +203,7 @@ def prepare(questions: DataFrame, corpus_rows: DataFrame, passage_mentions: Data
         moved = Propagated(start, start.withColumn("tier", F.lit(1)), start)
     similarity = overlap_similarity(questions, corpus_rows, "passage_id", "text")
     priors = cut(passage_priors(questions, corpus_rows, similarity, cut(moved.active)))
-    mine = questions.select("corpus_id").distinct()
-    edges = entity_edges(passage_mentions).unionByName(adjacent_edges(corpus_rows)).join(mine, "corpus_id", "left_semi")
+    edges = entity_edges(passage_mentions).unionByName(adjacent_edges(corpus_rows))
     return Retrieval(questions, seeds, moved, priors, transitions(edges))
 
 

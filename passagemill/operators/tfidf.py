@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.session import cut
+
 # Words that carry no topic.
 STOP_WORDS = ("the", "a", "an", "of", "and", "or", "in", "on", "at", "to", "for", "with", "by", "from", "is", "was", "were", "are", "it", "its", "as", "than", "that", "this", "which", "who", "did", "be")
 WORDS = "[a-z0-9]{2,}"
@@ -22,13 +24,13 @@ def weights(texts: DataFrame, key: list[str], scope: list[str]) -> DataFrame:
 
     Document frequencies are counted within each scope. Texts without terms have no rows.
     """
-    tf = texts.select(*scope, *key, F.explode(terms_of(F.col("text"))).alias("term")).groupBy(*scope, *key, "term").agg(F.count("*").alias("tf"))
+    tf = cut(texts.select(*scope, *key, F.explode(terms_of(F.col("text"))).alias("term")).groupBy(*scope, *key, "term").agg(F.count("*").alias("tf")))
     n = texts.groupBy(*scope).agg(F.count("*").alias("n_texts"))
     df = tf.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     idf = df.join(n, scope).select(*scope, "term", (F.log((1 + F.col("n_texts")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, [*scope, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    length = raw.groupBy(*scope, *key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, [*scope, *key]).select(*scope, *key, "term", (F.col("w") / F.col("length")).alias("w"), "idf")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*scope, *key)))  # a text's terms, no more
+    return raw.select(*scope, *key, "term", (F.col("w") / length).alias("w"), "idf")
 
 
 def query_weights(queries: DataFrame, idf: DataFrame, key: str, scope: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from passagemill.operators.graph import top_passages
 from passagemill.operators.ranking import ranked_members
 from passagemill.operators.tfidf import STOP_WORDS, WORDS, query_weights, weights
 from passagemill.plans.registry import Tables, query
+from passagemill.session import cut
 
 CORPUS = "corpus AS (SELECT corpus_id, passage_id, min(passage_idx) AS passage_idx, min(passage) AS text FROM passages WHERE passage IS NOT NULL GROUP BY 1, 2)"
 
@@ -88,7 +89,9 @@ s AS (SELECT question_no, passage_id, sum(q.w * p.w) AS score FROM q JOIN p USIN
 SELECT question_no, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_no ORDER BY round(score, 9) DESC, passage_id) AS rank FROM s) WHERE rank <= 5""")
 def tfidf_candidates(t: Tables) -> DataFrame:
     """The five passages of each stated question's package with the nearest TF-IDF vectors."""
-    p = weights(corpus(t.passages).select("corpus_id", "passage_id", "text"), ["passage_id"], ["corpus_id"])
-    q = query_weights(stated_questions(t.questions), p.select("corpus_id", "term", "idf").distinct(), "question_no", ["corpus_id"])
+    asked = cut(stated_questions(t.questions))
+    texts = cut(corpus(t.passages).select("corpus_id", "passage_id", "text").join(asked.select("corpus_id").distinct(), "corpus_id", "left_semi"))
+    p = cut(weights(texts, ["passage_id"], ["corpus_id"]))
+    q = query_weights(asked, p.select("corpus_id", "term", "idf").distinct(), "question_no", ["corpus_id"])
     scores = q.withColumnRenamed("w", "qw").join(p.select("corpus_id", "passage_id", "term", "w"), ["corpus_id", "term"]).groupBy("question_no", "passage_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
     return top_passages(scores).withColumn("score", F.round("score", 6))

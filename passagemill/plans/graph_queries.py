@@ -100,10 +100,15 @@ def seed_entities(t: Tables) -> DataFrame:
     return R.seed_entities(asked, C.passage_mentions(C.corpus(t.passages))).withColumn("score", F.round("score", 6))
 
 
+def _asked(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stated questions, and the passages and sentences of their packages; each is computed once."""
+    asked = cut(C.stated_questions(t.questions))
+    rows = cut(C.corpus(t.passages).join(asked.select("corpus_id").distinct(), "corpus_id", "left_semi"))
+    return asked, rows, cut(C.sentences(rows))
+
+
 def _propagated(t: Tables) -> R.Propagated:
-    rows = C.corpus(t.passages)
-    asked = C.stated_questions(t.questions)
-    parts = C.sentences(rows)
+    asked, rows, parts = _asked(t)
     seeds = R.seed_entities(C.question_entities(asked), C.passage_mentions(rows))
     return R.propagate(seeds, C.sentence_mentions(parts), R.overlap_similarity(asked, parts, "sentence_id", "sentence"))
 
@@ -130,9 +135,7 @@ def propagation_trace(t: Tables) -> DataFrame:
 
 
 def _prepared(t: Tables, expand: bool = True) -> R.Retrieval:
-    rows = C.corpus(t.passages)
-    asked = C.stated_questions(t.questions)
-    parts = C.sentences(rows)
+    asked, rows, parts = _asked(t)
     return R.prepare(asked, rows, C.passage_mentions(rows), parts, C.sentence_mentions(parts), C.question_entities(asked), expand)
 
 
@@ -187,9 +190,7 @@ SELECT a.question_no, (SELECT count(*) FROM start s WHERE s.question_no = a.ques
        EXISTS (SELECT 1 FROM start s WHERE s.question_no = a.question_no) AS used_graph FROM asked a""")
 def retrieval_diagnostics(t: Tables) -> DataFrame:
     """Seeds, active and propagated entities of each stated question."""
-    rows = C.corpus(t.passages)
-    asked = C.stated_questions(t.questions)
-    parts = C.sentences(rows)
+    asked, rows, parts = _asked(t)
     seeds = R.seed_entities(C.question_entities(asked), C.passage_mentions(rows))
     moved = R.propagate(seeds, C.sentence_mentions(parts), R.overlap_similarity(asked, parts, "sentence_id", "sentence"))
     n_seeds = R.start_scores(seeds).groupBy("question_no").agg(F.count("*").alias("n_seeds"))
@@ -209,9 +210,7 @@ GRID = (0.01, 0.05, 0.1, 0.2)
     for i, d in enumerate(GRID)))
 def threshold_grid(t: Tables) -> DataFrame:
     """One factor at a time: active entities for each value of the threshold, the others fixed."""
-    rows = C.corpus(t.passages)
-    asked = C.stated_questions(t.questions)
-    said = C.sentences(rows)
+    asked, rows, said = _asked(t)
     seeds = cut(R.seed_entities(C.question_entities(asked), C.passage_mentions(rows)))
     mentions = cut(C.sentence_mentions(said))
     similarity = cut(R.overlap_similarity(asked, said, "sentence_id", "sentence"))
@@ -276,9 +275,7 @@ def phrase_graph_retrieve(t: Tables) -> DataFrame:
 @query()
 def propagated_sequential(t: Tables) -> DataFrame:
     """Propagation entity after entity (no SQL: the order of turns can't be stated as one)."""
-    rows = C.corpus(t.passages)
-    asked = C.stated_questions(t.questions)
-    parts = C.sentences(rows)
+    asked, rows, parts = _asked(t)
     seeds = R.seed_entities(C.question_entities(asked), C.passage_mentions(rows))
     moved = R.propagate_sequential(seeds, C.sentence_mentions(parts), R.overlap_similarity(asked, parts, "sentence_id", "sentence"))
     return moved.active.select("question_no", "entity", F.round("score", 6).alias("score"), "tier")
