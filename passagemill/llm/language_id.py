@@ -7,10 +7,12 @@ bounded sample of labelled documents, from which sentences that contradict their
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -44,7 +46,7 @@ FAMILY_NAMES = tuple(FAMILIES)
 PAIRS = tuple((a, b) for f in FAMILIES.values() for i, a in enumerate(f) for b in f[i + 1 :])
 
 #: Bounds of the training sample: documents of each label, and sentences of each document.
-TRAIN_DOCS, TRAIN_SENTENCES = 120, 4
+TRAIN_DOCS, TRAIN_SENTENCES = 200, 4
 #: Labels are checked by models trained without their document, in so many parts.
 FOLDS = 3
 #: A label is dropped where another language is this much likelier, as a difference of logarithms.
@@ -52,15 +54,17 @@ DOUBT = 3.0
 #: Passes over the training sentences, and the cost of a violated margin.
 EPOCHS, COST = 4, 4.0
 #: A sentence counts fully from so many bytes of letters on; the languages of neighbouring sentences differ at this cost.
-FULL_LETTERS, SWITCH = 32, 3.5
+FULL_LETTERS, SWITCH = 24, 3.5
+#: The least log posterior that counts.
+FLOOR = -8.0
 #: The cost where a rule, a slash, a dash or a blank line stands between them.
 SWITCH_AT_RULE = 1.5
 #: From so many bytes of letters on, a stretch may be a language of its own.
-LEAST_LETTERS = 20
+LEAST_LETTERS = 14
 
-_CUT = regex.compile(r"(?<=[.!?…։؟۔]['\"”’»)\]]*)\s+(?=[^\s\p{Ll}\d])|(?<=[。！？｡।॥][」』”’）]*)|\s*[\n\t]+\s*|\s+[/|—–]\s+")
+_CUT = regex.compile(r"([.!?…։؟۔]['\"”’»)\]]*)\s+(?=[^\s\p{Ll}\d])|([。！？｡।॥][」』”’）]*)|[^\S\n\t]*[\n\t]\s*|\s[/|—–]\s+")
 _RULE = regex.compile(r"\s[/|—–]\s|^[-*_=~]{3,}|\n\s*\n|\n[-*_=~]{3,}")
-_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_OTHER = re.compile(r"[\W\d_]+")
 #: Not written in a language: addresses, tags, entities, file paths.
 _CODE = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+|<[^<>\n]{1,200}>|&#?\w{1,10};|\S*\.(?:example|html?|com|org)\b\S*")
 
@@ -107,36 +111,59 @@ class LanguageModel:
     family_scale: float = 6.0
     pair_scale: float = 6.0
 
+    @cached_property
+    def parts(self) -> tuple[np.ndarray, dict[str, tuple[list[str], np.ndarray]]]:
+        """The families' columns, and each larger family's members and columns, as small tables that stay in the cache."""
+        nf = len(FAMILY_NAMES)
+        inner = {}
+        for name, languages in FAMILIES.items():
+            members = [c for c in languages if c in self.known]
+            if len(members) > 1:
+                columns = [nf + PAIRS.index((a, b)) for i, a in enumerate(members) for b in members[i + 1 :]]
+                inner[name] = (members, np.ascontiguousarray(self.table[:, columns]))
+        return np.ascontiguousarray(self.table[:, :nf]), inner
+
     def margins(self, texts: list[str]) -> np.ndarray:
         h, counts = hashed(texts)
         return sums(self.table, h, counts) / np.sqrt(np.maximum(counts, 1))[:, None]
 
     def log_posteriors(self, texts: list[str]) -> np.ndarray:
-        """For each text the log posterior of each of CODES."""
-        margins = self.margins(texts)
-        family = self.families(margins)
-        out = np.full((len(margins), len(CODES)), -1e3, np.float32)
+        """For each text the log posterior of each of CODES: families first, pairs only within likely families."""
+        h, counts = hashed(texts)
+        scale = np.sqrt(np.maximum(counts, 1))[:, None]
+        outer, inner = self.parts
+        family = self.families(sums(outer, h, counts) / scale)
+        starts = np.cumsum(counts) - counts
+        out = np.full((len(texts), len(CODES)), -1e3, np.float32)
         for j, name in enumerate(FAMILY_NAMES):
-            members = [c for c in FAMILIES[name] if c in self.known]
-            if members:
-                inner = self.within(members, margins)
-                for i, c in enumerate(members):
-                    out[:, CODES.index(c)] = family[:, j] + inner[:, i]
+            if name in inner:
+                members, table = inner[name]
+                some = np.flatnonzero(family[:, j] > FLOOR)
+                out[:, [CODES.index(c) for c in members]] = family[:, [j]] - np.log(len(members))
+                if len(some):
+                    own = np.repeat(starts[some] - np.append(0, np.cumsum(counts[some])[:-1]), counts[some]) + np.arange(counts[some].sum())
+                    found = self.within(members, sums(table, h[own], counts[some]) / scale[some])
+                    out[np.ix_(some, [CODES.index(c) for c in members])] = family[some, j][:, None] + found
+            else:
+                for c in FAMILIES[name]:
+                    if c in self.known:
+                        out[:, CODES.index(c)] = family[:, j]
         return out
 
     def families(self, margins: np.ndarray) -> np.ndarray:
-        family = self.family_scale * margins[:, : len(FAMILY_NAMES)]
+        family = self.family_scale * margins
         for j, name in enumerate(FAMILY_NAMES):
             if not set(self.known) & set(FAMILIES[name]):
                 family[:, j] = -1e3
         return family - np.logaddexp.reduce(family, axis=1, keepdims=True)
 
     def within(self, members: list[str], margins: np.ndarray) -> np.ndarray:
-        """Log posteriors among related languages, from the votes of their pairs."""
+        """Log posteriors among related languages, from the votes of their pairs, whose margins are in order."""
         votes = np.zeros((len(margins), len(members)), np.float32)
-        for i, a in enumerate(members):
-            for j, b in enumerate(members[i + 1 :], i + 1):
-                m = self.pair_scale * margins[:, len(FAMILY_NAMES) + PAIRS.index((a, b))]
+        column = iter(margins.T)
+        for i in range(len(members)):
+            for j in range(i + 1, len(members)):
+                m = self.pair_scale * next(column)
                 votes[:, i] -= np.logaddexp(0, -m)
                 votes[:, j] -= np.logaddexp(0, m)
         return votes - np.logaddexp.reduce(votes, axis=1, keepdims=True)
@@ -226,11 +253,13 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     quotes = quote_spans(text)
     opens = [q[0] for q in quotes]
     for m in _CUT.finditer(text):
-        k = bisect_right(opens, m.start()) - 1
-        if k >= 0 and m.end() < quotes[k][1]:
-            continue
-        if m.start() > start:
-            spans.append((start, m.start()))
+        end = m.end(m.lastindex) if m.lastindex else m.start()
+        if opens:
+            k = bisect_right(opens, m.start()) - 1
+            if k >= 0 and end < quotes[k][1]:
+                continue
+        if end > start:
+            spans.append((start, end))
         start = m.end()
     if start < len(text):
         spans.append((start, len(text)))
@@ -276,8 +305,11 @@ def stretches(text: str, spans: list[tuple[int, int]], letters: np.ndarray, scor
     follow their surroundings. A stretch without LEAST_LETTERS joins its longer neighbour.
     """
     weight = np.minimum(1.0, letters / FULL_LETTERS)[:, None]
-    emit = np.maximum(scores, -8.0) * weight
+    emit = np.maximum(scores, FLOOR) * weight
     n, k = emit.shape
+    tops = scores.argmax(axis=1)
+    if n == 1 or (tops == tops[0]).all():
+        return [(0, n - 1, int(tops[0]), _share(emit, int(tops[0])))]
     best = emit[0].copy()
     back = np.zeros((n, k), np.int16)
     for i in range(1, n):
@@ -313,11 +345,16 @@ def stretches(text: str, spans: list[tuple[int, int]], letters: np.ndarray, scor
         runs = merged
     out = []
     for a, b, c in runs:
-        total = emit[a : b + 1].sum(axis=0)
-        out.append((a, b, c, float(np.exp(total[c] - np.logaddexp.reduce(total)))))
+        out.append((a, b, c, _share(emit[a : b + 1], c)))
     return out
 
 
+def _share(emit: np.ndarray, code: int) -> float:
+    """The posterior of a language over some sentences."""
+    total = emit.sum(axis=0)
+    return float(np.exp(total[code] - np.logaddexp.reduce(total)))
+
+
 SEGMENTS = "seg_no bigint, start_pos bigint, end_pos bigint, lang string, confidence double"
 
 

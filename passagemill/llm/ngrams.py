@@ -71,7 +71,7 @@ def sums(table: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, "right")))
         some = np.flatnonzero(counts[a:b]) + a
         if len(some):
-            rows = table[h[starts[some[0]] : ends[some[-1]]]]
+            rows = table.take(h[starts[some[0]] : ends[some[-1]]], axis=0)
             out[some] = np.add.reduceat(rows, starts[some] - starts[some[0]], axis=0)
         a = b
     return out
