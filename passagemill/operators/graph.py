@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import content_id, leading_index
+from passagemill.operators.ordered import by_number, followers
 from passagemill.session import cut
 
 
@@ -21,13 +22,9 @@ def entity_edges(mentions: DataFrame) -> DataFrame:
 
 def adjacent_edges(corpus_rows: DataFrame) -> DataFrame:
     """Passages next to each other by leading number, gaps aside, with weight 1. Passages without a number have none."""
-    by = Window.partitionBy("corpus_id").orderBy("idx", "passage_id")
-    return (
-        corpus_rows.withColumn("idx", leading_index(F.col("text")))
-        .filter(F.col("idx").isNotNull())
-        .select("corpus_id", F.col("passage_id").alias("src"), F.lead("passage_id").over(by).alias("dst"), F.lit(1.0).alias("weight"))
-        .filter(F.col("dst").isNotNull())
-    )
+    placed = corpus_rows.withColumn("idx", leading_index(F.col("text"))).filter(F.col("idx").isNotNull())
+    pairs = followers(placed, ["corpus_id"], ["idx", "passage_id"], by_number("idx"), "passage_id", "dst")
+    return pairs.filter(F.col("dst").isNotNull()).select("corpus_id", F.col("passage_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
 
 
 def vertices(corpus_rows: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import chunk_of
+from passagemill.operators.ordered import by_digest, positions
 from passagemill.operators.sampling import seeded_key
 
 
@@ -28,8 +29,8 @@ def constructed_package(required: DataFrame, candidates: DataFrame, n_distractor
     best = Window.partitionBy("corpus_id").orderBy("sample_key", "passage_id")
     extra = rest.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n_distractors).select("corpus_id", "passage_id", F.lit("distractor").alias("role"))
     both = need.unionByName(extra).withColumn("shuffle_key", seeded_key(f"{seed}:shuffle", F.col("passage_id")))
-    order = Window.partitionBy("corpus_id").orderBy("shuffle_key", "passage_id")
-    return both.withColumn("position", F.row_number().over(order) - 1).select("corpus_id", "passage_id", "role", "position")
+    placed = positions(both, ["corpus_id"], ["shuffle_key", "passage_id"], by_digest("shuffle_key"))
+    return placed.select("corpus_id", "passage_id", "role", "position")
 
 
 def verify(packages: DataFrame, passages: DataFrame, questions: DataFrame) -> DataFrame:

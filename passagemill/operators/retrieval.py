@@ -83,11 +83,11 @@ def propagate(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, leas
         reach = frontier.join(mentions, ["corpus_id", "entity"])
         if used is not None:
             reach = reach.join(used, [*keys, "sentence_id"], "left_anti")
-        reach = reach.join(similarity, [*keys, "sentence_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+        reach = cut(reach.join(similarity, [*keys, "sentence_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))))
         best = Window.partitionBy(*keys, "entity").orderBy(F.desc("sim"), "sentence_id")
-        ranked = reach.withColumn("nth", F.row_number().over(best))
-        sums = ranked.groupBy(*keys, "sentence_id").agg(F.sum("score").alias("act"), F.max("sim").alias("sim"), F.min("nth").alias("nth"))
-        picked = cut(sums.filter(F.col("nth") <= top_sentences).select(*keys, "sentence_id", (F.col("act") * F.col("sim")).alias("w")))
+        chosen = reach.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= top_sentences).select(*keys, "sentence_id").distinct()
+        sums = reach.join(chosen, [*keys, "sentence_id"], "left_semi").groupBy(*keys, "sentence_id").agg(F.sum("score").alias("act"), F.max("sim").alias("sim"))
+        picked = cut(sums.select(*keys, "sentence_id", (F.col("act") * F.col("sim")).alias("w")))
         used = picked.select(*keys, "sentence_id") if used is None else used.unionByName(picked.select(*keys, "sentence_id"))
         passed = picked.filter(F.col("w") > 0).join(mentions, ["corpus_id", "sentence_id"])
         step = passed.select(*keys, F.lit(t).alias("round"), "sentence_id", F.col("w").alias("sentence_score"), "entity")

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.operators.ordered import by_digest, by_number, positions, running_sum
+
 
 def seeded_key(seed: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
@@ -30,8 +32,8 @@ def mersenne_positions(size: int, n: int, seed: str) -> list[int]:
 
 def shuffled(rows: DataFrame, seed: str, key: str, within: list[str]) -> DataFrame:
     """New positions from 0 within each group, in seeded order. Equal keys are ordered by the key itself."""
-    by = Window.partitionBy(*within).orderBy("shuffle_key", key)
-    return rows.withColumn("shuffle_key", seeded_key(seed, F.col(key))).withColumn("position", F.row_number().over(by) - 1)
+    keyed = rows.withColumn("shuffle_key", seeded_key(seed, F.col(key)))
+    return positions(keyed, within, ["shuffle_key", key], by_digest("shuffle_key"))
 
 
 def token_prefix(rows: DataFrame, order: str, tokens: str, target: int, within: list[str]) -> DataFrame:
@@ -39,13 +41,10 @@ def token_prefix(rows: DataFrame, order: str, tokens: str, target: int, within:
 
     Groups with fewer tokens have none of their rows kept (such a group can't reach the target).
     """
-    by = Window.partitionBy(*within).orderBy(order)
-    upto = F.sum(tokens).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = rows.groupBy(*within).agg(F.sum(tokens).alias("all_tokens"))
+    summed = running_sum(rows, within, [order], by_number(order), tokens, "upto")
     return (
-        rows.withColumn("upto", upto)
-        .join(whole.filter(F.col("all_tokens") >= target), within)
+        summed.filter(F.col("upto_all") >= target)
         .withColumn("kept_tokens", F.least(F.col(tokens), target - (F.col("upto") - F.col(tokens))))
         .filter(F.col("kept_tokens") > 0)
-        .drop("all_tokens")
+        .drop("upto_all")
     )
