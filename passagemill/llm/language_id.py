@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.llm.bounded import bounded_sample
 from passagemill.llm.languages import CODES, clean_code_column
 from passagemill.llm.naive_bayes import confirmed
 from passagemill.llm.ngrams import BITS, hashed, sums
@@ -272,15 +273,8 @@ def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang
     Labels are checked by naive Bayes models of other documents; sentences that these give to another language are
     dropped, and what is left trains the model.
     """
-    nth = Window.partitionBy("_lang").orderBy(F.xxhash64(F.col(key), F.lit("language-sample")))
-    sample = (
-        docs.select(F.col(key), F.col(text).alias("_text"), clean_code_column(F.col(label)).alias("_lang"))
-        .filter(F.col("_lang").isNotNull() & (F.length("_text") > 20))
-        .withColumn("_nth", F.row_number().over(nth))
-        .filter(F.col("_nth") <= TRAIN_DOCS)
-        .select("_lang", "_text")
-        .collect()
-    )
+    labelled = docs.select(F.col(key), F.col(text).alias("_text"), clean_code_column(F.col(label)).alias("_lang")).filter(F.length("_text") > 20)
+    sample = bounded_sample(labelled, "_lang", key, TRAIN_DOCS, "language-sample").select("_lang", "_text").collect()
     texts, labels, owners = [], [], []
     pick = np.random.default_rng(11)
     for doc, (lang, body) in enumerate(sorted((r[0], readable(r[1])) for r in sample)):

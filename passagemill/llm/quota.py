@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm.questions import distinct_questions, type_key, unit_interval
+from passagemill.session import cut
 
 #: Random keys are counted in this many equal ranges, so that a category of any size is cut without being sorted whole.
 KEY_RANGES = 4096
@@ -83,7 +84,7 @@ def quota_sample(questions: DataFrame, packages: DataFrame, targets: DataFrame,
     quotas = allocate(target_counts(questions, packages, targets)).select(
         "corpus_id", "type_key", "question_type", "quota"
     )
-    keyed = (
+    keyed = cut(
         distinct_questions(questions)
         .withColumn("random_key", unit_interval(F.lit(salt), F.col("corpus_id"), F.col("question_key")))
         .withColumn("range_no", F.floor(F.col("random_key") * KEY_RANGES).cast("int"))
