@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from passagemill.llm import oracles
 from passagemill.llm.budget import BudgetState, update_budget
@@ -15,6 +16,7 @@ from passagemill.llm.pairs import broken_pairs
 from passagemill.llm.quota import allocate, quota_sample, shortfalls, target_counts
 from passagemill.llm.sentences import sentences
 from passagemill.llm.stable import stable_sample
+from passagemill.session import cut
 from passagemill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,15 @@ def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return update_budget(BudgetState.empty(spark), *tables).cube
 
 
+def p3_token_budget_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals in two steps: the passages known by a day, then all, by signed deltas."""
+    passages, packages, names = (table(spark, sf_dir, t) for t in ("passages", "package", "dataset_catalog"))
+    early = passages.filter(F.col("loaded_at") < F.lit("2025-10-01 00:00:00").cast("timestamp"))
+    first = update_budget(BudgetState.empty(spark), early, packages, names)
+    known = BudgetState(cut(first.counts), cut(first.docs), cut(first.cube))
+    return update_budget(known, passages, packages, names).cube
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = (table(spark, sf_dir, t) for t in ("questions", "package", "sample_targets"))
     return shortfalls(*tables).select("corpus_id", "question_type")
@@ -72,7 +83,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        p1_found, p2_found, p3_token_budget, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers, p8_found,
+        p1_found, p2_found, p3_token_budget, p3_token_budget_update, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers, p8_found,
         p8_segments,
     )
     return {q.__name__: q for q in found}

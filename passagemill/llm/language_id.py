@@ -60,6 +60,8 @@ FULL_LETTERS, SWITCH = 24, 3.5
 FLOOR = -8.0
 #: The cost where a rule, a slash, a dash or a blank line stands between them.
 SWITCH_AT_RULE = 1.5
+#: What a change to a related language costs in addition, since such languages are easily taken for each other.
+RELATED = 0.8
 #: From so many bytes of letters on, a stretch may be a language of its own.
 LEAST_LETTERS = 14
 
@@ -292,6 +294,15 @@ def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang
     return fit_clean(texts, labels, owners)
 
 
+def _costs(switch: float) -> np.ndarray:
+    """The cost of going from each language to each other one."""
+    of = {c: f for f, members in FAMILIES.items() for c in members}
+    return np.array([[0.0 if a == b else switch + RELATED * (of[a] == of[b]) for b in CODES] for a in CODES], np.float32)
+
+
+_COSTS, _COSTS_AT_RULE = _costs(SWITCH), _costs(SWITCH_AT_RULE)
+
+
 def stretches(text: str, spans: list[tuple[int, int]], letters: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, int, float]]:
     """The best path of languages over a document's sentences: (first, last, language, confidence) of each stretch.
 
@@ -307,12 +318,10 @@ def stretches(text: str, spans: list[tuple[int, int]], letters: np.ndarray, scor
     best = emit[0].copy()
     back = np.zeros((n, k), np.int16)
     for i in range(1, n):
-        top = int(best.argmax())
         ruled = _RULE.search(text, spans[i - 1][1] - 1, spans[i][0] + 4)
-        change = best[top] - (SWITCH_AT_RULE if ruled else SWITCH)
-        stay = best >= change
-        back[i] = np.where(stay, np.arange(k), top)
-        best = np.where(stay, best, change) + emit[i]
+        ways = best[:, None] - (_COSTS_AT_RULE if ruled else _COSTS)
+        back[i] = ways.argmax(axis=0)
+        best = ways.max(axis=0) + emit[i]
     path = [int(best.argmax())]
     for i in range(n - 1, 0, -1):
         path.append(int(back[i, path[-1]]))
