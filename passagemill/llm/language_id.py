@@ -92,7 +92,7 @@ def readable(text: str) -> str:
 def nameless(sentence: str) -> str:
     """A sentence without its names; one that is nothing but a name or title becomes empty."""
     left = _NAME.sub(r"\1", sentence)
-    if not left.isascii() and len(_FOREIGN_LETTER.findall(left[:400])) >= 3:
+    if not left.isascii() and len(_FOREIGN_LETTER.findall(left)) >= 3:
         left = _LATIN_NAME.sub(" ", left)
     return "" if _ALONE.fullmatch(left) else left
 
