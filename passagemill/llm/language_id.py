@@ -55,13 +55,14 @@ DOUBT = 3.0
 #: Passes over the training sentences, and the cost of a violated margin.
 EPOCHS, COST = 4, 4.0
 #: A sentence counts fully from so many bytes of letters on; the languages of neighbouring sentences differ at this cost.
-FULL_LETTERS, SWITCH = 24, 3.5
-#: The least log posterior that counts.
-FLOOR = -8.0
+FULL_LETTERS, SWITCH = 24, 2.5
+#: The least log posterior that counts. Two changes must cost less than a sentence of LEAST_LETTERS can gain by it,
+#: or a single sentence between two in a related language is never found.
+FLOOR = -16.0
 #: The cost where a rule, a slash, a dash or a blank line stands between them.
 SWITCH_AT_RULE = 1.5
 #: What a change to a related language costs in addition, since such languages are easily taken for each other.
-RELATED = 0.8
+RELATED = 0.5
 #: From so many bytes of letters on, a stretch may be a language of its own.
 LEAST_LETTERS = 14
 

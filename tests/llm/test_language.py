@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from passagemill.llm.language_id import document_languages, nameless, sentences_of, wrong_labels
-from passagemill.llm.languages import clean_code
+from passagemill.llm import language_id
+from passagemill.llm.language_id import _OTHER, document_languages, fit_clean, nameless, sentences_of, stretches, wrong_labels
+from passagemill.llm.languages import CODES, clean_code
 
 PHRASES = {
     "en": ["the river guild kept three water mills", "she wrote a letter to the council about the old bridge", "nobody knew why the ferry came back so late", "the bishop and the school board lost their archive"],
@@ -78,3 +79,29 @@ def test_names_and_quotations():
     assert nameless("Orek Dalmerum") == "" and "Dalmerum" not in nameless("the mill of Orek Dalmerum was sold")
     text = 'He said "Wash hands. Wait outside." and left. Then rain.'
     assert [text[a:b] for a, b in sentences_of(text)] == ['He said "Wash hands. Wait outside." and left.', "Then rain."]
+
+
+def test_two_changes_cost_less_than_a_certain_sentence_gains():
+    most = -language_id.FLOOR * min(1, language_id.LEAST_LETTERS / language_id.FULL_LETTERS)
+    assert 2 * (language_id.SWITCH + language_id.RELATED) < most
+
+
+MIDDLES = {
+    "en": "the school wrote about the mills after the winter", "de": "der rat verkaufte nach dem winter die alte brücke",
+    "nl": "de raad verkocht na de winter het oude klooster", "es": "el consejo vendió la vieja escuela después del invierno",
+    "it": "il consiglio vendette la vecchia scuola dopo l'inverno", "ru": "епископ написал письмо о старом пароме", "uk": "єпископ написав лист про старий пором",
+}
+
+
+@pytest.mark.parametrize("around, middle", [("en", "de"), ("de", "nl"), ("nl", "en"), ("es", "it"), ("it", "es"), ("ru", "uk"), ("uk", "ru"), ("en", "es"), ("de", "ru")])
+def test_one_sentence_between_others_joined_by_spaces(around, middle):
+    """The middle sentence isn't among the sentences trained on."""
+    rng = np.random.default_rng(2)
+    train = [(" ".join(rng.choice(PHRASES[c], 2)).capitalize() + ".", c) for c in PHRASES for _ in range(30)]
+    model = fit_clean([t for t, _ in train], [c for _, c in train], list(range(len(train))))
+    text = " ".join(s.capitalize() + "." for s in (PHRASES[around][1], PHRASES[around][3], MIDDLES[middle], PHRASES[around][0], PHRASES[around][2]))
+    spans = sentences_of(text)
+    parts = [nameless(text[a:b]) for a, b in spans]
+    letters = np.array([len(_OTHER.sub("", p).encode()) for p in parts], float)
+    found = stretches(text, spans, letters, model.log_posteriors(parts))
+    assert [(a, b, CODES[c]) for a, b, c, _ in found] == [(0, 1, around), (2, 2, middle), (3, 4, around)]
