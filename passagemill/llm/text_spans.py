@@ -18,9 +18,26 @@ CLOSERS = {
 }
 _MARK = re.compile("[" + "".join(CLOSERS) + "]")
 _ANY = re.compile("[\"“„”«»「『‹]")
-#: A quotation is given up after so many characters, and where a paragraph ends.
-LONGEST_QUOTE = 600
+#: Up to so many characters on, the first closing mark ends a quotation however it stands. Later ones, up to the end of
+#: the paragraph, do so unless the quotation's own mark opens another one before, since then its end is missing.
+NEAR_QUOTE = 600
 _UNSPACED_OPEN = "「『„“«"
+_LEADS = "([{—–-:：،,"
+
+
+def _far_end(text: str, mark: str, at: int, stop: int) -> int:
+    """The place of a closing mark far from its opening one, or -1."""
+    end = stop
+    for c in CLOSERS[mark]:
+        j = text.find(c, at, end)
+        end = j if j >= 0 else end
+    if end == stop:
+        return -1
+    if mark not in CLOSERS[mark]:
+        return -1 if text.find(mark, at, end) >= 0 else end
+    before, after = text[end - 1], text[end + 1 : end + 2]
+    again = text[end] == mark and (before.isspace() or before in _LEADS) and after.strip()
+    return -1 if again else end
 
 
 def quote_spans(text: str) -> list[tuple[int, int]]:
@@ -28,6 +45,7 @@ def quote_spans(text: str) -> list[tuple[int, int]]:
     if not _ANY.search(text):
         return []
     spans, at, n = [], 0, len(text)
+    paragraph = -1
     while True:
         m = _MARK.search(text, at)
         if not m:
@@ -40,9 +58,12 @@ def quote_spans(text: str) -> list[tuple[int, int]]:
             continue
         if at >= n or (text[at].isspace() and mark not in "«"):
             continue
-        stop = text.find("\n\n", at, at + LONGEST_QUOTE)
-        stop = min(n, at + LONGEST_QUOTE) if stop < 0 else stop
+        if paragraph < at:
+            paragraph = text.find("\n\n", at)
+            paragraph = n if paragraph < 0 else paragraph
+        stop = min(paragraph, at + NEAR_QUOTE)
         ends = [j for c in CLOSERS[mark] if (j := text.find(c, at, stop)) >= 0]
-        if ends:
-            at = min(ends) + 1
+        end = min(ends) if ends else _far_end(text, mark, at, paragraph)
+        if end >= 0:
+            at = end + 1
             spans.append((i, at))
