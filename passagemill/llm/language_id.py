@@ -2,7 +2,7 @@
 
 Hierarchical discrimination: a linear model over character n-grams finds the language family, then linear support
 vector machines, one for each pair of languages of a family, separate the related ones. Both are trained here, on a
-bounded sample of labelled documents, from which sentences that contradict their label are dropped.
+bounded sample of labelled documents, whose labels are checked and corrected document by document.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.bounded import bounded_sample
 from passagemill.llm.languages import CODES, clean_code_column
-from passagemill.llm.naive_bayes import confirmed
+from passagemill.llm.naive_bayes import corrected
 from passagemill.llm.ngrams import BITS, hashed, sums
 from passagemill.llm.text_spans import quote_spans
 from passagemill.session import spread
@@ -47,30 +47,33 @@ FAMILY_NAMES = tuple(FAMILIES)
 PAIRS = tuple((a, b) for f in FAMILIES.values() for i, a in enumerate(f) for b in f[i + 1 :])
 
 #: Bounds of the training sample: documents of each label, and sentences of each document.
-TRAIN_DOCS, TRAIN_SENTENCES = 200, 4
+TRAIN_DOCS, TRAIN_SENTENCES = 400, 4
 #: Labels are checked by models trained without their document, in so many parts.
 FOLDS = 3
 #: A label is dropped where another language is this much likelier, as a difference of logarithms.
 DOUBT = 3.0
-#: Passes over the training sentences, and the cost of a violated margin.
-EPOCHS, COST = 4, 4.0
+#: Scales of margins to choose from, the share of labels taken to be wrong when one is chosen, and the scale of pairs without held-out sentences.
+SCALES, WRONG, PAIR_SCALE = tuple(2.0 * 1.15**i for i in range(16)), 0.003, 6.0
+#: Passes over the training sentences, the cost of a violated margin, and the step below which a sentence is left out of later passes.
+EPOCHS, COST, SETTLED = 5, 4.0, 0.01
 #: A sentence counts fully from so many bytes of letters on; the languages of neighbouring sentences differ at this cost.
-FULL_LETTERS, SWITCH = 24, 2.5
+FULL_LETTERS, SWITCH = 24, 0.7
 #: The least log posterior that counts. Two changes must cost less than a sentence of LEAST_LETTERS can gain by it,
 #: or a single sentence between two in a related language is never found.
-FLOOR = -16.0
+FLOOR = -8.0
 #: The cost where a rule, a slash, a dash or a blank line stands between them.
-SWITCH_AT_RULE = 1.5
+SWITCH_AT_RULE = 0.5
 #: What a change to a related language costs in addition, since such languages are easily taken for each other.
-RELATED = 0.5
-#: From so many bytes of letters on, a stretch may be a language of its own.
+RELATED = 0.1
+#: From so many bytes of letters on, a stretch may be a language of its own. Below are labels, titles and names, and
+#: what the rough cut leaves of references ("pp. 30-81).").
 LEAST_LETTERS = 14
 
 _CUT = regex.compile(r"([.!?…։؟۔]['\"”’»)\]]*)\s+(?=[^\s\p{Ll}\d])|([。！？｡।॥][」』”’）]*)|[^\S\n\t]*[\n\t]\s*|\s[/|—–]\s+")
 _RULE = regex.compile(r"\s[/|—–]\s|^[-*_=~]{3,}|\n\s*\n|\n[-*_=~]{3,}")
 _OTHER = re.compile(r"[\W\d_]+")
 #: Not written in a language: addresses, tags, entities, file paths.
-_CODE = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+|<[^<>\n]{1,200}>|&#?\w{1,10};|\S*\.(?:example|html?|com|org)\b\S*")
+_CODE = regex.compile(r"(?:\w+://|www\.)\S+|\S+@\S+|</?[A-Za-z!][^<>]*>|&#?\w+;|[\w-]+(?:\.[a-z][a-z\d-]+)+(?:/\S*)?")
 
 
 #: Capitalised words within a line are mostly names, which say little about the language around them.
@@ -80,7 +83,7 @@ _LATIN_NAME = regex.compile(r"(?=\p{Lu})\p{Latin}[\p{Latin}\p{M}'’-]*")
 _ALONE = regex.compile(r"[^\p{L}]*\p{Lu}[\p{L}\p{M}]*[^\p{L}]*")
 
 
-_MAYBE_CODE = regex.compile(r"[<&@]|://|www\.|\.(?:example|html?|com|org)\b")
+_MAYBE_CODE = regex.compile(r"[<&@]|://|\w\.[a-z][a-z\d]")
 
 
 def readable(text: str) -> str:
@@ -92,7 +95,7 @@ def readable(text: str) -> str:
 
 def nameless(sentence: str) -> str:
     """A sentence without its names; one that is nothing but a name or title becomes empty."""
-    left = _NAME.sub(r"\1", sentence)
+    left = sentence if sentence[1:].islower() else _NAME.sub(r"\1", sentence)
     if not left.isascii() and len(_FOREIGN_LETTER.findall(left)) >= 3:
         left = _LATIN_NAME.sub(" ", left)
     return "" if _ALONE.fullmatch(left) else left
@@ -113,7 +116,7 @@ class LanguageModel:
     table: np.ndarray
     known: tuple[str, ...]
     family_scale: float = 6.0
-    pair_scale: float = 6.0
+    pair_scales: tuple[float, ...] = (PAIR_SCALE,) * len(PAIRS)
 
     @cached_property
     def parts(self) -> tuple[np.ndarray, dict[str, tuple[list[str], np.ndarray]]]:
@@ -167,7 +170,7 @@ class LanguageModel:
         column = iter(margins.T)
         for i in range(len(members)):
             for j in range(i + 1, len(members)):
-                m = self.pair_scale * next(column)
+                m = self.pair_scales[PAIRS.index((members[i], members[j]))] * next(column)
                 votes[:, i] -= np.logaddexp(0, -m)
                 votes[:, j] -= np.logaddexp(0, m)
         return votes - np.logaddexp.reduce(votes, axis=1, keepdims=True)
@@ -199,14 +202,18 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray, float]], labels: list[str]) ->
     table = np.zeros((1 << BITS, y.shape[1]), np.float32)
     alpha = np.zeros_like(y)
     order = np.random.default_rng(7)
+    active = np.array([norm > 0 for _, _, norm in rows])
     for _ in range(EPOCHS):
-        for i in order.permutation(len(rows)):
+        for i in order.permutation(np.flatnonzero(active)):
             ids, x, norm = rows[i]
-            if norm:
-                w = table[ids]
-                gradient = y[i] * (x @ w) - 1 + alpha[i] * ridge[i]
-                new = np.maximum(alpha[i] - gradient / (norm + ridge[i]), 0) * (y[i] != 0)
-                table[ids] = w + np.outer(x, (new - alpha[i]) * y[i])
+            w = table[ids]
+            gradient = y[i] * (x @ w) - 1 + alpha[i] * ridge[i]
+            new = np.maximum(alpha[i] - gradient / (norm + ridge[i]), 0) * (y[i] != 0)
+            step = new - alpha[i]
+            moved = np.abs(step).max() > SETTLED
+            active[i] = moved
+            if moved:
+                table[ids] = w + np.outer(x, step * y[i])
                 alpha[i] = new
     return LanguageModel(table, tuple(sorted(set(labels))))
 
@@ -222,16 +229,24 @@ def _rows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     return rows
 
 
-def _scale(values: Callable[[float], np.ndarray]) -> float:
-    """The scale of margins under which held-out labels are most likely."""
-    return max((2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0), key=lambda s: float(np.mean(values(s))))
+def _scale(values: Callable[[float], tuple[np.ndarray, np.ndarray]]) -> float:
+    """The scale of margins under which held-out labels are most likely, if WRONG of them are wrong.
+
+    ``values`` gives, for a scale, the log posteriors of the labels and of their negations.
+    """
+
+    def fit(s: float) -> float:
+        right, wrong = values(s)
+        return float(np.mean((1 - WRONG) * right + WRONG * wrong))
+
+    return max(SCALES, key=fit)
 
 
 def fit_clean(texts: list[str], labels: list[str], docs: list[int]) -> LanguageModel:
     """Trains on the sentences whose label naive Bayes models of other documents confirm; one part sets the scales."""
-    keep = confirmed(texts, labels, docs, FOLDS, DOUBT)
-    keep = [i for i, k in enumerate(keep) if k]
-    texts, labels, docs = ([x[i] for i in keep] for x in (texts, labels, docs))
+    better = corrected(texts, labels, docs, FOLDS, DOUBT)
+    keep = [i for i, c in enumerate(better) if c is not None]
+    texts, labels, docs = ([x[i] for i in keep] for x in (texts, better, docs))
     rows = _rows(texts)
     model = _fit(rows, labels)
     test = [i for i in range(len(texts)) if docs[i] % FOLDS == 0]
@@ -243,12 +258,17 @@ def fit_clean(texts: list[str], labels: list[str], docs: list[int]) -> LanguageM
     nf = len(FAMILY_NAMES)
     right = y[:, :nf].argmax(axis=1)
 
-    def family(s: float) -> np.ndarray:
+    def family(s: float) -> tuple[np.ndarray, np.ndarray]:
         m = s * held[:, :nf]
-        return (m - np.logaddexp.reduce(m, axis=1, keepdims=True))[np.arange(len(test)), right]
+        p = (m - np.logaddexp.reduce(m, axis=1, keepdims=True))[np.arange(len(test)), right]
+        return p, np.log(np.maximum(-np.expm1(np.minimum(p, -1e-7)), 1e-30))
 
-    pairs = (y[:, nf:] * held[:, nf:])[y[:, nf:] != 0]
-    return replace(model, family_scale=_scale(family), pair_scale=_scale(lambda s: -np.logaddexp(0, -s * pairs)) if len(pairs) else 6.0)
+    scales = [PAIR_SCALE] * len(PAIRS)
+    for j in range(len(PAIRS)):
+        m = (y[:, nf + j] * held[:, nf + j])[y[:, nf + j] != 0]
+        if len(m):
+            scales[j] = _scale(lambda s, m=m: (-np.logaddexp(0, -s * m), -np.logaddexp(0, s * m)))
+    return replace(model, family_scale=_scale(family), pair_scales=tuple(scales))
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
@@ -273,8 +293,8 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
 def train_language_model(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Trains on at most TRAIN_DOCS documents of each label, chosen by hash, and TRAIN_SENTENCES sentences of each.
 
-    Labels are checked by naive Bayes models of other documents; sentences that these give to another language are
-    dropped, and what is left trains the model.
+    Labels are checked document by document by naive Bayes models of other documents (``corrected``), and what they
+    confirm or correct trains the model.
     """
     labelled = docs.select(F.col(key), F.col(text).alias("_text"), clean_code_column(F.col(label)).alias("_lang")).filter(F.length("_text") > 20)
     sample = bounded_sample(labelled, "_lang", key, TRAIN_DOCS, "language-sample").select("_lang", "_text").collect()
@@ -304,18 +324,19 @@ def _costs(switch: float) -> np.ndarray:
 _COSTS, _COSTS_AT_RULE = _costs(SWITCH), _costs(SWITCH_AT_RULE)
 
 
+def weighed(letters: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """What each sentence says for each language: its log posteriors, weighed by its letters."""
+    return np.maximum(scores, FLOOR) * np.minimum(1.0, letters / FULL_LETTERS)[:, None]
+
+
 def stretches(text: str, spans: list[tuple[int, int]], letters: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, int, float]]:
     """The best path of languages over a document's sentences: (first, last, language, confidence) of each stretch.
 
     A sentence weighs by its letters, and each change of language costs SWITCH, so names, titles and short labels
     follow their surroundings. A stretch without LEAST_LETTERS joins its longer neighbour.
     """
-    weight = np.minimum(1.0, letters / FULL_LETTERS)[:, None]
-    emit = np.maximum(scores, FLOOR) * weight
+    emit = weighed(letters, scores)
     n, k = emit.shape
-    tops = scores.argmax(axis=1)
-    if n == 1 or (tops == tops[0]).all():
-        return [(0, n - 1, int(tops[0]), _share(emit, int(tops[0])))]
     best = emit[0].copy()
     back = np.zeros((n, k), np.int16)
     for i in range(1, n):
@@ -347,16 +368,16 @@ def stretches(text: str, spans: list[tuple[int, int]], letters: np.ndarray, scor
             else:
                 merged.append(r)
         runs = merged
-    out = []
-    for a, b, c in runs:
-        out.append((a, b, c, _share(emit[a : b + 1], c)))
-    return out
+    return [(a, b, c, float(confidences(emit[a : b + 1].sum(axis=0)[None], np.array([b + 1 - a]), np.array([c]))[0])) for a, b, c in runs]
+
 
+def confidences(totals: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The posterior of a language over the ``n`` sentences that ``totals`` sums up.
 
-def _share(emit: np.ndarray, code: int) -> float:
-    """The posterior of a language over some sentences."""
-    total = emit.sum(axis=0)
-    return float(np.exp(total[code] - np.logaddexp.reduce(total)))
+    Sentences of one document err together, so their sum counts as that of the root of their number.
+    """
+    x = totals / np.sqrt(np.maximum(n, 1))[:, None]
+    return np.exp(x[np.arange(len(x)), codes] - np.logaddexp.reduce(x, axis=1))
 
 
 SEGMENTS = "seg_no bigint, start_pos bigint, end_pos bigint, lang string, confidence double"
@@ -396,14 +417,29 @@ def _label(frame: pd.DataFrame, model: LanguageModel, key: str) -> pd.DataFrame:
     letters = np.array([len(_OTHER.sub("", p).encode()) for p in parts], float)
     scores = model.log_posteriors(parts) if parts else np.zeros((0, len(CODES)))
     bounds = np.searchsorted(np.array(owner), np.arange(len(frame) + 1))
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    starts = bounds[:-1][some]
+    single = sure = lettered = whole = np.zeros(0)
+    if len(some):
+        emit = weighed(letters, scores)
+        totals = np.add.reduceat(emit, starts, axis=0)
+        whole = totals.argmax(axis=1)
+        # no path with a change gains more than each sentence's best language, less the least cost of a change
+        single = totals.max(axis=1) >= np.add.reduceat(emit.max(axis=1), starts) - min(SWITCH, SWITCH_AT_RULE)
+        lettered = np.add.reduceat(letters, starts)
+        sure = confidences(totals, np.diff(bounds)[some], whole)
+    place = {int(i): j for j, i in enumerate(some)}
     rows = []
     for i, (k, text, label) in enumerate(zip(frame[key], frame["_text"], frame["_label"])):
         a, b = bounds[i], bounds[i + 1]
-        if a == b or letters[a:b].sum() == 0:
+        j = place.get(i)
+        if j is None or lettered[j] == 0:
             rows.append((k, label, 0, 0, len(text or ""), None, 0.0))
-            continue
-        for n, (x, y, c, sure) in enumerate(stretches(text, spans[a:b], letters[a:b], scores[a:b])):
-            rows.append((k, label, n, spans[a + x][0], spans[a + y][1], CODES[c], sure))
+        elif single[j]:
+            rows.append((k, label, 0, spans[a][0], spans[b - 1][1], CODES[whole[j]], float(sure[j])))
+        else:
+            for n, (x, y, c, p) in enumerate(stretches(text, spans[a:b], letters[a:b], scores[a:b])):
+                rows.append((k, label, n, spans[a + x][0], spans[a + y][1], CODES[c], p))
     return pd.DataFrame(rows, columns=[key, "label", "seg_no", "start_pos", "end_pos", "lang", "confidence"])
 
 
