@@ -15,34 +15,47 @@ KEY_RANGES = 4096
 def allocate(counts: DataFrame) -> DataFrame:
     """Integer quotas per (corpus_id, type_key) by largest remainder, with floors and caps.
 
-    ``counts`` has target_share, min_count, sample_count and available. In this order: the share of the sample is
-    rounded down, raised to the minimum, and cut at what is available; what is left of the sample goes by one each
-    to the largest remainders; what caps left over goes to the categories with room, by the same order. Where the
-    minima alone exceed the sample, they are kept and the sample is larger. Ties go to the smaller type_key.
+    ``counts`` has target_share, min_count, sample_count and available. Each type first gets its minimum, as far as
+    questions are there. The rest of the sample is filled in proportion to the shares: a type takes part once its share
+    of the fill reaches its minimum, and stops at what is available, so what it can't take goes to the others. The
+    level of the fill at which the sample is full is found by going through the levels where a type joins or stops.
+    Shares of the fill are rounded down, and what is missing goes by one each to the largest remainders, ties to the
+    smaller type_key. So quotas add up to the sample, or to all that is available of types with a share and the minima
+    of those without, whichever is less. Where the minima alone exceed the sample they are kept, and ``minima_exceed``
+    says so. ``missing`` is what the type lacks of its rounded share or minimum. Without a package nothing is drawn.
     A package has a handful of categories, so the windows by package stay small.
     """
     by = Window.partitionBy("corpus_id")
-    order = by.orderBy(F.desc("remainder"), "type_key")
-    exact = F.col("target_share") * F.col("sample_count")
-    q = (
-        counts.withColumn("wanted", F.greatest(F.round(exact).cast("bigint"), F.col("min_count")))
-        .withColumn("base", F.greatest(F.floor(exact + F.lit(1e-9)), F.col("min_count")))
-        .withColumn("base", F.least(F.col("base"), F.col("available")))
-        .withColumn("remainder", F.when(F.col("target_share") > 0, exact - F.col("base")).otherwise(F.lit(float("-inf"))))
-        .withColumn("left", F.greatest(F.col("sample_count") - F.sum("base").over(by), F.lit(0)))
-        .withColumn("room", F.when(F.col("target_share") > 0, F.col("available") - F.col("base")).otherwise(F.lit(0)))
-    )
-    # one each to the largest remainders that have room
-    first = Window.partitionBy("corpus_id").orderBy(F.desc(F.col("room") > 0), F.desc("remainder"), "type_key")
-    q = q.withColumn("one", ((F.row_number().over(first) <= F.col("left")) & (F.col("room") > 0)).cast("bigint"))
-    q = q.withColumn("quota", F.col("base") + F.col("one")).withColumn("room", F.col("room") - F.col("one"))
-    # the rest fills the room that is left, in the same order
-    before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.col("left") - F.sum("one").over(by)
-    q = q.withColumn("quota", F.col("quota") + F.greatest(F.lit(0), F.least(F.col("room"), rest - before)))
-    return q.select(
-        "corpus_id", "type_key", "question_type", "target_share", "min_count", "sample_count", "available", "wanted",
-        F.col("quota").cast("bigint").alias("quota"),
+    share, floor, cap, size = (F.col(c) for c in ("target_share", "least", "available", "sample_count"))
+    q = counts.withColumns({
+        "wanted": F.greatest(F.round(share * size).cast("bigint"), F.col("min_count")),
+        "least": F.least(F.col("min_count"), F.col("available")),
+    }).withColumn("minima", F.sum("least").over(by))
+    joins = F.struct((floor / share).alias("level"), F.lit(0).alias("kind"), (-floor).cast("double").alias("fixed"), share.alias("slope"))
+    stops = F.struct((cap / share).alias("level"), F.lit(1).alias("kind"), cap.cast("double").alias("fixed"), (-share).alias("slope"))
+    order = by.orderBy("level", "type_key", "kind")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    full_at = F.when(F.col("slope0") > 1e-12, (size - F.col("fixed0")) / F.col("slope0")).otherwise(F.col("level"))
+    levels = (
+        q.filter(share > 0)
+        .select("corpus_id", "type_key", "sample_count", "minima", F.inline(F.array(joins, stops)))
+        .withColumns({
+            "fixed0": F.col("minima") + F.coalesce(F.sum("fixed").over(before), F.lit(0.0)),
+            "slope0": F.coalesce(F.sum("slope").over(before), F.lit(0.0)),
+            "turn": F.row_number().over(order),
+        })
+        .filter(F.col("fixed0") + F.col("slope0") * F.col("level") >= size - 1e-9)
+        .groupBy("corpus_id").agg(F.min_by(full_at, "turn").alias("full_at"))
+    )
+    exact = F.when(share > 0, F.least(F.greatest(F.coalesce(F.col("full_at") * share, cap), floor), cap)).otherwise(floor).cast("double")
+    q = q.join(levels, "corpus_id", "left").withColumn("exact", exact).withColumn("base", F.floor(F.col("exact") + 1e-9))
+    q = q.withColumn("remainder", F.round(F.col("exact") - F.col("base"), 9))
+    left = F.round(F.sum("exact").over(by)) - F.sum("base").over(by)
+    nth = F.row_number().over(by.orderBy(F.desc("remainder"), "type_key"))
+    quota = F.when(size.isNull(), F.lit(0)).otherwise(F.col("base") + (nth <= left).cast("bigint"))
+    return q.withColumn("quota", quota.cast("bigint")).select(
+        "corpus_id", "type_key", "question_type", "target_share", "min_count", "sample_count", "available", "wanted", "quota",
+        F.greatest(F.col("wanted") - F.col("available"), F.lit(0)).alias("missing"), (F.col("minima") > size).alias("minima_exceed"),
     )
 
 

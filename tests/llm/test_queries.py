@@ -33,7 +33,7 @@ def test_two_steps_give_the_same_totals(spark):
     assert once == twice
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p5_stable_sample"])
+@pytest.mark.parametrize("name", ["p4_found", "p4_quotas", "p4_sample", "p5_stable_sample"])
 def test_sql(spark, name):
     import duckdb
 
