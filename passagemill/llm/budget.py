@@ -12,10 +12,9 @@ from pyspark.sql import types as T
 
 from passagemill.llm.languages import clean_code_column
 from passagemill.llm.vocab import batch_encoder, tokenizer_hash
-from passagemill.session import spread
 
 COUNTS = "content_hash string, tokenizer_hash string, n_tokens bigint"
-DOCS = "corpus_id string, passage_idx bigint, content_hash string, source_dataset string, lang string, domain string"
+DOCS = "corpus_id string, passage_idx bigint, content_hash string, source_dataset string, lang string, domain string, tokenizer_hash string"
 CUBE = "source_dataset string, lang string, domain string, n_passages bigint, n_tokens bigint"
 SLICE = ["source_dataset", "lang", "domain"]
 #: What stands for a package without a source, a source that the catalogue lacks, and a passage without a language.
@@ -24,7 +23,7 @@ UNKNOWN, NO_LANGUAGE = "unknown", "und"
 
 @dataclass(frozen=True)
 class BudgetState:
-    """What is known so far: token counts by content, the passages counted, and the totals."""
+    """What is known so far: token counts by content and tokenizer, the passages counted and under which tokenizer, and the totals."""
 
     counts: DataFrame
     docs: DataFrame
@@ -81,16 +80,22 @@ def passage_rows(passages: DataFrame, packages: DataFrame, catalog: DataFrame) -
     )
 
 
-def count_unseen(texts: DataFrame, counts: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
-    """Token counts of the contents in ``texts`` (text) that ``counts`` lacks under this tokenizer; each is encoded once."""
-    known = counts.filter(F.col("tokenizer_hash") == tokenizer_hash(tokenizer, folder)).select("content_hash")
-    unseen = (
-        texts.filter(F.col("text").isNotNull())
-        .select(F.md5(F.col("text").cast("binary")).alias("content_hash"), "text")
-        .dropDuplicates(["content_hash"])
-        .join(known, "content_hash", "left_anti")
-    )
+def unseen_texts(passages: DataFrame, known: DataFrame) -> DataFrame:
+    """content_hash and text of the contents whose hash ``known`` lacks, each once.
+
+    Hashes are made in the scan and reduced before they are shuffled; only then is one row of each unseen content
+    fetched, so a text that fills a third of all rows moves once, and known texts don't move at all.
+    """
+    row = F.coalesce("passage_no", F.lit(-1)).alias("row")
+    hashed = passages.filter(F.col("passage").isNotNull()).select(F.md5(F.col("passage").cast("binary")).alias("content_hash"), row, F.col("passage").alias("text"))
+    first = hashed.groupBy("content_hash").agg(F.min("row").alias("row")).join(known, "content_hash", "left_anti")
+    return hashed.join(first, ["content_hash", "row"], "left_semi").dropDuplicates(["content_hash"]).select("content_hash", "text")
+
+
+def count_unseen(passages: DataFrame, counts: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+    """Token counts of the contents that ``counts`` lacks under this tokenizer; each is encoded once."""
     label = tokenizer_hash(tokenizer, folder)
+    unseen = unseen_texts(passages, counts.filter(F.col("tokenizer_hash") == label).select("content_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = batch_encoder(tokenizer, folder)
@@ -104,16 +109,20 @@ def count_unseen(texts: DataFrame, counts: DataFrame, tokenizer: str, folder: st
     return unseen.mapInArrow(run, T._parse_datatype_string(COUNTS))
 
 
-def cube_deltas(before: DataFrame, after: DataFrame, counts: DataFrame, label: str) -> DataFrame:
-    """Signed changes of the totals: passages that are new count +1, removed ones -1, changed ones both."""
+def cube_deltas(before: DataFrame, after: DataFrame, counts: DataFrame) -> DataFrame:
+    """Signed changes of the totals: passages that are new count +1, removed ones -1, changed ones both.
+
+    What is taken off was counted under the tokenizer of then, what is added under that of now. A content without a
+    count is an error, since totals would be wrong without a trace.
+    """
     fields = after.columns
     signed = after.withColumn("sign", F.lit(1)).unionByName(before.select(*fields).withColumn("sign", F.lit(-1)))
     changed = signed.groupBy(*fields).agg(F.sum("sign").alias("sign")).filter(F.col("sign") != 0)
-    sizes = counts.filter(F.col("tokenizer_hash") == label).select("content_hash", "n_tokens")
+    counted = F.coalesce("n_tokens", F.raise_error(F.concat(F.lit("no token count of "), "content_hash")).cast("bigint"))
     return (
-        changed.join(sizes, "content_hash")
+        changed.join(counts, ["content_hash", "tokenizer_hash"], "left")
         .groupBy(*SLICE)
-        .agg(F.sum("sign").alias("n_passages"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+        .agg(F.sum("sign").alias("n_passages"), F.sum(F.col("sign") * counted).alias("n_tokens"))
     )
 
 
@@ -123,14 +132,13 @@ def update_budget(
 ) -> BudgetState:
     """The state after the whole tables as they are now. Passages no longer there are taken off the totals.
 
-    Only contents without a count under this tokenizer are encoded, each once, whatever passage holds them.
+    Only contents without a count under this tokenizer are encoded, each once, whatever passage holds them. With
+    another tokenizer than before all passages change sides: the old counts go, the new ones come.
     """
-    after = passage_rows(passages, packages, catalog)
-    texts = spread(passages.select("passage"), "passage").select(F.col("passage").alias("text"))
-    counts = state.counts.unionByName(count_unseen(texts, state.counts, tokenizer, folder))
-    deltas = cube_deltas(state.docs, after, counts, tokenizer_hash(tokenizer, folder))
+    after = passage_rows(passages, packages, catalog).withColumn("tokenizer_hash", F.lit(tokenizer_hash(tokenizer, folder)))
+    counts = state.counts.unionByName(count_unseen(passages, state.counts, tokenizer, folder))
     cube = (
-        state.cube.unionByName(deltas)
+        state.cube.unionByName(cube_deltas(state.docs, after, counts))
         .groupBy(*SLICE)
         .agg(F.sum("n_passages").alias("n_passages"), F.sum("n_tokens").alias("n_tokens"))
         .filter(F.col("n_passages") != 0)

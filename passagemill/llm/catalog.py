@@ -37,10 +37,15 @@ def p3_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_token_budget_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same totals in two steps: the passages known by a day, then all, by signed deltas."""
+    """The same totals by signed deltas from another state, with additions, removals and another tokenizer in one step.
+
+    The first state was counted by another tokenizer; of it remain the passages known by a day, while those loaded
+    later stood at places that are gone since.
+    """
     passages, packages, names = (table(spark, sf_dir, t) for t in ("passages", "package", "dataset_catalog"))
-    early = passages.filter(F.col("loaded_at") < F.lit("2025-10-01 00:00:00").cast("timestamp"))
-    first = update_budget(BudgetState.empty(spark), early, packages, names)
+    late = F.col("loaded_at") >= F.lit("2025-10-01 00:00:00").cast("timestamp")
+    moved = passages.withColumn("passage_idx", F.when(late, F.col("passage_idx") + (1 << 40)).otherwise(F.col("passage_idx")))
+    first = update_budget(BudgetState.empty(spark), moved, packages, names, "byte_bpe_multi_50k")
     known = BudgetState(cut(first.counts), cut(first.docs), cut(first.cube))
     return update_budget(known, passages, packages, names).cube
 

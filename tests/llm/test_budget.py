@@ -1,6 +1,8 @@
 from collections import Counter
 from datetime import datetime
 
+import pytest
+
 from passagemill.llm.budget import BudgetState, update_budget
 from passagemill.llm.vocab import batch_encoder
 
@@ -27,8 +29,8 @@ def _cube(state):
     return {tuple(r[:3]): (r.n_passages, r.n_tokens) for r in state.cube.collect()}
 
 
-def _brute(rows):
-    size = lambda t: len(batch_encoder("byte_bpe_50k")([t])[0])
+def _brute(rows, tokenizer="byte_bpe_50k"):
+    size = lambda t: len(batch_encoder(tokenizer)([t])[0])
     source = {"c": ("hotpotqa", "encyclopedia"), "d": ("other", "unknown"), "e": ("unknown", "unknown")}
     lang = {"EN": "en", "fra": "fr", None: "und", "xx": "und"}
     once = {(r[1], r[2]): r for r in sorted(rows, key=lambda r: r[5])}
@@ -56,6 +58,26 @@ def test_totals_from_nothing_and_by_deltas(spark, tmp_path):
     assert fresh == 2  # only contents without a count are encoded
 
 
+def test_another_tokenizer_and_a_removal_in_one_step(spark):
+    packages, catalog = _tables(spark)
+    first = update_budget(BudgetState.empty(spark), spark.createDataFrame(ROWS, PASSAGES), packages, catalog, "byte_bpe_multi_50k")
+    assert _cube(first) == _brute(ROWS, "byte_bpe_multi_50k")
+    left = [r for r in ROWS if r[0] != 2] + [(7, "d", 3, "3:Le moulin, la rivière et l'école.", "fra", DAY, 1)]
+    second = update_budget(first, spark.createDataFrame(left, PASSAGES), packages, catalog)
+    assert _cube(second) == _brute(left)
+    back = update_budget(second, spark.createDataFrame(ROWS, PASSAGES), packages, catalog, "byte_bpe_multi_50k")
+    assert _cube(back) == _brute(ROWS, "byte_bpe_multi_50k")
+    assert back.counts.groupBy("content_hash", "tokenizer_hash").count().filter("count > 1").count() == 0
+
+
+def test_a_missing_count_is_an_error(spark):
+    packages, catalog = _tables(spark)
+    first = update_budget(BudgetState.empty(spark), spark.createDataFrame(ROWS, PASSAGES), packages, catalog)
+    lost = BudgetState(first.counts.filter("false"), first.docs, first.cube)
+    with pytest.raises(Exception, match="no token count"):
+        update_budget(lost, spark.createDataFrame(ROWS[3:], PASSAGES), packages, catalog).cube.collect()
+
+
 def test_same_content_is_encoded_once(spark):
     packages, catalog = _tables(spark)
     rows = [(i, "c", i, "same text", "en", DAY, 1) for i in range(20)]
