@@ -93,20 +93,6 @@ def verdict(reply: Column) -> Column:
     return F.when(F.lower(F.btrim(reply, F.lit(BLANKS))) == "correct", 1.0).otherwise(0.0)
 
 
-def json_object(reply: Column) -> Column:
-    """The JSON object in a judge's reply: without code fences, the whole or from the first to the last brace."""
-    bare = F.regexp_replace(reply, r"```(json)?", "")
-    return F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)
-
-
-def relevance_rating(reply: Column) -> Column:
-    """``score``, else ``rating``, of a judge's reply if it is a number from 0 to 2; otherwise null."""
-    body = json_object(reply)
-    given = F.coalesce(F.get_json_object(body, "$.score"), F.get_json_object(body, "$.rating"))
-    value = given.try_cast("double")
-    return F.when((value >= 0) & (value <= 2), value)
-
-
 def attribute_overlap(question: Column, passage: Column, keywords: list[str]) -> Column:
     """How many keywords occur, as substrings in lower case, in both."""
     q, p = F.lower(question), F.lower(passage)
@@ -139,6 +125,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
+def document_text(title: Column, sentences: Column) -> Column:
+    """A document made of its title, a line break and its sentences as they are; a null title counts as empty."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.array_join(sentences, ""))
+
+
+def seconds_each(seconds: Column, n: Column) -> Column:
+    """A batch's seconds over its number of questions; null for an empty batch."""
+    return F.when(n > 0, seconds / n)
+
+
+def seconds_per_million(seconds: Column, tokens: Column) -> Column:
+    """Seconds for a million tokens; null where there are none."""
+    return F.when(tokens > 0, seconds / tokens * 1e6)
+
+
 def value_slug(value: Column) -> Column:
     """A number as part of a name: the point becomes p."""
     return F.replace(value.cast("string"), F.lit("."), F.lit("p"))

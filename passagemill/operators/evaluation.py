@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,28 @@ def top_overlap(pairs: DataFrame, a: Column, b: Column, k: int = 5) -> DataFrame
     )
 
 
+def _ln_factorial(m: Column) -> Column:
+    """Logarithm of m!, exact up to 20 and by Stirling's series beyond, which errs by less than 1e-12 there."""
+    x = m.cast("double")
+    series = x * F.ln(x) - x + F.lit(0.5) * F.ln(x * (2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(m <= 20, F.ln(F.factorial(F.least(m, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def two_sided_binomial(wins: Column, losses: Column) -> Column:
     """Exact two-sided p of a fair coin for so many wins and losses; 1 where there are none.
 
-    Twice the lower tail, at most 1, summed in logarithms from the largest term's ratio.
+    Twice the lower tail, at most 1. The tail's largest term is taken from logarithms of factorials, each further term
+    from the one before; terms beyond 12 standard deviations add less than double precision holds and are left out.
     """
     n, low = wins + losses, F.least(wins, losses)
-    logs = lambda m: F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double")))
-    terms = F.transform(F.sequence(F.lit(0), low.cast("int")), lambda i: F.exp(logs(n) - logs(i) - logs(n - i) - n * F.ln(F.lit(2.0))))
-    tail = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    largest = F.exp(_ln_factorial(n) - _ln_factorial(low) - _ln_factorial(n - low) - n * math.log(2.0))
+    more = F.least(low, F.ceil(6 * F.sqrt(n.cast("double"))) + 50).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s: Column, j: Column) -> Column:
+        term = s["term"] * (low - j + 1) / (n - low + j)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    steps = F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(steps, start, add, lambda s: s["sum"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * largest * tail))

@@ -10,13 +10,17 @@ from passagemill.operators.ordered import by_digest, positions
 from passagemill.operators.sampling import seeded_key
 
 
+def document_places(corpus_rows: DataFrame) -> DataFrame:
+    """Each distinct chunk and place it comes from: text_sha256, corpus_id, passage_idx. A place is a row, so a chunk may have any number."""
+    return corpus_rows.select(F.sha2(chunk_of(F.col("text")).cast("binary"), 256).alias("text_sha256"), "corpus_id", "passage_idx").distinct()
+
+
 def documents_with_locations(corpus_rows: DataFrame) -> DataFrame:
-    """Each distinct chunk once, with the places it comes from: text_sha256, n_locations, locations (sorted)."""
-    place = F.struct("corpus_id", "passage_idx")
-    return (
-        corpus_rows.select(F.sha2(chunk_of(F.col("text")).cast("binary"), 256).alias("text_sha256"), place.alias("place"))
-        .groupBy("text_sha256").agg(F.count("*").alias("n_locations"), F.sort_array(F.collect_set("place")).alias("locations"))
-    )
+    """Each distinct chunk once, with the number of its places and packages and the first place: what adds up before the shuffle."""
+    first = F.min(F.struct("corpus_id", "passage_idx")).alias("first")
+    places = document_places(corpus_rows).groupBy("text_sha256", "corpus_id").agg(F.count("*").alias("n"), F.min("passage_idx").alias("passage_idx"))
+    found = places.groupBy("text_sha256").agg(F.sum("n").alias("n_locations"), F.count("*").alias("n_packages"), first)
+    return found.select("text_sha256", "n_locations", "n_packages", F.col("first.corpus_id").alias("first_corpus"), F.col("first.passage_idx").alias("first_idx"))
 
 
 def constructed_package(required: DataFrame, candidates: DataFrame, n_distractors: int, seed: str) -> DataFrame:

@@ -39,11 +39,11 @@ def shuffled(rows: DataFrame, seed: str, key: str, within: list[str]) -> DataFra
 def token_prefix(rows: DataFrame, order: str, tokens: str, target: int, within: list[str]) -> DataFrame:
     """The prefix of each group that holds ``target`` tokens: rows with kept_tokens, the last one cut to the rest.
 
-    Groups with fewer tokens have none of their rows kept (such a group can't reach the target).
+    Groups with fewer tokens keep all of their rows and are marked by ``short``.
     """
     summed = running_sum(rows, within, [order], by_number(order), tokens, "upto")
     return (
-        summed.filter(F.col("upto_all") >= target)
+        summed.withColumn("short", F.col("upto_all") < target)
         .withColumn("kept_tokens", F.least(F.col(tokens), target - (F.col("upto") - F.col(tokens))))
         .filter(F.col("kept_tokens") > 0)
         .drop("upto_all")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passagemill.plans import corpus_queries, evaluation_queries, graph_queries, sampling_queries, text_queries  # noqa: F401  (they register)
+from passagemill.plans import corpus_queries, evaluation_queries, graph_queries, judging_queries, sampling_queries, text_queries  # noqa: F401  (they register)
 from passagemill.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP: Query = QUERIES["retrieve_graph"]

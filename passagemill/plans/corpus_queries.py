@@ -17,13 +17,20 @@ from passagemill.session import cut
 CORPUS = "corpus AS (SELECT corpus_id, passage_id, min(passage_idx) AS passage_idx, min(passage) AS text FROM passages WHERE passage IS NOT NULL GROUP BY 1, 2)"
 
 
-@query(rf"""WITH {CORPUS} SELECT sha256(regexp_replace(text, '^\d+:', '')) AS text_sha256, count(*) AS n_locations,
-md5(array_to_string(list_sort(list_distinct(list(corpus_id || '/' || passage_idx))), ',')) AS places FROM corpus GROUP BY 1""")
+@query(rf"""WITH {CORPUS}, place AS (SELECT DISTINCT sha256(regexp_replace(text, '^\d+:', '')) AS text_sha256, corpus_id, passage_idx FROM corpus),
+first AS (SELECT text_sha256, corpus_id AS first_corpus, passage_idx AS first_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY corpus_id, passage_idx) AS nth FROM place) WHERE nth = 1)
+SELECT text_sha256, count(*) AS n_locations, count(DISTINCT corpus_id) AS n_packages, any_value(first_corpus) AS first_corpus, any_value(first_idx) AS first_idx
+FROM place JOIN first USING (text_sha256) GROUP BY 1""")
 def shared_documents(t: Tables) -> DataFrame:
-    """Distinct chunks and the places they come from."""
-    found = B.documents_with_locations(corpus(t.passages))
-    names = F.sort_array(F.transform("locations", lambda x: F.concat_ws("/", x["corpus_id"], x["passage_idx"].cast("string"))))
-    return found.select("text_sha256", "n_locations", F.md5(F.array_join(names, ",").cast("binary")).alias("places"))
+    """Distinct chunks, in how many places and packages they stand, and the first place."""
+    return B.documents_with_locations(corpus(t.passages))
+
+
+@query(rf"""WITH {CORPUS} SELECT DISTINCT sha256(regexp_replace(text, '^\d+:', '')) AS text_sha256, corpus_id, passage_idx FROM corpus""")
+def document_places(t: Tables) -> DataFrame:
+    """Distinct chunks and all places they come from, one a row."""
+    return B.document_places(corpus(t.passages))
 
 
 RANKED = """last AS (SELECT prediction_id, arg_max(struct_pack(corpus_id := corpus_id, idx := sorted_passage_idx), loaded_at) AS p FROM predictions GROUP BY 1),

@@ -146,10 +146,10 @@ CORPUS = "corpus AS (SELECT corpus_id, passage_id, min(passage_idx) AS passage_i
 
 @query(f"""WITH {LATEST}, {CORPUS}, ranked AS (SELECT prediction_id, corpus_id, gold, unnest(idx) AS passage_idx, generate_subscripts(idx, 1) AS rank FROM flat)
 SELECT r.prediction_id, min(r.rank) AS first_rank, count(*) AS n_support, min(r.rank) <= 5 AS in_top5 FROM ranked r JOIN corpus c USING (corpus_id, passage_idx)
-WHERE length(r.gold) >= 4 AND contains(lower(c.text), lower(r.gold)) GROUP BY 1""")
+WHERE trim(r.gold, E' \\t\\r\\n') <> '' AND contains(lower(c.text), lower(r.gold)) GROUP BY 1""")
 def support_ranks(t: Tables) -> DataFrame:
-    """Where in each ranking the first passage stands that holds the gold answer."""
-    rows = _latest(t, "corpus_id", "gold_answer", "sorted_passage_idx").filter(F.length("gold_answer") >= 4)
+    """Where in each ranking the first passage stands that holds the gold answer, however short; blank ones are in none."""
+    rows = _latest(t, "corpus_id", "gold_answer", "sorted_passage_idx").filter(F.btrim("gold_answer", F.lit(X.BLANKS)) != "")
     ranked = K.ranked_members(rows, "sorted_passage_idx", ["prediction_id", "corpus_id", "gold_answer"])
     held = ranked.join(corpus(t.passages).select("corpus_id", "passage_idx", "text"), ["corpus_id", "passage_idx"]).filter(F.contains(F.lower("text"), F.lower("gold_answer")))
     return held.groupBy("prediction_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("n_support")).withColumn("in_top5", F.col("first_rank") <= 5)

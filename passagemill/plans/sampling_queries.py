@@ -41,11 +41,11 @@ def shuffled_corpus(t: Tables) -> DataFrame:
 
 @query(f"""WITH {CORPUS}, sized AS (SELECT corpus_id, passage_id, passage_idx, len(regexp_extract_all(text, '\\S+')) AS tokens FROM corpus),
 upto AS (SELECT *, sum(tokens) OVER (PARTITION BY corpus_id ORDER BY passage_idx ROWS UNBOUNDED PRECEDING) AS upto, sum(tokens) OVER (PARTITION BY corpus_id) AS total FROM sized)
-SELECT corpus_id, passage_id, CAST(tokens AS BIGINT) AS tokens, CAST(least(tokens, 1000 - (upto - tokens)) AS BIGINT) AS kept_tokens FROM upto WHERE total >= 1000 AND 1000 - (upto - tokens) > 0 AND tokens > 0""")
+SELECT corpus_id, passage_id, CAST(tokens AS BIGINT) AS tokens, CAST(least(tokens, 1000 - (upto - tokens)) AS BIGINT) AS kept_tokens, total < 1000 AS short FROM upto WHERE 1000 - (upto - tokens) > 0 AND tokens > 0""")
 def token_budget_prefix(t: Tables) -> DataFrame:
-    """Each package's passages up to a thousand words, the last one cut to the rest."""
+    """Each package's passages up to a thousand words, the last one cut to the rest; packages with fewer are marked."""
     sized = corpus(t.passages).withColumn("tokens", word_count(F.col("text")))
-    return P.token_prefix(sized, "passage_idx", "tokens", 1000, ["corpus_id"]).select("corpus_id", "passage_id", "tokens", "kept_tokens")
+    return P.token_prefix(sized, "passage_idx", "tokens", 1000, ["corpus_id"]).select("corpus_id", "passage_id", "tokens", "kept_tokens", "short")
 
 
 @query("""SELECT corpus_id, question_no FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY source_index, question_no) AS nth

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
+from passagemill.operators import judging as J
 from passagemill.plans.registry import Tables, query
 
 # Keywords of questions that ask for an attribute.
@@ -57,13 +58,17 @@ def answer_extract(t: Tables) -> DataFrame:
     return _once(t).select("prediction_id", X.extract_answer(reply, "between").alias("between_markers"), X.extract_answer(reply, "after").alias("after_marker"), X.extract_answer(reply, "stripped").alias("stripped"))
 
 
-@query(rf"""SELECT prediction_id, CAST(lower(trim(pred_answer, E' \t\r\n')) = 'correct' AS DOUBLE) AS verdict,
- regexp_extract(regexp_replace(pred_answer, '```(json)?', '', 'g'), '(\{{[\s\S]*\}})', 1) AS object
-FROM {ONE} WHERE pred_answer IS NOT NULL""")
+@query(rf"""WITH bare AS (
+  SELECT prediction_id, pred_answer, trim(regexp_replace(pred_answer, '```(json)?', '', 'g'), E' \t\r\n') AS whole FROM {ONE} WHERE pred_answer IS NOT NULL),
+both_ways AS (SELECT *, regexp_extract(whole, '(\{{[\s\S]*\}})', 1) AS part FROM bare),
+found AS (SELECT *, CASE WHEN coalesce(json_type(TRY_CAST(whole AS JSON)) = 'OBJECT', false) THEN TRY_CAST(whole AS JSON)
+  WHEN coalesce(json_type(TRY_CAST(nullif(part, '') AS JSON)) = 'OBJECT', false) THEN TRY_CAST(part AS JSON) END AS object FROM both_ways)
+SELECT prediction_id, CAST(lower(trim(pred_answer, E' \t\r\n')) = 'correct' AS DOUBLE) AS verdict, object IS NOT NULL AS is_object, json_extract_string(object, '$.answer') AS answer FROM found""")
 def judge_parse(t: Tables) -> DataFrame:
-    """A judge's verdict and the JSON object in its reply."""
+    """A judge's verdict, whether its reply holds a JSON object, and the answer in that."""
     reply = F.col("pred_answer")
-    return _once(t).filter(reply.isNotNull()).select("prediction_id", X.verdict(reply).alias("verdict"), X.json_object(reply).alias("object"))
+    rows = _once(t).filter(reply.isNotNull()).select("prediction_id", X.verdict(reply).alias("verdict"), J.reply_object(reply).alias("object"))
+    return rows.select("prediction_id", "verdict", (F.to_json("object") != "{}").alias("is_object"), F.try_variant_get("object", "$.answer", "string").alias("answer"))
 
 
 @query(r"""SELECT DISTINCT passage_no, CAST(nullif(regexp_extract(trim(passage, E' \t\r\n'), '^(\d+):', 1), '') AS BIGINT) AS idx,

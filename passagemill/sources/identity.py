@@ -1,68 +1,119 @@
-"""Identities of stages by content, and what may be reused under them."""
+"""What a stage's results depend on, as short marks; and where results lie that may be used again."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
-from typing import Any
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.sources.sinks import write_atomically
+from passagemill.sources.files import exists, read_text, write_text
 
-#: Hex digits that name a stage.
-DIGITS = 20
+Fact = str | int | float | bool | None
+#: The file that says which stages a folder holds, and the folder of results under other marks.
+RECORD, OTHERS = "stages.json", "variants"
 
 
-def content_identity(value: Any) -> str:
-    """SHA-256 of a value's canonical JSON: sorted keys, no blanks, signs as they are."""
-    canonical = json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-    return hashlib.sha256(canonical.encode()).hexdigest()
+def table_fingerprint(rows: DataFrame, *columns: str) -> str:
+    """Depends on the rows of these columns, not on their order: the count and two sums of hashes, added up by Spark.
 
+    For a corpus in its order, its place is one of the columns. No task needs the whole table. Nulls and empty
+    tables have fingerprints of their own, repeated rows count as often as they come.
+    """
+    ones, twos = (F.xxhash64(*columns).cast("decimal(38,0)"), F.xxhash64(F.lit(1), *reversed(columns)).cast("decimal(38,0)"))
+    n, a, b = rows.agg(F.count("*"), F.coalesce(F.sum(ones), F.lit(0)), F.coalesce(F.sum(twos), F.lit(0))).first()
+    return f"{n}:{a}:{b}"
 
-def corpus_identity(passages: DataFrame, order: str = "passage_idx", text: str = "passage") -> str:
-    """Identity of a corpus in its order: a hash of each passage with its place, summed in two ways without sorting.
 
-    Order counts, since the place is part of what is hashed; no task needs the whole corpus.
-    """
-    one = F.xxhash64(F.col(order), F.col(text)).cast("decimal(38,0)")
-    two = F.xxhash64(F.col(text), F.col(order), F.lit(1)).cast("decimal(38,0)")
-    row = passages.agg(F.count("*").alias("n"), F.sum(one).alias("a"), F.sum(two).alias("b")).first()
-    return content_identity([row["n"], str(row["a"]), str(row["b"])])[:DIGITS]
+@dataclass(frozen=True)
+class Stage:
+    """A step of the work: its name, the facts its results depend on, and the steps before it."""
+
+    name: str
+    facts: dict[str, Fact] = field(default_factory=dict)
+    after: tuple[Stage, ...] = ()
 
+    @property
+    def mark(self) -> str:
+        """Twenty letters and figures that change with any fact, its type, or anything before."""
+        digest = hashlib.blake2b(digest_size=10)
+        for part in (self.name, *(s.mark for s in self.after)):
+            digest.update(f"{len(part)}:{part}|".encode())
+        for key in sorted(self.facts):
+            value = self.facts[key]
+            for part in (key, type(value).__name__, repr(value)):
+                digest.update(f"{len(part)}:{part}|".encode())
+        return digest.hexdigest()
 
-def stage_identity(stage: str, inputs: dict[str, Any]) -> str:
-    return content_identity({"stage": stage, "inputs": inputs})[:DIGITS]
 
+def graph_stages(corpus: str, questions: str, extractor: str, encoder: str, settings: dict[str, Fact]) -> dict[str, Stage]:
+    """Steps of the entity graph's retrieval: what each depends on, and nothing else."""
+    extraction = Stage("extraction", {"corpus": corpus, "extractor": extractor})
+    vectors = Stage("vectors", {"encoder": encoder}, (extraction,))
+    graph = Stage("graph", {}, (extraction,))
+    return {s.name: s for s in (extraction, vectors, graph, Stage("ranking", {"questions": questions, **settings}, (graph, vectors)))}
 
-def stage_identities(corpus: str, questions: str, extractor: str, encoder: str, config: dict[str, Any]) -> dict[str, str]:
-    """Extraction, embedding, graph and query; each changes with what it is made from and with nothing else."""
-    extraction = stage_identity("extraction", {"corpus": corpus, "extractor": extractor})
-    embedding = stage_identity("embedding", {"corpus": corpus, "encoder": encoder, "extraction": extraction})
-    graph = stage_identity("graph", {"extraction": extraction})
-    query = stage_identity("query", {"graph": graph, "embedding": embedding, "questions": questions, "config": config})
-    return {"extraction": extraction, "embedding": embedding, "graph": graph, "query": query}
+
+def phrase_stages(corpus: str, questions: str, extractor: str, model: str, encoder: str, settings: dict[str, Fact]) -> dict[str, Stage]:
+    """Steps of the phrase graph's retrieval: names asked for don't depend on the corpus, nor triples on the questions."""
+    names = Stage("asked_names", {"questions": questions, "extractor": extractor, "model": model})
+    triples = Stage("triples", {"corpus": corpus, "extractor": extractor, "model": model})
+    graph = Stage("phrase_graph", {"encoder": encoder}, (triples,))
+    return {s.name: s for s in (names, triples, graph, Stage("phrase_ranking", {"questions": questions, **settings}, (graph, names)))}
 
 
 class RunConflict(ValueError):
-    """A run id that was used with other inputs."""
+    """A folder that holds the results of other inputs."""
+
+
+def _recorded(spark: SparkSession, folder: str) -> dict[str, str] | None:
+    record = f"{folder}/{RECORD}"
+    return json.loads(read_text(spark, record)) if exists(spark, record) else None
 
 
-def claim(folder: str, payload: dict[str, Any]) -> bool:
-    """Takes a folder for a payload: False if it holds the same payload already, an error if it holds another."""
-    manifest = Path(folder) / "manifest.json"
-    if manifest.exists():
-        if json.loads(manifest.read_text(encoding="utf-8")).get("sha256") != content_identity(payload):
-            raise RunConflict(folder)
-        return False
-    write_atomically(json.dumps({"sha256": content_identity(payload), "inputs": payload}, ensure_ascii=False, indent=2), str(manifest))
-    return True
+def _write(spark: SparkSession, folder: str, stages: dict[str, Stage]) -> None:
+    write_text(spark, json.dumps({n: s.mark for n, s in sorted(stages.items())}, indent=1), f"{folder}/{RECORD}")
 
 
-def resolve(root: str, stage: str, inputs: dict[str, Any]) -> tuple[str, bool]:
-    """The folder of a stage with these inputs, and whether it is complete already."""
-    folder = Path(root) / stage / stage_identity(stage, inputs)
-    done = (folder / "_SUCCESS").exists() or (folder / "data" / "_SUCCESS").exists()
-    return str(folder), done
+def take(spark: SparkSession, folder: str, stages: dict[str, Stage]) -> bool:
+    """Takes a folder for these stages: False if it is theirs already, an error if it belongs to others."""
+    known = _recorded(spark, folder)
+    if known is None:
+        _write(spark, folder, stages)
+        return True
+    if known != {n: s.mark for n, s in stages.items()}:
+        raise RunConflict(folder)
+    return False
+
+
+def place_of(spark: SparkSession, root: str, stage: Stage) -> tuple[str, bool]:
+    """The folder of a stage's results, and whether Spark finished writing them."""
+    folder = f"{root}/{stage.name}/{stage.mark}"
+    return folder, exists(spark, f"{folder}/_SUCCESS")
+
+
+def settle(spark: SparkSession, root: str, stages: dict[str, Stage], shared: str = "extraction") -> tuple[str, str]:
+    """Where these stages' results belong, and how that was found.
+
+    ``same``: the root holds exactly these stages. ``upgraded``: it holds some of them and nothing else, so its record
+    is completed. ``new``: nothing was there. ``variant``: the root holds others; the results belong in a folder
+    below it, to which the table ``shared`` is copied if its stage is the same one.
+    """
+    known, marks = _recorded(spark, root), {n: s.mark for n, s in stages.items()}
+    if known is None:
+        _write(spark, root, stages)
+        return root, "new"
+    if known == marks:
+        return root, "same"
+    if all(marks.get(n) == m for n, m in known.items()):
+        _write(spark, root, stages)
+        return root, "upgraded"
+    folder = f"{root}/{OTHERS}/{Stage('all', {}, tuple(stages.values())).mark}"
+    if _recorded(spark, folder) == marks:
+        return folder, "same"
+    if known.get(shared) == marks.get(shared) and exists(spark, f"{root}/{shared}/_SUCCESS") and not exists(spark, f"{folder}/{shared}"):
+        spark.read.parquet(f"{root}/{shared}").write.parquet(f"{folder}/{shared}")
+    _write(spark, folder, stages)
+    return folder, "variant"

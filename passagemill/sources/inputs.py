@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import functools
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions.text import numbered
+from passagemill.sources.files import exists
 
 QUESTION_SCHEMA = "id string, question string, answer string, question_type string, evidence array<string>"
 FIXTURE_SCHEMA = "passages array<string>, question string, expected_answer string, adjustment_reason string"
@@ -62,11 +62,18 @@ def read_embeddings(spark: SparkSession, path: str, namespace: str | None = None
 def usage_totals(spark: SparkSession, path: str) -> DataFrame:
     """Token sums of a JSON lines log; a missing file counts as zeros."""
     sums = [F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return spark.range(0).select(F.lit(None).cast(USAGE_SCHEMA.split("usage ")[1]).alias("usage")).agg(*sums)
     return spark.read.schema(USAGE_SCHEMA).json(path).agg(*sums)
 
 
+def usage_increment(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What two snapshots of totals, each one row, differ by."""
+    names = ("prompt_tokens", "completion_tokens", "total_tokens")
+    signed = after.select(*names).unionByName(before.select(*[(-F.col(c)).alias(c) for c in names]))
+    return signed.agg(*[F.sum(c).alias(c) for c in names])
+
+
 def pending(items: DataFrame, done: DataFrame, key: str, complete: F.Column) -> DataFrame:
     """Items without a complete result yet."""
     return items.join(done.filter(complete).select(key).distinct(), key, "left_anti")

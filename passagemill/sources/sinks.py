@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from pathlib import Path
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.sources.files import exists, write_text
+
 #: Rows that a report on the driver's side may have.
 MAX_REPORT_ROWS = 100_000
 
 
-def append_missing(rows: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key the Parquet store lacks, each key once; returns how many. Nothing is rewritten."""
+def append_missing(rows: DataFrame, path: str, key: str, derive: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Appends rows whose key the Parquet store lacks, each key once; returns how many. Nothing is rewritten.
+
+    ``derive`` adds what is computed of a row; it is given only the rows that the store lacks.
+    """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates([key])
-    if _exists(spark, path):
+    if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    fresh = fresh.persist()
+    fresh = (fresh if derive is None else derive(fresh)).persist()
     try:
         n = fresh.count()
         if n:
@@ -39,19 +42,15 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_atomically(content: str, path: str) -> None:
-    """A small file on the driver's side that is there whole or not at all."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        out.write(content)
-    os.replace(name, target)
+def write_extraction(passage_mentions: DataFrame, sentence_mentions: DataFrame, folder: str) -> None:
+    """Results of an extraction: entities of passages and entities of sentences, each a table that replaces the last one."""
+    passage_mentions.write.mode("overwrite").parquet(f"{folder}/passage_entities")
+    sentence_mentions.write.mode("overwrite").parquet(f"{folder}/sentence_entities")
 
 
 def write_json_report(rows: DataFrame, path: str) -> None:
     """A small result as one JSON array; more than MAX_REPORT_ROWS is an error."""
-    write_atomically(json.dumps([json.loads(r) for r in _small(rows.toJSON().take(MAX_REPORT_ROWS + 1))], ensure_ascii=False, indent=2), path)
+    write_text(rows.sparkSession, json.dumps([json.loads(r) for r in _small(rows.toJSON().take(MAX_REPORT_ROWS + 1))], ensure_ascii=False, indent=2), path)
 
 
 def write_csv_report(rows: DataFrame, path: str) -> None:
@@ -59,7 +58,7 @@ def write_csv_report(rows: DataFrame, path: str) -> None:
     found = _small(rows.take(MAX_REPORT_ROWS + 1))
     cell = lambda v: "" if v is None else f'"{str(v).replace(chr(34), chr(34) * 2)}"' if any(c in str(v) for c in ',"\n') else str(v)
     lines = [",".join(rows.columns), *(",".join(cell(v) for v in r) for r in found)]
-    write_atomically("﻿" + "\n".join(lines) + "\n", path)
+    write_text(rows.sparkSession, "﻿" + "\n".join(lines) + "\n", path)
 
 
 def _xml(text: F.Column) -> F.Column:
@@ -82,10 +81,10 @@ def write_graph(vertices: DataFrame, edges: DataFrame, folder: str) -> None:
     """GraphML in parts: head, the vertices' and edges' lines, tail; concatenated in this order they are one document."""
     head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="content" for="node" attr.name="content" attr.type="string"/><key id="weight" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="undirected">'
     lines = graph_document(vertices, edges)
-    write_atomically(head + "\n", f"{folder}/0-head")
+    write_text(vertices.sparkSession, head + "\n", f"{folder}/0-head")
     lines.filter("part = 1").select("line").write.mode("errorifexists").text(f"{folder}/1-nodes")
     lines.filter("part = 2").select("line").write.mode("errorifexists").text(f"{folder}/2-edges")
-    write_atomically("</graph></graphml>\n", f"{folder}/3-tail")
+    write_text(vertices.sparkSession, "</graph></graphml>\n", f"{folder}/3-tail")
 
 
 def _small(found: list) -> list:
@@ -93,8 +92,3 @@ def _small(found: list) -> list:
         raise ValueError(f"a report of more than {MAX_REPORT_ROWS} rows")
     return found
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -27,8 +27,7 @@ def upsert_texts(
 
     def take(batch: DataFrame, _: int) -> None:
         rows = batch.filter(F.col(text).isNotNull()).select(content_id(namespace, F.col(text)).alias("hash_id"), F.col(text).alias("text"))
-        fresh = rows if derive is None else derive(rows)
-        append_missing(fresh, store, "hash_id")
+        append_missing(rows, store, "hash_id", derive)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

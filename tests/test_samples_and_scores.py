@@ -25,7 +25,8 @@ def test_token_prefix_cuts_the_last_chunk(spark):
     rows = spark.createDataFrame([("c", i, 4) for i in range(3)], "corpus_id string, pos int, tokens int")
     got = [r.kept_tokens for r in P.token_prefix(rows, "pos", "tokens", 10, ["corpus_id"]).orderBy("pos").collect()]
     assert got == [4, 4, 2]
-    assert P.token_prefix(rows, "pos", "tokens", 13, ["corpus_id"]).count() == 0
+    short = P.token_prefix(rows, "pos", "tokens", 13, ["corpus_id"]).collect()
+    assert [r.kept_tokens for r in short] == [4, 4, 4] and all(r.short for r in short)
 
 
 def test_scores_leave_nan_out(spark):
@@ -36,7 +37,7 @@ def test_scores_leave_nan_out(spark):
 
 
 def test_exact_two_sided_p(spark):
-    pairs = [(0, 0), (1, 9), (5, 5), (30, 70), (0, 12)]
+    pairs = [(0, 0), (1, 9), (5, 5), (30, 70), (0, 12), (14, 16), (21, 20), (480, 520), (2000, 2100)]
     rows = spark.createDataFrame(pairs, "w bigint, l bigint").select("w", "l", E.two_sided_binomial(F.col("w"), F.col("l")).alias("p")).collect()
     for r in rows:
         n, k = r.w + r.l, min(r.w, r.l)
@@ -54,8 +55,8 @@ def test_rankings(spark):
 
 def test_packages(spark):
     rows = spark.createDataFrame([("c", f"p{i}", i, f"{i}:text {i % 4}") for i in range(12)], "corpus_id string, passage_id string, passage_idx bigint, text string")
-    shared = {r.n_locations for r in B.documents_with_locations(rows).collect()}
-    assert shared == {3}
+    shared = {(r.n_locations, r.n_packages, r.first_corpus) for r in B.documents_with_locations(rows).collect()}
+    assert shared == {(3, 1, "c")} and B.document_places(rows.unionByName(rows)).count() == 12
     built = B.constructed_package(rows.limit(2), rows, 3, "s").collect()
     assert sorted(r.position for r in built) == list(range(5)) and sum(r.role == "required" for r in built) == 2
     assert B.new_texts(rows.limit(5), rows.unionByName(rows), "passage_id").count() == 7

@@ -8,6 +8,7 @@ from passagemill.functions import models as M
 from passagemill.sources import identity as I
 from passagemill.sources import inputs as N
 from passagemill.sources import sinks as K
+from passagemill.sources.files import exists, tree_bytes
 from passagemill.streaming.upsert import hourly_arrivals, passage_stream, upsert_texts
 
 
@@ -31,6 +32,10 @@ def test_usage_and_pending(spark, tmp_path):
     assert N.usage_totals(spark, str(log)).first().total_tokens == 0
     log.write_text('{"model":"m","usage":{"prompt_tokens":3,"completion_tokens":2,"total_tokens":5}}\n{"model":"m","usage":null}\n')
     assert N.usage_totals(spark, str(log)).first().total_tokens == 5
+    assert N.usage_totals(spark, log.as_uri()).first().total_tokens == 5
+    before, after = N.usage_totals(spark, str(tmp_path / "none")), N.usage_totals(spark, log.as_uri())
+    assert N.usage_increment(before, after).first().prompt_tokens == 3 and N.usage_increment(after, after).first().total_tokens == 0
+    assert tree_bytes(spark, tmp_path.as_uri()) >= log.stat().st_size
     items, done = spark.range(4), spark.createDataFrame([(0, True), (1, False)], "id bigint, whole boolean")
     assert sorted(r.id for r in N.pending(items, done, "id", F.col("whole")).collect()) == [1, 2, 3]
 
@@ -43,7 +48,11 @@ def test_stores_and_reports(spark, tmp_path):
         K.write_new(rows, store)
     K.write_csv_report(spark.createDataFrame([("x,y", None), ('q"', "1")], "task string, value string"), str(tmp_path / "r.csv"))
     assert (tmp_path / "r.csv").read_text(encoding="utf-8") == '﻿task,value\n"x,y",\n"q""",1\n'
+    K.write_json_report(rows, (tmp_path / "r.json").as_uri())
     K.write_json_report(rows, str(tmp_path / "r.json"))
+    for _ in range(2):
+        K.write_extraction(rows, rows.limit(1), (tmp_path / "extraction").as_uri())
+    assert spark.read.parquet(str(tmp_path / "extraction/sentence_entities")).count() == 1
     assert len(json.loads((tmp_path / "r.json").read_text())) == 3
     nodes = spark.createDataFrame([("n1", 'a<&"'), ("n2", None)], "node_id string, content string")
     K.write_graph(nodes, spark.createDataFrame([("n1", "n2", 0.5)], "src string, dst string, weight double"), str(tmp_path / "g"))
@@ -57,15 +66,38 @@ def test_stores_and_reports(spark, tmp_path):
 def test_identities(spark, tmp_path):
     a = spark.createDataFrame([(0, "x"), (1, "y")], "passage_idx bigint, passage string")
     b = spark.createDataFrame([(0, "y"), (1, "x")], "passage_idx bigint, passage string")
-    assert I.corpus_identity(a) == I.corpus_identity(a.repartition(3)) != I.corpus_identity(b)
-    one = I.stage_identities("c", "q", "e", "m", {"k": 5})
-    two = I.stage_identities("c", "q", "e", "m2", {"k": 5})
-    assert one["extraction"] == two["extraction"] and one["graph"] == two["graph"] and one["query"] != two["query"]
-    assert I.claim(str(tmp_path), {"a": 1}) and not I.claim(str(tmp_path), {"a": 1})
-    with pytest.raises(I.RunConflict):
-        I.claim(str(tmp_path), {"a": 2})
-    folder, done = I.resolve(str(tmp_path), "graph", {"c": 1})
-    assert not done and folder.endswith(I.stage_identity("graph", {"c": 1}))
+    mark = lambda x: I.table_fingerprint(x, "passage_idx", "passage")
+    assert mark(a) == mark(a.repartition(3)) != mark(b)
+    assert mark(a.filter("false")) != mark(a)
+    one = I.graph_stages("c", "q", "e", "m", {"k": 5})
+    two = I.graph_stages("c", "q", "e", "m2", {"k": 5})
+    assert one["extraction"].mark == two["extraction"].mark and one["graph"].mark == two["graph"].mark and one["ranking"].mark != two["ranking"].mark
+    assert I.Stage("a", {"k": 1}).mark != I.Stage("a", {"k": "1"}).mark != I.Stage("a", {"k": True}).mark
+    phrases = I.phrase_stages("c", "q", "e", "m", "v", {})
+    other = I.phrase_stages("c2", "q", "e", "m", "v", {})
+    assert phrases["asked_names"].mark == other["asked_names"].mark and phrases["triples"].mark != other["triples"].mark
+    for path in (str(tmp_path / "run"), (tmp_path / "run2").as_uri()):
+        assert I.take(spark, path, one) and not I.take(spark, path, one)
+        with pytest.raises(I.RunConflict):
+            I.take(spark, path, two)
+    folder, done = I.place_of(spark, str(tmp_path), one["graph"])
+    assert not done and folder.endswith(one["graph"].mark)
+    a.write.parquet(folder)
+    assert I.place_of(spark, tmp_path.as_uri(), one["graph"])[1]
+
+
+def test_folders_are_used_again(spark, tmp_path):
+    root = tmp_path.as_uri() + "/cache"
+    one, two = (I.graph_stages("c", "q", "e", m, {"k": 5}) for m in ("m", "m2"))
+    assert I.settle(spark, root, {"extraction": one["extraction"]}) == (root, "new")
+    assert I.settle(spark, root, one) == (root, "upgraded") and I.settle(spark, root, one) == (root, "same")
+    spark.range(3).write.parquet(f"{root}/extraction")
+    folder, how = I.settle(spark, root, two)
+    assert how == "variant" and folder != root and spark.read.parquet(f"{folder}/extraction").count() == 3
+    assert I.settle(spark, root, two) == (folder, "same")
+    different = I.graph_stages("c2", "q", "e", "m", {"k": 5})
+    folder, _ = I.settle(spark, root, different)
+    assert not exists(spark, f"{folder}/extraction")
 
 
 def _fails_once(calls={}):  # noqa: B006
