@@ -48,10 +48,18 @@ def _ln_factorial(m: Column) -> Column:
 def two_sided_binomial(wins: Column, losses: Column) -> Column:
     """Exact two-sided p of a fair coin for so many wins and losses; 1 where there are none.
 
-    Twice the lower tail, at most 1. The tail's largest term is taken from logarithms of factorials, each further term
-    from the one before; terms beyond 12 standard deviations add less than double precision holds and are left out.
+    Twice the lower tail, at most 1. Up to 50 tosses binomial numbers are added up, which doubles hold exactly. Beyond,
+    the tail's largest term is taken from logarithms of factorials, each further term from the one before; terms beyond
+    12 standard deviations add less than double precision holds and are left out.
     """
     n, low = wins + losses, F.least(wins, losses)
+    few = F.sequence(F.lit(0), F.least(low, F.lit(25)).cast("int"))
+
+    def count(s: Column, i: Column) -> Column:
+        term = F.when(i == 0, 1.0).otherwise(s["term"] * (n - i + 1) / F.greatest(i, F.lit(1)))
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    whole = F.aggregate(few, F.struct(F.lit(0.0).alias("term"), F.lit(0.0).alias("sum")), count, lambda s: s["sum"]) / F.pow(F.lit(2.0), n)
     largest = F.exp(_ln_factorial(n) - _ln_factorial(low) - _ln_factorial(n - low) - n * math.log(2.0))
     more = F.least(low, F.ceil(6 * F.sqrt(n.cast("double"))) + 50).cast("int")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
@@ -62,4 +70,4 @@ def two_sided_binomial(wins: Column, losses: Column) -> Column:
 
     steps = F.when(more > 0, F.sequence(F.lit(1), more)).otherwise(F.array().cast("array<int>"))
     tail = F.aggregate(steps, start, add, lambda s: s["sum"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * largest * tail))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 50, whole).otherwise(largest * tail)))

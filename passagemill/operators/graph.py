@@ -55,10 +55,12 @@ def reset_vector(weights: DataFrame) -> DataFrame:
 def personalized_pagerank(steps: DataFrame, reset: DataFrame, damping: float = 0.5, iterations: int = 20, cut_every: int = 5) -> DataFrame:
     """Ranks of all questions at once: question_no, corpus_id, n, x after ``iterations`` of x' = d P x + (1 - d) r.
 
-    The error is at most damping ** iterations. Each step is one join with the transitions on (corpus_id, node) and one
-    aggregation; lineage is cut every few steps by a checkpoint in the shared folder. Mass at nodes without edges is lost.
+    The error is at most damping ** iterations, 1e-6 by default. Each step is one join with the transitions on
+    (corpus_id, node) and one aggregation. The transitions are partitioned for that join once, before the first step;
+    lineage is cut every few steps by a checkpoint in the shared folder. Mass at nodes without edges is lost.
     """
-    steps = cut(steps.select("corpus_id", F.col("u").alias("n"), "v", "p"))
+    parts = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = cut(steps.select("corpus_id", F.col("u").alias("n"), "v", "p").repartition(parts, "corpus_id", "n"))
     reset = cut(reset)
     base = reset.select("question_no", "corpus_id", "n", (F.col("r") * (1 - damping)).alias("x"))
     x = reset.select("question_no", "corpus_id", "n", F.col("r").alias("x"))

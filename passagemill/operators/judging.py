@@ -52,9 +52,10 @@ def valid_classifications(value: Column, evidence: Column) -> Column:
         lambda x: F.struct(_text(x, "$.statement").alias("statement"), F.coalesce(_text(x, "$.reason"), F.lit("None")).alias("reason"), _attributed(x).alias("attributed")),
     )
     kept = F.filter(fields, lambda x: F.array_contains(evidence, x["statement"]))
-    names = F.transform(kept, lambda x: x["statement"])
-    first = F.filter(kept, lambda x, i: F.array_position(names, x["statement"]) == i + 1)
-    return F.when(F.size(first) > 0, first)
+    none = F.array().cast(f"array<{CLASSIFICATION}>")
+    again = lambda seen, x: F.exists(seen, lambda s: s["statement"] == x["statement"])
+    first = F.aggregate(kept, none, lambda seen, x: F.when(again(seen, x), seen).otherwise(F.concat(seen, F.array(x).cast(f"array<{CLASSIFICATION}>"))))
+    return F.nullif(first, none)
 
 
 def single_classification(value: Column, statement: Column) -> Column:

@@ -155,37 +155,73 @@ def _take_turns(top: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _around_blanks(text: Column) -> Column:
+    """All places of a text with a blank between two signs on either side, overlapping ones too."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?=(\S\S \S\S))"), F.lit(1)))
+
+
+def names_inside(corpus_rows: DataFrame, names: DataFrame) -> DataFrame:
+    """corpus_id, passage_id, entity, n: which names (corpus_id, entity) occur in which passages, in lower case.
+
+    Names and passages meet on what stands around a name's first blank, so a passage is only searched for names that
+    share such a place with it; names without one are searched in all passages of their package.
+    """
+    keyed = names.select("corpus_id", "entity", F.lower("entity").alias("low")).withColumn("around", F.nullif(F.regexp_extract("low", r"(\S\S \S\S)", 1), F.lit("")))
+    texts = corpus_rows.select("corpus_id", "passage_id", F.lower("text").alias("text"))
+    places = texts.select("corpus_id", "passage_id", F.explode(_around_blanks(F.col("text"))).alias("around"))
+    pairs = places.join(keyed.filter(F.col("around").isNotNull()), ["corpus_id", "around"]).select("corpus_id", "passage_id", "entity", "low")
+    rest = texts.select("corpus_id", "passage_id").join(keyed.filter(F.col("around").isNull()), "corpus_id").select("corpus_id", "passage_id", "entity", "low")
+    found = texts.join(pairs.unionByName(rest), ["corpus_id", "passage_id"]).filter(F.contains("text", "low"))
+    return found.select("corpus_id", "passage_id", "entity", occurrences(F.col("text"), F.col("low")).alias("n"))
+
+
+def sparse_priors(
+    questions: DataFrame, corpus_rows: DataFrame, similarity: DataFrame, active: DataFrame, ratio: float = 2.0, node_weight: float = 0.05
+) -> DataFrame:
+    """The priors of ``passage_priors`` that aren't 0: passages with similarity or bonus.
+
+    The least similarity of a package is 0 unless all of its passages have one, so a passage without similarity is
+    scaled to 0. Only where all passages are alike, which makes each of them 1, has a question a row for each.
+    """
+    keys = ["question_no", "corpus_id"]
+    sizes = corpus_rows.groupBy("corpus_id").agg(F.count("*").alias("n_all"))
+    known = similarity.groupBy(*keys).agg(F.count("*").alias("n"), F.min("sim").alias("least"), F.max("sim").alias("high"))
+    bounds = questions.select(*keys).join(sizes, "corpus_id").join(known, keys, "left").withColumn("high", F.coalesce("high", F.lit(0.0)))
+    bounds = cut(bounds.select(*keys, F.when(F.col("n") == F.col("n_all"), F.col("least")).otherwise(0.0).alias("low"), "high"))
+    alike = F.col("low") == F.col("high")
+    scaled = similarity.select(*keys, "passage_id", "sim").join(bounds.filter(~alike), keys).select(*keys, "passage_id", "sim", min_max(F.col("sim"), F.col("low"), F.col("high")).alias("part"))
+    flat = bounds.filter(alike).join(corpus_rows.select("corpus_id", "passage_id"), "corpus_id").select(*keys, "passage_id", F.col("low").alias("sim"), F.lit(1.0).alias("part"))
+    inside = names_inside(corpus_rows, active.select("corpus_id", "entity").distinct())
+    gain = F.col("score") * F.log1p("n") / F.greatest(F.col("tier"), F.lit(1))
+    bonus = active.join(inside, ["corpus_id", "entity"]).groupBy(*keys, "passage_id").agg(F.sum(gain).alias("bonus"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    prior = (F.lit(ratio) * zero("part") + F.log1p(zero("bonus"))) * node_weight
+    both = scaled.unionByName(flat).join(bonus, [*keys, "passage_id"], "full_outer")
+    return both.select(*keys, "passage_id", zero("sim").alias("sim"), prior.alias("prior"))
+
+
 def passage_priors(
     questions: DataFrame, corpus_rows: DataFrame, similarity: DataFrame, active: DataFrame, ratio: float = 2.0, node_weight: float = 0.05
 ) -> DataFrame:
     """Prior of every passage of a question's package: (ratio * scaled similarity + ln(1 + bonus)) * node_weight.
 
     The bonus sums, over active entities that occur in the passage in lower case, score * ln(1 + count) / max(tier, 1).
-    Counts are taken once per package and distinct entity, whatever number of questions has it active.
     """
+    return every_passage(questions, corpus_rows, sparse_priors(questions, corpus_rows, similarity, active, ratio, node_weight))
+
+
+def every_passage(questions: DataFrame, corpus_rows: DataFrame, priors: DataFrame) -> DataFrame:
+    """Sparse priors with a row of zeros for each other passage of a question's package."""
     every = questions.select("question_no", "corpus_id").join(corpus_rows.select("corpus_id", "passage_id"), "corpus_id")
-    sims = every.join(similarity, ["question_no", "corpus_id", "passage_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    bounds = sims.groupBy("question_no").agg(F.min("sim").alias("low"), F.max("sim").alias("high"))
-    wanted = active.select("corpus_id", "entity").distinct()
-    count = occurrences(F.lower(F.col("text")), F.lower(F.col("entity")))
-    inside = (
-        corpus_rows.select("corpus_id", "passage_id", "text").join(wanted, "corpus_id").filter(F.contains(F.lower("text"), F.lower("entity")))
-        .select("corpus_id", "passage_id", "entity", count.alias("n"))
-    )
-    bonus = (
-        active.join(inside, ["corpus_id", "entity"])
-        .groupBy("question_no", "passage_id")
-        .agg(F.sum(F.col("score") * F.log1p("n") / F.greatest(F.col("tier"), F.lit(1))).alias("bonus"))
-    )
-    prior = (F.lit(ratio) * min_max(F.col("sim"), F.col("low"), F.col("high")) + F.log1p(F.coalesce("bonus", F.lit(0.0)))) * node_weight
-    return sims.join(bounds, "question_no").join(bonus, ["question_no", "passage_id"], "left").select("question_no", "corpus_id", "passage_id", "sim", prior.alias("prior"))
+    return every.join(priors, ["question_no", "corpus_id", "passage_id"], "left").fillna(0.0, ["sim", "prior"])
 
 
 @dataclass(frozen=True)
 class Retrieval:
-    """All relations of one retrieval, for its ablations and diagnostics."""
+    """All relations of one retrieval, for its ablations and diagnostics. The priors are the sparse ones."""
 
     questions: DataFrame
+    corpus: DataFrame
     seeds: DataFrame
     propagated: Propagated
     priors: DataFrame
@@ -202,12 +238,12 @@ def prepare(questions: DataFrame, corpus_rows: DataFrame, passage_mentions: Data
         start = start_scores(seeds)
         moved = Propagated(start, start.withColumn("tier", F.lit(1)), start)
     similarity = overlap_similarity(questions, corpus_rows, "passage_id", "text")
-    priors = cut(passage_priors(questions, corpus_rows, similarity, cut(moved.active)))
+    priors = cut(sparse_priors(questions, corpus_rows, cut(similarity), cut(moved.active)))
     edges = entity_edges(passage_mentions).unionByName(adjacent_edges(corpus_rows))
-    return Retrieval(questions, seeds, moved, priors, transitions(edges))
+    return Retrieval(questions, corpus_rows, seeds, moved, priors, transitions(edges))
 
 
-def rank_by_graph(r: Retrieval, damping: float = 0.5, iterations: int = 12) -> DataFrame:
+def rank_by_graph(r: Retrieval, damping: float = 0.5, iterations: int = 20) -> DataFrame:
     """PageRank mass of passages, personalized by entity weights and passage priors: question_no, passage_id, score."""
     seeded = r.seeds.select("question_no").distinct()
     entities = r.propagated.weights.select("question_no", "corpus_id", content_id("entity", F.col("entity")).alias("node_id"), F.col("score").alias("w"))
@@ -216,11 +252,16 @@ def rank_by_graph(r: Retrieval, damping: float = 0.5, iterations: int = 12) -> D
     return ranks.filter(F.col("n").startswith("passage-")).select("question_no", F.col("n").alias("passage_id"), F.col("x").alias("score"))
 
 
-def retrieve(r: Retrieval, k: int = 5, damping: float = 0.5, iterations: int = 12) -> DataFrame:
+def retrieve(r: Retrieval, k: int = 5, damping: float = 0.5, iterations: int = 20) -> DataFrame:
     """The k best passages of each question and the path they came by.
 
     Questions with seeds are ranked by the graph, the others by similarity alone; the two scores can't be compared.
     """
     graph = top_passages(rank_by_graph(r, damping, iterations), k).withColumn("path", F.lit("graph"))
-    dense = r.priors.join(r.seeds.select("question_no").distinct(), "question_no", "left_anti")
-    return graph.unionByName(top_passages(dense.select("question_no", "passage_id", F.col("sim").alias("score")), k).withColumn("path", F.lit("dense")))
+    unseeded = r.questions.select("question_no", "corpus_id").join(r.seeds.select("question_no").distinct(), "question_no", "left_anti")
+    similar = r.priors.join(unseeded.select("question_no"), "question_no", "left_semi").select("question_no", "passage_id", F.col("sim").alias("score"))
+    # where fewer than k passages have a similarity, those without are ranked by id: the first 2k are enough
+    by_id = Window.partitionBy("corpus_id").orderBy("passage_id")
+    first = r.corpus.select("corpus_id", "passage_id", F.row_number().over(by_id).alias("nth")).filter(F.col("nth") <= 2 * k)
+    others = unseeded.join(first, "corpus_id").select("question_no", "passage_id").join(similar, ["question_no", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return graph.unionByName(top_passages(similar.unionByName(others), k).withColumn("path", F.lit("dense")))

@@ -115,7 +115,7 @@ prior AS (
 """
 
 
-def pagerank(entity_weights: str, damping: float = 0.5, iterations: int = 12) -> str:
+def pagerank(entity_weights: str, damping: float = 0.5, iterations: int = 20) -> str:
     """``rank``: PageRank mass of all nodes, reset to ``entity_weights`` and the passage priors of seeded questions."""
     return f"""
 both_ways AS (

@@ -145,7 +145,8 @@ TOP5 = """ROW_NUMBER() OVER (PARTITION BY question_no ORDER BY score DESC, passa
 @query(S.clauses(*RETRIEVAL, S.propagation(), S.priors()) + "SELECT question_no, passage_id, round(sim, 6) AS sim, round(prior, 6) AS prior FROM prior")
 def passage_priors(t: Tables) -> DataFrame:
     """Prior of every passage of a stated question's package."""
-    return _prepared(t).priors.select("question_no", "passage_id", F.round("sim", 6).alias("sim"), F.round("prior", 6).alias("prior"))
+    r = _prepared(t)
+    return R.every_passage(r.questions, r.corpus, r.priors).select("question_no", "passage_id", F.round("sim", 6).alias("sim"), F.round("prior", 6).alias("prior"))
 
 
 @query(S.clauses(*RETRIEVAL, S.propagation(), S.priors()) + f"""
@@ -153,7 +154,8 @@ SELECT question_no, passage_id, round(score, 6) AS score, rank FROM (
   SELECT question_no, passage_id, prior AS score, row_number() OVER (PARTITION BY question_no ORDER BY prior DESC, passage_id) AS rank FROM prior) WHERE rank <= 5""")
 def ablation_no_pagerank(t: Tables) -> DataFrame:
     """Ranking by the prior alone."""
-    scores = _prepared(t).priors.select("question_no", "passage_id", F.col("prior").alias("score"))
+    r = _prepared(t)
+    scores = R.every_passage(r.questions, r.corpus, r.priors).select("question_no", "passage_id", F.col("prior").alias("score"))
     return G.top_passages(scores).withColumn("score", F.round("score", 6))
 
 
@@ -268,7 +270,7 @@ def phrase_graph_retrieve(t: Tables) -> DataFrame:
     held = mentions.select("corpus_id", F.col("passage_id").alias("src"), entity("entity").alias("dst"), F.col("n").cast("double").alias("weight"))
     steps = G.transitions(held.unionByName(links).join(asked.select("corpus_id").distinct(), "corpus_id", "left_semi"))
     reset = G.reset_vector(R.start_scores(seeds).select("question_no", "corpus_id", entity("entity").alias("node_id"), F.col("score").alias("w")))
-    ranks = G.personalized_pagerank(steps, reset, 0.5, 12).filter(F.col("n").startswith("passage-"))
+    ranks = G.personalized_pagerank(steps, reset, 0.5, 20).filter(F.col("n").startswith("passage-"))
     return G.top_passages(ranks.select("question_no", F.col("n").alias("passage_id"), F.col("x").alias("score"))).withColumn("score", F.round("score", 6))
 
 

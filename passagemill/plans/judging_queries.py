@@ -62,10 +62,11 @@ def judged_retrieval(t: Tables) -> DataFrame:
     clean = F.filter("evidence", lambda e: e.isNotNull() & (F.btrim(e, F.lit(X.BLANKS)) != ""))
     items = J.attach_gold(results.select("prediction_id", "corpus_id", "key"), known, ["corpus_id", "key"]).withColumn("evidence", clean)
     items = items.join(shown, "prediction_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    replies = items.select(
-        "prediction_id", "evidence", J.reply_object(J.default_judge(F.col("context"), F.col("evidence"))).alias("found"),
-        *[J.reply_object(J.default_relevance(F.col("context"), F.col("answer"), n)).alias(n) for n in ("score", "rating")],
+    texts = items.select(
+        "prediction_id", "evidence", J.default_judge(F.col("context"), F.col("evidence")).alias("found"),
+        *[J.default_relevance(F.col("context"), F.col("answer"), n).alias(n) for n in ("score", "rating")],
     )
+    replies = texts.select("prediction_id", "evidence", *[J.reply_object(F.col(n)).alias(n) for n in ("found", "score", "rating")])
     valid = replies.select("prediction_id", "evidence", F.array(J.rating(F.col("score")), J.rating(F.col("rating"))).alias("ratings"), J.valid_classifications(F.col("found"), F.col("evidence")).alias("classified"))
     scores = valid.select("prediction_id", *J.evaluation(F.col("ratings"), F.col("classified"), F.col("evidence")))
     return scores.withColumn("evidence_recall", F.round("evidence_recall", 6))
