@@ -12,6 +12,22 @@ BLANKS = " \t\r\n"
 CONTEXT_CHARS = 20_000
 
 
+def _case_pairs() -> tuple[str, str]:
+    """Capitals of the Latin, Greek and Cyrillic blocks whose small letter is one sign, and these, in the same order."""
+    blocks = ((0x41, 0x24F), (0x370, 0x52F))
+    upper = [chr(c) for a, b in blocks for c in range(a, b + 1) if len(chr(c).lower()) == 1 and chr(c).lower() != chr(c)]
+    return "".join(upper), "".join(c.lower() for c in upper)
+
+
+#: Capitals and their small letters, one by one: lower case without rules for places in words, the same in any engine.
+CAPITALS, SMALL = _case_pairs()
+
+
+def fold(text: Column) -> Column:
+    """Small letters for the capitals of Latin, Greek and Cyrillic, sign by sign."""
+    return F.translate(text, CAPITALS, SMALL)
+
+
 def content_id(namespace: str, text: Column) -> Column:
     """Identity of a text: the namespace and the MD5 of its UTF-8 bytes; null stays null."""
     return F.concat(F.lit(f"{namespace}-"), F.md5(text.cast("binary")))

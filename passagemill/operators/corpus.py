@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.text import chunk_of, content_id, occurrences
+from passagemill.functions.text import chunk_of, content_id, fold, occurrences
 
 #: The default extractor of names: two words in ASCII letters that begin with capitals.
 NAME_PATTERN = "[A-Z][a-z]+ [A-Z][a-z]+"
 #: The default splitter into sentences: closing marks before blanks, and line breaks.
 SENTENCE_BREAK = "[.!?]+\\s+|\\n+"
-#: The default tokens: words of at least four ASCII letters in lower case.
-TOKEN_PATTERN = "[a-z]{4,}"
+#: The default tokens: words of at least four letters of scripts with spaces, and pairs of signs of those without.
+WORD_TOKENS, UNSPACED = r"[\p{L}\p{M}]{4,}", r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 
 
 def names_in(text: Column) -> Column:
@@ -20,7 +20,10 @@ def names_in(text: Column) -> Column:
 
 
 def tokens_in(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0)))
+    """Distinct tokens of a text in any script."""
+    spaced = F.regexp_replace(fold(text), f"[{UNSPACED}]+", " ")
+    pairs = F.regexp_extract_all(text, F.lit(f"(?=([{UNSPACED}]{{2}}))"), F.lit(1))
+    return F.array_distinct(F.concat(F.regexp_extract_all(spaced, F.lit(WORD_TOKENS), F.lit(0)), pairs))
 
 
 def corpus(passages: DataFrame) -> DataFrame:

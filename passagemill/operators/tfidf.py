@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagemill.functions.text import fold
 from passagemill.session import cut
 
-# Words that carry no topic.
-STOP_WORDS = ("the", "a", "an", "of", "and", "or", "in", "on", "at", "to", "for", "with", "by", "from", "is", "was", "were", "are", "it", "its", "as", "than", "that", "this", "which", "who", "did", "be")
-WORDS = "[a-z0-9]{2,}"
+# English words that carry no topic.
+STOP_WORDS = tuple("""
+a about above across after again against all almost along already also although always am among an and another any are around as at
+back be became because become been before behind being below between both but by
+can cannot could did do does done down during each either else enough even ever every
+few first for from further get give go had has have he hence her here hers him his how however
+i if in indeed into is it its itself just last least less made many may me might mine more most much must my
+neither never next no nobody none nor not nothing now of off often on once one only onto or other others our out over own
+per perhaps please put rather same see seem several she should since so some such
+than that the their them then there these they this those though through thus to together too toward two
+under until up upon us very was we well were what when where whether which while who whole whom whose why will with within without would yet you your
+""".split())
+WORDS = r"[\p{L}\p{M}\p{N}_]{2,}"
 
 
 def terms_of(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Words of at least two signs in lower case without stop words, and pairs of neighbours among those."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: ~w.isin(*stop_words))
+    """Words of at least two letters, marks or figures of any script in lower case without stop words, and pairs of neighbours among those."""
+    words = F.filter(F.regexp_extract_all(fold(text), F.lit(WORDS), F.lit(0)), lambda w: ~w.isin(*stop_words))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
     return F.concat(words, pairs)
 

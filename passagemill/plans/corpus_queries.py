@@ -10,7 +10,8 @@ from passagemill.operators.corpus import corpus, stated_questions
 from passagemill.operators.evaluation import latest
 from passagemill.operators.graph import top_passages
 from passagemill.operators.ranking import ranked_members
-from passagemill.operators.tfidf import STOP_WORDS, WORDS, query_weights, weights
+from passagemill.operators.tfidf import query_weights, weights
+from passagemill.plans.fragments import folded
 from passagemill.plans.registry import Tables, query
 from passagemill.session import cut
 
@@ -79,17 +80,30 @@ def last_prediction(t: Tables) -> DataFrame:
     )
 
 
-LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
+# English words that carry no topic, stated once more for the check.
+NO_TOPIC = """a about above across after again against all almost along already also although always am among an and another any are around as at back be
+became because become been before behind being below between both but by can cannot could did do does done down during each either else enough even ever
+every few first for from further get give go had has have he hence her here hers him his how however i if in indeed into is it its itself just last least
+less made many may me might mine more most much must my neither never next no nobody none nor not nothing now of off often on once one only onto or other
+others our out over own per perhaps please put rather same see seem several she should since so some such than that the their them then there these they
+this those though through thus to together too toward two under until up upon us very was we well were what when where whether which while who whole whom
+whose why will with within without would yet you your"""
+LIST = ", ".join(f"'{w}'" for w in NO_TOPIC.split())
 TERMS = f"list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
-WORDS_OF = f"list_filter(regexp_extract_all(lower(%s), '{WORDS}'), lambda x: x NOT IN ({LIST}))"
+
+
+def words_of(text: str) -> str:
+    return f"list_filter(regexp_extract_all({folded(text)}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({LIST}))"
+
+
 
 
 @query(f"""WITH {CORPUS}, asked AS (SELECT question_no, min(corpus_id) AS corpus_id, min(question) AS question FROM questions WHERE question_no % 100 = 0 AND question IS NOT NULL GROUP BY 1),
-tf AS (SELECT corpus_id, passage_id, term, count(*) AS tf FROM (SELECT corpus_id, passage_id, unnest({TERMS}) AS term FROM (SELECT corpus_id, passage_id, {WORDS_OF % 'text'} AS w FROM corpus)) GROUP BY 1, 2, 3),
+tf AS (SELECT corpus_id, passage_id, term, count(*) AS tf FROM (SELECT corpus_id, passage_id, unnest({TERMS}) AS term FROM (SELECT corpus_id, passage_id, {words_of('text')} AS w FROM corpus)) GROUP BY 1, 2, 3),
 idf AS (SELECT corpus_id, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf JOIN (SELECT corpus_id, CAST(count(*) AS DOUBLE) AS n FROM corpus GROUP BY 1) USING (corpus_id) GROUP BY corpus_id, term, n),
 raw AS (SELECT corpus_id, passage_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (corpus_id, term)),
 p AS (SELECT corpus_id, passage_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY corpus_id, passage_id)) AS w FROM raw),
-qtf AS (SELECT question_no, corpus_id, term, count(*) AS tf FROM (SELECT question_no, corpus_id, unnest({TERMS}) AS term FROM (SELECT question_no, corpus_id, {WORDS_OF % 'question'} AS w FROM asked)) GROUP BY 1, 2, 3),
+qtf AS (SELECT question_no, corpus_id, term, count(*) AS tf FROM (SELECT question_no, corpus_id, unnest({TERMS}) AS term FROM (SELECT question_no, corpus_id, {words_of('question')} AS w FROM asked)) GROUP BY 1, 2, 3),
 qraw AS (SELECT question_no, corpus_id, term, (1 + ln(tf)) * idf AS w FROM qtf JOIN idf USING (corpus_id, term)),
 q AS (SELECT question_no, corpus_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY question_no, corpus_id)) AS w FROM qraw),
 s AS (SELECT question_no, passage_id, sum(q.w * p.w) AS score FROM q JOIN p USING (corpus_id, term) GROUP BY 1, 2)

@@ -1,6 +1,23 @@
 """SQL of the relations that many checks share, as WITH clauses. It states the same relations as the operators do."""
 
-from passagemill.operators.corpus import NAME_PATTERN, TOKEN_PATTERN
+# What the operators take for names and tokens, stated once more for the checks.
+NAME_PATTERN = "[A-Z][a-z]+ [A-Z][a-z]+"
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+_UPPER = "".join(chr(c) for c in [*range(65, 592), *range(880, 1328)] if chr(c).lower() != chr(c) and len(chr(c).lower()) == 1)
+_LOWER = "".join(c.lower() for c in _UPPER)
+
+
+def folded(text: str) -> str:
+    """Latin, Greek and Cyrillic capitals made small, sign by sign."""
+    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+
+
+def tokens(text: str) -> str:
+    """Words of four letters or more where there are spaces, and pairs of signs in scripts without."""
+    words = f"regexp_extract_all(regexp_replace({folded(text)}, '[{UNSPACED}]+', ' ', 'g'), '[\\p{{L}}\\p{{M}}]{{4,}}')"
+    runs = f"regexp_extract_all({text}, '[{UNSPACED}]{{2,}}')"
+    return f"list_distinct(list_concat({words}, flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))"
+
 
 CORPUS = """
 corpus AS (
@@ -57,13 +74,12 @@ start AS (SELECT question_no, corpus_id, entity, max(score) AS score FROM seed G
 
 def similarity(name: str, texts: str, key: str, text: str) -> str:
     """Token-set cosines between the stated questions and texts of their package."""
-    tokens = f"list_distinct(regexp_extract_all(lower(%s), '{TOKEN_PATTERN}'))"
     return f"""
 {name} AS (
   SELECT question_no, corpus_id, {key}, count(*) / sqrt(CAST(nq * np AS DOUBLE)) AS sim FROM (
-    SELECT question_no, corpus_id, len(t) AS nq, unnest(t) AS token FROM (SELECT question_no, corpus_id, {tokens % "question"} AS t FROM asked)) q
+    SELECT question_no, corpus_id, len(t) AS nq, unnest(t) AS token FROM (SELECT question_no, corpus_id, {tokens("question")} AS t FROM asked)) q
   JOIN (
-    SELECT corpus_id, {key}, len(t) AS np, unnest(t) AS token FROM (SELECT corpus_id, {key}, {tokens % text} AS t FROM {texts})) p
+    SELECT corpus_id, {key}, len(t) AS np, unnest(t) AS token FROM (SELECT corpus_id, {key}, {tokens(text)} AS t FROM {texts})) p
   USING (corpus_id, token) GROUP BY question_no, corpus_id, {key}, nq, np)
 """
 
