@@ -33,6 +33,16 @@ def vertices(corpus_rows: DataFrame, mentions: DataFrame) -> DataFrame:
     return entities.unionByName(corpus_rows.select("corpus_id", F.col("passage_id").alias("node_id"), F.lit("passage").alias("kind"), F.col("text").alias("content")))
 
 
+def edges_at(edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """Edges (corpus_id, src, dst, ...) with a focus node (question_no, corpus_id, node_id) at either end, each once a question.
+
+    Two joins on a key each instead of one on either key, which no engine can hash.
+    """
+    at = lambda end: edges.join(focus.withColumnRenamed("node_id", end), ["corpus_id", end])
+    columns = ["question_no", *edges.columns]
+    return at("src").select(*columns).unionByName(at("dst").select(*columns)).distinct()
+
+
 def transitions(edges: DataFrame) -> DataFrame:
     """Both directions of each edge with the share of the start's strength: corpus_id, u, v, p. Self loops are dropped."""
     kept = edges.filter(F.col("src") != F.col("dst"))

@@ -61,12 +61,35 @@ def seed_entities(question_entities: DataFrame, mentions: DataFrame) -> DataFram
     return scored.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("question_no", "corpus_id", "asked", "entity", "score")
 
 
+def similar_names(names: DataFrame, least: float = 0.8) -> DataFrame:
+    """corpus_id, first, second, score: pairs of names of a package with a trigram cosine of at least ``least``.
+
+    Two such sets share at least least^2 of the larger one, so each name is looked up by its rarest trigrams only, as
+    many as it could have without sharing one: pairs of names that merely share common trigrams never meet.
+    """
+    grams = names.select("corpus_id", "entity", trigrams(F.col("entity")).alias("t")).select("corpus_id", "entity", "t", F.size("t").alias("n"), F.explode("t").alias("gram"))
+    df = grams.groupBy("corpus_id", "gram").agg(F.count("*").alias("df"))
+    rare = Window.partitionBy("corpus_id", "entity").orderBy("df", "gram")
+    prefix = (
+        grams.join(df, ["corpus_id", "gram"]).withColumn("nth", F.row_number().over(rare))
+        .filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * (least * least) - 1e-9) + 1)
+        .select("corpus_id", "gram", "entity", "t", "n")
+    )
+    prefix = cut(prefix)
+    other = prefix.select("corpus_id", "gram", F.col("entity").alias("second"), F.col("t").alias("t2"), F.col("n").alias("n2"))
+    near = (F.col("entity") < F.col("second")) & (F.col("n") >= F.col("n2") * (least * least) - 1e-9) & (F.col("n2") >= F.col("n") * (least * least) - 1e-9)
+    pairs = prefix.join(other, ["corpus_id", "gram"]).filter(near).dropDuplicates(["corpus_id", "entity", "second"])
+    shared = F.size(F.array_intersect("t", "t2"))
+    root = F.sqrt((F.col("n") * F.col("n2")).cast("double"))
+    return pairs.filter(shared >= least * root - 1e-9).select("corpus_id", F.col("entity").alias("first"), "second", (shared / root).alias("score"))
+
+
 def start_scores(seeds: DataFrame) -> DataFrame:
     """One row per question and seed: several question entities with one seed count by the largest score."""
     return seeds.groupBy("question_no", "corpus_id", "entity").agg(F.max("score").alias("score"))
 
 
-def propagate(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, least: float = 0.05, top_sentences: int = 3, rounds: int = 2) -> Propagated:
+def propagate(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, least: float | Column = 0.05, top_sentences: int = 3, rounds: int = 2) -> Propagated:
     """Set-based propagation from entities over their sentences to entities.
 
     ``mentions``: corpus_id, sentence_id, entity; ``similarity``: question_no, corpus_id, sentence_id, sim. In each

@@ -69,9 +69,9 @@ def _near_sent(queries: DataFrame, rows: DataFrame, k: int | None, least: float
 def _near_paired(queries: DataFrame, rows: DataFrame, n_queries: int, k: int | None, least: float | None) -> DataFrame:
     n_q, n_r = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-rows.count() // ROW_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.groupBy(block(n_q).alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("q")).withColumn("rb", every(n_r).cast("bigint"))
-    r = rows.groupBy(block(n_r).alias("rb")).agg(F.collect_list(F.struct("id", "v")).alias("r")).withColumn("qb", every(n_q).cast("bigint"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = queries.groupBy(block(n_q).alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("q")).withColumn("rb", every(n_r))
+    r = rows.groupBy(block(n_r).alias("rb")).agg(F.collect_list(F.struct("id", "v")).alias("r")).withColumn("qb", every(n_q))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -38,17 +38,76 @@ RANKED = """last AS (SELECT prediction_id, arg_max(struct_pack(corpus_id := corp
 need AS (SELECT DISTINCT r.corpus_id, c.passage_id FROM (SELECT p.corpus_id AS corpus_id, unnest(p.idx[1:1]) AS passage_idx FROM last) r JOIN corpus c USING (corpus_id, passage_idx))"""
 
 
-@query(f"""WITH {CORPUS}, {RANKED}, extra AS (
+BUILT = f"""WITH {CORPUS}, {RANKED}, extra AS (
   SELECT corpus_id, passage_id FROM (SELECT corpus_id, passage_id, row_number() OVER (PARTITION BY corpus_id ORDER BY md5('5:' || passage_id), passage_id) AS nth
     FROM corpus WHERE (corpus_id, passage_id) NOT IN (SELECT corpus_id, passage_id FROM need)) WHERE nth <= 20),
-both_kinds AS (SELECT corpus_id, passage_id, 'required' AS role FROM need UNION ALL SELECT corpus_id, passage_id, 'distractor' FROM extra)
-SELECT corpus_id, passage_id, role, row_number() OVER (PARTITION BY corpus_id ORDER BY md5('5:shuffle:' || passage_id), passage_id) - 1 AS position FROM both_kinds""")
+both_kinds AS (SELECT corpus_id, passage_id, 'required' AS role FROM need UNION ALL SELECT corpus_id, passage_id, 'distractor' FROM extra),
+placed AS (SELECT corpus_id, passage_id, role, row_number() OVER (PARTITION BY corpus_id ORDER BY md5('5:shuffle:' || passage_id), passage_id) - 1 AS position FROM both_kinds)"""
+
+
+def _built(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The corpus, the passage that each ranking has first, and the package constructed of them."""
+    rows = corpus(t.passages)
+    keyed = rows.select("corpus_id", "passage_id", "passage_idx")
+    rankings = latest(t.predictions.select("prediction_id", "loaded_at", "corpus_id", "question_id", "sorted_passage_idx"), ["prediction_id"], ["loaded_at"])
+    firsts = ranked_members(rankings.withColumn("first", F.slice("sorted_passage_idx", 1, 1)), "first", ["corpus_id", "question_id"]).select("corpus_id", "question_id", "passage_idx").distinct()
+    needs = cut(firsts.join(keyed, ["corpus_id", "passage_idx"]).select("corpus_id", "question_id", "passage_id"))
+    return rows, needs, B.constructed_package(needs.select("corpus_id", "passage_id"), keyed, 20, "5")
+
+
+@query(f"{BUILT} SELECT corpus_id, passage_id, role, position FROM placed")
 def constructed_package(t: Tables) -> DataFrame:
     """Passages that some ranking has first, with twenty distractors each package, shuffled."""
-    rows = corpus(t.passages).select("corpus_id", "passage_id", "passage_idx")
-    rankings = latest(t.predictions.select("prediction_id", "loaded_at", "corpus_id", "sorted_passage_idx"), ["prediction_id"], ["loaded_at"])
-    firsts = ranked_members(rankings.withColumn("first", F.slice("sorted_passage_idx", 1, 1)), "first", ["corpus_id"]).select("corpus_id", "passage_idx").distinct()
-    return B.constructed_package(firsts.join(rows, ["corpus_id", "passage_idx"]), rows, 20, "5")
+    return _built(t)[2]
+
+
+@query(f"""{BUILT} SELECT DISTINCT r.corpus_id, r.question_id, p.position FROM (
+  SELECT p.corpus_id AS corpus_id, p.question_id AS question_id, unnest(p.idx[1:1]) AS passage_idx
+  FROM (SELECT prediction_id, arg_max(struct_pack(corpus_id := corpus_id, question_id := question_id, idx := sorted_passage_idx), loaded_at) AS p FROM predictions GROUP BY 1)) r
+JOIN corpus c USING (corpus_id, passage_idx) JOIN placed p ON p.corpus_id = r.corpus_id AND p.passage_id = c.passage_id""")
+def question_positions(t: Tables) -> DataFrame:
+    """Where in the constructed package the passages of each question stand."""
+    _, needs, placed = _built(t)
+    return B.question_positions(needs, placed).select("corpus_id", "question_id", "position").distinct()
+
+
+@query(f"""{BUILT} SELECT corpus_id, count(*) FILTER (WHERE role = 'required') AS n_required, count(*) FILTER (WHERE role = 'distractor') AS n_distractors, count(*) AS n_passages,
+  CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS n_words FROM placed JOIN corpus USING (corpus_id, passage_id) GROUP BY 1""")
+def constructed_statistics(t: Tables) -> DataFrame:
+    """Passages by role, signs and words of each constructed package."""
+    rows, _, placed = _built(t)
+    return B.package_statistics(placed, rows)
+
+
+FRAGMENTS = f"""WITH {CORPUS}, fragment AS (
+  SELECT DISTINCT question_no, corpus_id, fragment FROM (SELECT question_no, corpus_id, unnest(evidence) AS fragment FROM questions WHERE question_no % 100 = 0) WHERE fragment IS NOT NULL),
+held AS (SELECT f.question_no, f.corpus_id, f.fragment, c.passage_id, c.passage_idx FROM fragment f JOIN corpus c USING (corpus_id) WHERE trim(lower(fragment)) <> '' AND contains(lower(text), lower(fragment))),
+matched AS (SELECT f.question_no, f.corpus_id, f.fragment, count(h.passage_id) AS n_matches FROM fragment f LEFT JOIN held h USING (question_no, corpus_id, fragment) GROUP BY 1, 2, 3)"""
+
+
+def _support(t: Tables, rows: DataFrame) -> DataFrame:
+    stated = t.questions.filter(F.col("question_no") % 100 == 0).select("question_no", "corpus_id", F.explode("evidence").alias("fragment")).filter(F.col("fragment").isNotNull())
+    return B.support_passages(stated, rows)
+
+
+@query(f"""{FRAGMENTS} SELECT m.question_no, m.corpus_id, md5(m.fragment) AS fragment_md5, m.n_matches, h.passage_idx FROM matched m LEFT JOIN held h USING (question_no, corpus_id, fragment)""")
+def support_passages(t: Tables) -> DataFrame:
+    """Where the evidence of each stated question stands, and in how many passages: one each, if it is to support a case."""
+    found = _support(t, corpus(t.passages))
+    return found.select("question_no", "corpus_id", F.md5(F.col("fragment").cast("binary")).alias("fragment_md5"), "n_matches", "passage_idx")
+
+
+@query(f"""{FRAGMENTS}, support AS (SELECT DISTINCT question_no, corpus_id, passage_id FROM held JOIN matched USING (question_no, corpus_id, fragment) WHERE n_matches = 1),
+other AS (SELECT s.question_no, c.corpus_id, c.passage_id, row_number() OVER (PARTITION BY s.question_no, c.corpus_id ORDER BY md5('8:' || c.passage_id), c.passage_id) AS nth
+  FROM (SELECT DISTINCT question_no, corpus_id FROM support) s JOIN corpus c USING (corpus_id)
+  WHERE NOT EXISTS (SELECT 1 FROM support x WHERE x.question_no = s.question_no AND x.corpus_id = c.corpus_id AND x.passage_id = c.passage_id)),
+both_kinds AS (SELECT question_no, corpus_id, passage_id, 'support' AS role FROM support UNION ALL SELECT question_no, corpus_id, passage_id, 'distractor' FROM other WHERE nth <= 10)
+SELECT question_no, corpus_id, passage_id, passage_idx, role FROM both_kinds JOIN corpus USING (corpus_id, passage_id)""")
+def case_packages(t: Tables) -> DataFrame:
+    """For each stated question with evidence found once: these passages and ten distractors, by their own numbers."""
+    rows = cut(corpus(t.passages))
+    support = _support(t, rows).filter("n_matches = 1").select("question_no", "corpus_id", "passage_id")
+    return B.case_packages(cut(support), rows, 10, "8")
 
 
 @query("""WITH stated AS (SELECT corpus_id, max(passage_count) AS stated_passages, max(question_count) AS stated_questions FROM package GROUP BY 1),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.functions.text import content_id
 from passagemill.operators import corpus as C
 from passagemill.operators import graph as G
 from passagemill.operators import retrieval as R
@@ -204,26 +207,66 @@ def retrieval_diagnostics(t: Tables) -> DataFrame:
     )
 
 
-GRID = (0.01, 0.05, 0.1, 0.2)
+# The points of either factor; the other one stays at its base.
+THRESHOLDS, WEIGHTS, BASE_WEIGHT = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), (0.01, 0.05, 0.1, 0.5, 1.0, 1.5, 2.0), 0.05
+
+
+def _at_points(rows: DataFrame, n: int) -> DataFrame:
+    """The rows once for each of n points: a question at a point is a question of its own, numbered question_no * n + point."""
+    points = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("point")
+    return rows.select("*", points).withColumn("question_no", F.col("question_no") * n + F.col("point")).drop("point")
+
+
+def _value(points: tuple[float, ...]) -> Column:
+    return F.element_at(F.array(*map(F.lit, points)), (F.col("question_no") % len(points)).cast("int") + 1)
 
 
 @query(" UNION ALL ".join(
     f"(SELECT CAST({d} AS DOUBLE) AS least, CAST({i} AS INTEGER) AS point, * FROM ({S.clauses(*RETRIEVAL, S.propagation(d))} SELECT count(*) AS n_active, count(DISTINCT question_no) AS n_questions FROM active))"
-    for i, d in enumerate(GRID)))
+    for i, d in enumerate(THRESHOLDS)))
 def threshold_grid(t: Tables) -> DataFrame:
-    """One factor at a time: active entities for each value of the threshold, the others fixed."""
+    """One factor at a time: active entities for each value of the threshold, all values in one plan."""
+    n = len(THRESHOLDS)
     asked, rows, said = _asked(t)
-    seeds = cut(R.seed_entities(C.question_entities(asked), C.passage_mentions(rows)))
-    mentions = cut(C.sentence_mentions(said))
-    similarity = cut(R.overlap_similarity(asked, said, "sentence_id", "sentence"))
-    parts = []
-    for i, least in enumerate(GRID):
-        counts = R.propagate(seeds, mentions, similarity, least).active.agg(F.count("*").alias("n_active"), F.count_distinct("question_no").alias("n_questions"))
-        parts.append(counts.select(F.lit(least).alias("least"), F.lit(i).alias("point"), "n_active", "n_questions"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    seeds = R.seed_entities(C.question_entities(asked), C.passage_mentions(rows))
+    similarity = R.overlap_similarity(asked, said, "sentence_id", "sentence")
+    active = R.propagate(_at_points(seeds, n), C.sentence_mentions(said), _at_points(similarity, n), _value(THRESHOLDS)).active
+    points = t.spark.createDataFrame(list(enumerate(THRESHOLDS)), "point int, least double")
+    counts = active.groupBy((F.col("question_no") % n).cast("int").alias("point")).agg(F.count("*").alias("n_active"), F.count_distinct("question_no").alias("n_questions"))
+    return points.join(counts, "point", "left").fillna(0, ["n_active", "n_questions"])
+
+
+@query(" UNION ALL ".join(
+    f"(SELECT CAST({w} AS DOUBLE) AS weight, CAST({i} AS INTEGER) AS point, * FROM ({S.clauses(*RETRIEVAL, S.propagation(), S.priors(weight=w), S.pagerank('total'), recursive=True)} "
+    f"SELECT question_no, passage_id, round(score, 6) AS score, rank FROM (SELECT question_no, passage_id, score, {TOP5} AS rank FROM rank) WHERE rank <= 5))"
+    for i, w in enumerate(WEIGHTS)))
+def weight_grid(t: Tables) -> DataFrame:
+    """The other factor: the five best passages for each weight of passages, all values in one plan."""
+    n = len(WEIGHTS)
+    r = _prepared(t)
+    scaled = _at_points(r.priors, n).withColumn("prior", F.col("prior") * _value(WEIGHTS) / BASE_WEIGHT)
+    moved = R.Propagated(_at_points(r.propagated.weights, n), r.propagated.active, r.propagated.trace)
+    ranks = R.rank_by_graph(replace(r, seeds=_at_points(r.seeds, n), priors=cut(scaled), propagated=moved))
+    best = G.top_passages(ranks).withColumns({"weight": _value(WEIGHTS), "point": (F.col("question_no") % n).cast("int")})
+    return best.select("weight", "point", F.floor(F.col("question_no") / n).cast("bigint").alias("question_no"), "passage_id", F.round("score", 6).alias("score"), "rank")
+
+
+NAMED = """
+, named AS (SELECT DISTINCT q.question_no, q.corpus_id, q.entity AS name, m.entity AS found
+  FROM asked_entity q LEFT JOIN (SELECT DISTINCT corpus_id, entity FROM mention) m ON q.corpus_id = m.corpus_id AND lower(m.entity) = q.entity)"""
+
+
+def _named(t: Tables, mentions: DataFrame) -> DataFrame:
+    """Names of stated questions with their node; a name that the package doesn't know has a null one."""
+    asked = C.question_entities(C.stated_questions(t.questions))
+    known = mentions.select("corpus_id", F.col("entity").alias("found"), F.lower("entity").alias("entity")).distinct()
+    return asked.join(known, ["corpus_id", "entity"], "left").select("question_no", "corpus_id", F.col("entity").alias("name"), content_id("entity", F.col("found")).alias("node_id")).distinct()
+
+
+@query(S.clauses(*BASE, S.QUESTIONS) + NAMED + "SELECT question_no, corpus_id, name, 'entity-' || md5(found) AS node_id FROM named")
+def observed_nodes(t: Tables) -> DataFrame:
+    """The names that stated questions ask for and their nodes, null where there is none."""
+    return _named(t, C.passage_mentions(C.corpus(t.passages)))
 
 
 @query(S.clauses(*BASE, S.QUESTIONS, S.EDGES) + """
@@ -283,6 +326,37 @@ def propagated_sequential(t: Tables) -> DataFrame:
     return moved.active.select("question_no", "entity", F.round("score", 6).alias("score"), "tier")
 
 
+@query(S.clauses(*BASE, S.SENTENCES, S.QUESTIONS, S.EDGES, TRIPLES) + NAMED + """
+, link AS (
+  SELECT corpus_id, src, dst, weight, 'unlabelled' AS kind FROM edge
+  UNION ALL SELECT corpus_id, src, dst, weight, 'unlabelled' FROM adjacent
+  UNION ALL SELECT corpus_id, 'entity-' || md5(subject), 'entity-' || md5(object), CAST(count(*) AS DOUBLE), 'relation' FROM triple WHERE subject <> object GROUP BY 1, 2, 3),
+focus AS (SELECT DISTINCT question_no, corpus_id, 'entity-' || md5(found) AS node FROM named WHERE found IS NOT NULL)
+SELECT DISTINCT f.question_no, l.src, l.dst, l.kind, round(l.weight, 6) AS weight FROM link l JOIN focus f ON f.corpus_id = l.corpus_id AND (l.src = f.node OR l.dst = f.node)""")
+def observed_edges(t: Tables) -> DataFrame:
+    """Edges of any kind with a focus node at either end: relations are labelled, mentions and neighbours aren't."""
+    rows = C.corpus(t.passages)
+    mentions = C.passage_mentions(rows)
+    entity = lambda c: content_id("entity", F.col(c))
+    relations = C.sentence_triples(C.sentences(rows)).filter("subject <> object").groupBy("corpus_id", entity("subject").alias("src"), entity("object").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    plain = G.entity_edges(mentions).unionByName(G.adjacent_edges(rows)).withColumn("kind", F.lit("unlabelled"))
+    focus = _named(t, mentions).filter(F.col("node_id").isNotNull()).select("question_no", "corpus_id", "node_id").distinct()
+    found = G.edges_at(plain.unionByName(relations.withColumn("kind", F.lit("relation"))), focus)
+    return found.select("question_no", "src", "dst", "kind", F.round("weight", 6).alias("weight"))
+
+
+@query(S.clauses(*BASE) + """, gram AS (
+  SELECT corpus_id, entity, len(w) AS n, unnest(w) AS gram FROM (
+    SELECT corpus_id, entity, list_distinct(list_transform(range(1, greatest(length(entity) - 2, 1) + 1), lambda i: substr(lower(entity), i, 3))) AS w
+    FROM (SELECT DISTINCT corpus_id, entity FROM mention)))
+SELECT a.corpus_id, a.entity AS first, b.entity AS second, round(count(*) / sqrt(CAST(a.n * b.n AS DOUBLE)), 6) AS score
+FROM gram a JOIN gram b ON a.corpus_id = b.corpus_id AND a.gram = b.gram AND a.entity < b.entity GROUP BY a.corpus_id, a.entity, b.entity, a.n, b.n
+HAVING count(*) >= 0.8 * sqrt(CAST(a.n * b.n AS DOUBLE)) - 1e-9""")
+def synonym_names(t: Tables) -> DataFrame:
+    """Pairs of distinct names of a package whose sets of trigrams have a cosine of 0.8 or more."""
+    return R.similar_names(C.passage_mentions(C.corpus(t.passages)).select("corpus_id", "entity").distinct()).withColumn("score", F.round("score", 6))
+
+
 @query(S.clauses(*BASE) + r"""SELECT 'passage' AS namespace, count(DISTINCT passage_id) AS n FROM corpus UNION ALL SELECT 'entity', count(DISTINCT md5(entity)) FROM mention""")
 def store_counts(t: Tables) -> DataFrame:
     """Distinct texts of each namespace of the embedding store."""

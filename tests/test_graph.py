@@ -128,3 +128,57 @@ def test_empty_tables(spark, rows, questions):
     parts = C.sentences(none)
     prepared = R.prepare(questions, none, C.passage_mentions(none), parts, C.sentence_mentions(parts), C.question_entities(questions))
     assert R.retrieve(prepared).count() == 0
+
+
+def test_similar_names_against_all_pairs(spark):
+    import random
+
+    from passagemill.operators.retrieval import similar_names
+
+    pick = random.Random(4)
+    base = ["Alda Morvale", "Brenna Castor", "Corin Delamere"]
+    names = set(base)
+    while len(names) < 80:
+        name = list(pick.choice(base))
+        for _ in range(pick.randint(1, 2)):
+            name[pick.randrange(len(name))] = pick.choice("aeiorst")
+        names.add("".join(name))
+    rows = spark.createDataFrame([(c, n) for n in sorted(names) for c in "xy"] + [("x", ""), ("x", "ab")], "corpus_id string, entity string")
+    grams = lambda n: {n.lower()[i : i + 3] for i in range(max(len(n) - 2, 1))}
+    want = {(c, a, b) for c in "xy" for a in names for b in names if a < b and len(grams(a) & grams(b)) >= 0.8 * (len(grams(a)) * len(grams(b))) ** 0.5 - 1e-9}
+    got = similar_names(rows).collect()
+    assert {(r.corpus_id, r.first, r.second) for r in got} == want and len(got) == len(want) > 10
+    assert similar_names(rows.filter("false")).count() == 0
+
+
+def test_names_inside_passages_by_index(spark):
+    from passagemill.operators.retrieval import names_inside
+
+    texts = ["0:Ada Vale and XAda Valery met ada vale.", "1:ada  vale", "2:Bo Li", "3:", "4:Ann"]
+    rows = spark.createDataFrame([("c", f"p{i}", t) for i, t in enumerate(texts)], "corpus_id string, passage_id string, text string")
+    names = spark.createDataFrame([("c", n) for n in ("Ada Vale", "Bo Li", "Ann", "Cy Dun")], "corpus_id string, entity string")
+    got = {(r.passage_id, r.entity): r.n for r in names_inside(rows, names).collect()}
+    assert got == {(f"p{i}", n): t.lower().count(n.lower()) for i, t in enumerate(texts) for n in ("Ada Vale", "Bo Li", "Ann", "Cy Dun") if n.lower() in t.lower()}
+
+
+def test_edges_at_either_end_count_once(spark):
+    from passagemill.operators.graph import edges_at
+
+    edges = spark.createDataFrame([("c", "a", "b", 1.0), ("c", "b", "d", 2.0), ("c", "d", "e", 3.0)], "corpus_id string, src string, dst string, weight double")
+    focus = spark.createDataFrame([(1, "c", "a"), (1, "c", "b"), (2, "c", "d")], "question_no bigint, corpus_id string, node_id string")
+    assert sorted((r.question_no, r.src, r.dst) for r in edges_at(edges, focus).collect()) == [(1, "a", "b"), (1, "b", "d"), (2, "b", "d"), (2, "d", "e")]
+
+
+def test_nearest_in_pairs_of_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from passagemill.operators import similarity as S
+
+    pick = np.random.default_rng(1)
+    vectors = spark.createDataFrame([(i, pick.normal(size=4).tolist()) for i in range(60)] + [(99, None)], "id bigint, v array<double>")
+    queries = vectors.filter("id % 7 = 0")
+    want = sorted(map(tuple, S.nearest(queries, vectors, k=3).collect()))
+    monkeypatch.setattr(S, "SENT_BYTES", 0), monkeypatch.setattr(S, "QUERY_BLOCK", 3), monkeypatch.setattr(S, "ROW_BLOCK", 7)
+    got = sorted(map(tuple, S.nearest(queries, vectors, k=3).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+    assert S.nearest(queries.filter("false"), vectors, k=3).count() == 0

@@ -74,3 +74,26 @@ def test_tfidf_vectors_have_length_one(spark):
 def test_last_version_wins(spark):
     rows = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (2, None, "c")], "id int, version int, value string")
     assert {(r.id, r.value) for r in E.latest(rows, ["id"], ["version"]).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_cases_hold_support_that_stands_once(spark):
+    rows = spark.createDataFrame([("c", f"p{i}", i, f"{i}:Text {i} of the mill") for i in range(30)] + [("d", "p0", 0, "0:Text 1 of the mill")], "corpus_id string, passage_id string, passage_idx bigint, text string")
+    wanted = [(1, "c", "TEXT 7 of"), (1, "c", "of the"), (1, "c", "nowhere"), (1, "c", " "), (2, "d", "text 1"), (1, "c", "TEXT 7 of")]
+    found = B.support_passages(spark.createDataFrame(wanted, "question_no bigint, corpus_id string, fragment string"), rows)
+    n = {(r.question_no, r.fragment): r.n_matches for r in found.collect()}
+    assert n == {(1, "TEXT 7 of"): 1, (1, "of the"): 30, (1, "nowhere"): 0, (1, " "): 0, (2, "text 1"): 1}
+    support = found.filter("n_matches = 1").select("question_no", "corpus_id", "passage_id")
+    cases = B.case_packages(support, rows, 5, "s").collect()
+    assert sorted((r.question_no, r.role) for r in cases) == [(1, "distractor")] * 5 + [(1, "support"), (2, "support")]
+    assert {(r.passage_id, r.passage_idx) for r in cases if r.role == "support"} == {("p7", 7), ("p0", 0)}
+    assert B.case_packages(support.filter("false"), rows, 5, "s").count() == 0
+
+
+def test_questions_know_their_places_in_a_package(spark):
+    rows = spark.createDataFrame([("c", f"p{i}", i, f"{i}:text {i}") for i in range(12)], "corpus_id string, passage_id string, passage_idx bigint, text string")
+    needs = spark.createDataFrame([("c", "p3", "q1"), ("c", "p5", "q1"), ("c", "p3", "q2")], "corpus_id string, passage_id string, question_id string")
+    placed = B.constructed_package(needs, rows, 4, "s")
+    at = {r.passage_id: r.position for r in placed.collect()}
+    assert {(r.question_id, r.position) for r in B.question_positions(needs, placed).collect()} == {("q1", at["p3"]), ("q1", at["p5"]), ("q2", at["p3"])}
+    one = B.package_statistics(placed, rows).first()
+    assert (one.n_required, one.n_distractors, one.n_passages) == (2, 4, 6) and one.n_words == 12

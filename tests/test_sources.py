@@ -143,3 +143,24 @@ def test_streams_take_each_text_once(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(store).collect()) == ["0:a", "1:b", "2:c"]
     hourly_arrivals(passage_stream(spark, folder, schema)).writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("hours").agg(F.sum("n")).first()[0] >= 5
+
+
+def test_packages_are_written_once_and_checked(spark, tmp_path):
+    from passagemill.sources import packages as P
+
+    questions = spark.createDataFrame([("a", "q?")], "id string, question string")
+    passages = spark.createDataFrame([(0, "0:a mill"), (1, None)], "passage_idx bigint, passage string")
+    facts = dict(source_dataset="d", seed=1, question_ids=["a"], source_question_indices=[0], source_questions_mark="x", source_chunks_mark="y", corpus_scope="full")
+    manifest = P.manifest_of(questions, passages, **facts)
+    assert manifest["statistics"] == {"question_count": 1, "passage_count": 2, "character_count": 8, "word_count": 2}
+    folder = (tmp_path / "p").as_uri()
+    with pytest.raises(N.PackageError):
+        P.open_package(spark, folder)
+    assert P.save_package(spark, folder, questions, passages, manifest) and not P.save_package(spark, folder, questions, passages, manifest)
+    with pytest.raises(N.PackageError, match="seed"):
+        P.save_package(spark, folder, questions, passages, {**manifest, "seed": 2})
+    found = P.open_package(spark, folder)
+    assert found[0].count() == 1 and found[2]["corpus_scope"] == "full"
+    passages.limit(1).write.mode("append").parquet(f"{folder}/passages")
+    with pytest.raises(N.PackageError):
+        P.open_package(spark, folder)
