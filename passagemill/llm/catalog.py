@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import oracles
 from passagemill.llm.budget import BudgetState, update_budget
-from passagemill.llm.encode import encode_corpus
+from passagemill.llm.encode import encode_corpus, reencode_edits
 from passagemill.llm.language_id import document_languages, wrong_labels
 from passagemill.llm.packing import pack
 from passagemill.llm.pairs import broken_pairs
@@ -73,6 +73,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_reencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of every document, encoded from what is known of it: how little of the text they encode."""
+    return reencode_edits(table(spark, sf_dir, "documents"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
 
@@ -88,7 +93,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        p1_found, p2_found, p3_token_budget, p3_token_budget_update, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p7_containers, p8_found,
+        p1_found, p2_found, p3_token_budget, p3_token_budget_update, p4_found, p4_quotas, p4_sample, p5_stable_sample, p6_ids, p6_reencoded, p7_containers, p8_found,
         p8_segments,
     )
     return {q.__name__: q for q in found}

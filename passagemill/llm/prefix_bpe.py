@@ -8,6 +8,8 @@ without looking back, and lets an edit reuse all that lies before it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
@@ -20,6 +22,17 @@ PIECE_TABLE = 200_000
 PAIR_TABLE = 2_000_000
 
 
+@dataclass(frozen=True)
+class Encoded:
+    """A text, its ids, where its pre-tokens begin in the text and in the ids, and how many bytes were encoded for it."""
+
+    text: str
+    ids: list[int]
+    starts: list[int]
+    places: list[int]
+    encoded_bytes: int
+
+
 class PrefixEncoder:
     """Encodes with one byte-level vocabulary; see the module's text."""
 
@@ -124,37 +137,53 @@ class PrefixEncoder:
                 add(table.get(p) or piece(p))
         return ids
 
-    def encode_edited(self, old: str, old_ids: list[int], new: str) -> list[int]:
-        """The ids of ``new``, reusing those of ``old`` outside the edited stretch.
+    def encode_with_places(self, text: str) -> Encoded:
+        """The ids of a text, and where each pre-token and its ids begin: what an edit needs later."""
+        ids: list[int] = []
+        starts, places = [], []
+        for m in self.pieces_of.finditer(text):
+            starts.append(m.start())
+            places.append(len(ids))
+            ids.extend(self.piece(m.group()))
+        return Encoded(text, ids, starts, places, len(text.encode("utf-8", "replace")))
+
+    def encode_edited(self, old: Encoded, new: str) -> Encoded:
+        """The encoding of ``new`` from that of ``old``: only pre-tokens near the edit are encoded.
 
         A pre-token depends on the text from its start on, two characters beyond its end included. So pre-tokens that
         end before the edit stay, and once a pre-token of ``new`` starts where one of ``old`` did, behind the edit,
-        the rest stays as well.
+        the rest stays as well. Text appended is an edit at the end. ``encoded_bytes`` says what was encoded.
         """
-        same = 0
-        for a, b in zip(old, new):
-            if a != b:
-                break
-            same += 1
-        tail = 0
-        while tail < min(len(old), len(new)) - same and old[-1 - tail] == new[-1 - tail]:
-            tail += 1
-        shift = len(new) - len(old)
-        keep_ids, keep_to, place = 0, 0, 0
-        starts: dict[int, int] = {}
-        for m in self.pieces_of.finditer(old):
-            if m.start() >= len(old) - tail:
-                starts[m.start() + shift] = place
-            size = len(self.piece(m.group()))
-            if m.end() + 1 < same:
-                keep_ids, keep_to = place + size, m.end()
-            place += size
-        ids = list(old_ids[:keep_ids])
-        for m in self.pieces_of.finditer(new, keep_to):
-            if m.start() in starts:
-                return ids + list(old_ids[starts[m.start()] :])
+        same = _alike(old.text, new, False)
+        tail = min(_alike(old.text, new, True), min(len(old.text), len(new)) - same)
+        shift = len(new) - len(old.text)
+        kept = max(bisect_left(old.starts, same - 1) - 1, 0)
+        begin = old.starts[kept] if kept < len(old.starts) else 0
+        ids = old.ids[: old.places[kept] if kept < len(old.places) else 0]
+        starts, places, encoded = old.starts[:kept], old.places[:kept], 0
+        for m in self.pieces_of.finditer(new, begin):
+            if m.start() >= len(new) - tail:
+                k = bisect_left(old.starts, m.start() - shift)
+                if k < len(old.starts) and old.starts[k] == m.start() - shift:
+                    move = len(ids) - old.places[k]
+                    return Encoded(
+                        new, ids + old.ids[old.places[k] :], starts + [x + shift for x in old.starts[k:]], places + [x + move for x in old.places[k:]], encoded
+                    )
+            starts.append(m.start())
+            places.append(len(ids))
             ids.extend(self.piece(m.group()))
-        return ids
+            encoded += len(m.group().encode("utf-8", "replace"))
+        return Encoded(new, ids, starts, places, encoded)
+
+
+def _alike(a: str, b: str, from_end: bool) -> int:
+    """How many characters two texts share at one side, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        equal = a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] if from_end else a[low:mid] == b[low:mid]
+        low, high = (mid, high) if equal else (low, mid - 1)
+    return low
 
 
 @lru_cache(maxsize=2)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from passagemill.llm.encode import encode_corpus
+from passagemill.llm.encode import encode_corpus, reencode_edits
 from passagemill.llm.prefix_bpe import prefix_encoder
 from passagemill.llm.vocab import batch_encoder, tokenizer_hash
 
@@ -36,7 +36,33 @@ def test_edits_reuse_what_lies_outside_them():
         i = rng.randrange(len(text) + 1)
         j = min(len(text), i + rng.randrange(5))
         new = text[:i] + rng.choice(["", "x", "  ", " 7", "\n", "字"]) + text[j:]
-        assert own.encode_edited(text, own.encode(text), new) == own.encode(new)
+        found = own.encode_edited(own.encode_with_places(text), new)
+        fresh = own.encode_with_places(new)
+        assert found.ids == own.encode(new) and (found.ids, found.starts, found.places) == (fresh.ids, fresh.starts, fresh.places)
+
+
+def test_edits_of_long_texts_encode_only_what_is_near():
+    own = prefix_encoder("byte_bpe_50k")
+    known = own.encode_with_places("The river guild kept three mills, and it's 12 o'clock now. " * 2000)
+    rng = random.Random(5)
+    for _ in range(40):
+        i = rng.randrange(len(known.text))
+        known = own.encode_edited(known, known.text[:i] + rng.choice(["word ", "", "7", " 字"]) + known.text[i + rng.randrange(3) :])
+        assert known.encoded_bytes < 80
+    appended = own.encode_edited(known, known.text + " The end.")
+    assert appended.encoded_bytes < 40
+    assert appended.ids == own.encode(appended.text)
+    assert own.encode_edited(own.encode_with_places(""), "a b").ids == own.encode("a b") and own.encode_edited(known, "").ids == []
+
+
+def test_edited_rows(spark):
+    rows = [(1, None, "x"), (2, "", None), (3, "Hi there, all of you. " * 200, "The new title"), (3, "Hi", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, title string").selectExpr("*", "1 as same")
+    got = reencode_edits(docs).collect()
+    assert len(got) == 4 and all(r.same for r in got)
+    long = next(r for r in got if r.n_bytes > 1000)
+    assert long.encoded_bytes < 100
+    assert reencode_edits(docs.filter("false")).count() == 0
 
 
 def test_every_row_has_ids(spark):
