@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as X
+from passagemill.functions import vectors as V
 from passagemill.operators import judging as J
 from passagemill.plans.registry import Tables, query
+from passagemill.sources.inputs import pending
 
 # Keywords of questions that ask for an attribute.
 ATTRIBUTES = ["year", "town", "name", "dose", "born", "founded", "litres", "bridge"]
@@ -120,3 +122,41 @@ def type_counts(t: Tables) -> DataFrame:
     """Questions of each type, spellings aside."""
     key = X.name_key(F.coalesce("question_type", F.lit("?")))
     return t.questions.select(key.alias("type_key"), "question_no").distinct().groupBy("type_key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH asked AS (SELECT DISTINCT corpus_id, lower(trim(coalesce(id, CAST(source_index AS VARCHAR)), E' \\t\\r\\n')) AS key FROM questions WHERE corpus_id IS NOT NULL),
+done AS (SELECT DISTINCT corpus_id, lower(trim(question_id, E' \\t\\r\\n')) AS key FROM predictions WHERE pred_answer IS NOT NULL AND llm_accuracy IS NOT NULL AND NOT isnan(llm_accuracy))
+SELECT a.corpus_id, a.key FROM asked a WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.corpus_id = a.corpus_id AND d.key = a.key)""")
+def pending_questions(t: Tables) -> DataFrame:
+    """Questions without an answer that has a valid judgement: what a run that is taken up again still has to do."""
+    key = lambda c: F.lower(F.btrim(c, F.lit(X.BLANKS)))
+    item = lambda k: F.struct("corpus_id", k.alias("key"))
+    asked = t.questions.filter(F.col("corpus_id").isNotNull()).select(item(key(F.coalesce("id", F.col("source_index").cast("string")))).alias("item")).distinct()
+    done = t.predictions.select(item(key(F.col("question_id"))).alias("item"), "pred_answer", "llm_accuracy")
+    whole = F.col("pred_answer").isNotNull() & F.col("llm_accuracy").isNotNull() & ~F.isnan("llm_accuracy")
+    return pending(asked, done, "item", whole).select("item.*")
+
+
+@query("""SELECT DISTINCT passage_no, CAST(passage_idx AS VARCHAR) || ':' || regexp_replace(passage, '^\\d+:', '') AS passage,
+ passage IS NOT DISTINCT FROM CAST(passage_idx AS VARCHAR) || ':' || regexp_replace(passage, '^\\d+:', '') AS unchanged FROM passages WHERE passage IS NOT NULL AND passage_idx IS NOT NULL""")
+def numbered_passages(t: Tables) -> DataFrame:
+    """Each passage's text under its place in the package, and whether it was stored so."""
+    p = F.col("passage")
+    rows = t.passages.filter(p.isNotNull() & F.col("passage_idx").isNotNull())
+    text = X.numbered(F.col("passage_idx"), X.chunk_of(p))
+    return rows.select("passage_no", text.alias("passage"), p.eqNullSafe(text).alias("unchanged")).distinct()
+
+
+@query("""SELECT spec_id, replace(CAST(sample_rate AS VARCHAR), '.', 'p') AS slug, spec_id || '-' || replace(CAST(sample_rate AS VARCHAR), '.', 'p') || '-s' || CAST(seed AS VARCHAR) AS run_name FROM sample_specs""")
+def run_names(t: Tables) -> DataFrame:
+    """Names of runs made of their parameters, with p for the point."""
+    slug = X.value_slug(F.col("sample_rate"))
+    return t.sample_specs.select("spec_id", slug.alias("slug"), F.concat("spec_id", F.lit("-"), slug, F.lit("-s"), F.col("seed").cast("string")).alias("run_name"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
+SELECT vec_id, round(sqrt(list_dot_product(e, e)), 5) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first, len(e) AS dimensions FROM v WHERE list_dot_product(e, e) > 0""")
+def unit_vectors(t: Tables) -> DataFrame:
+    """The length of each stored vector, and its first number at length 1."""
+    rows = t.embeddings.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").alias("v"), V.norm(F.col("embedding")).alias("norm")).filter("norm > 0")
+    return rows.select("vec_id", F.round("norm", 5).alias("norm"), F.round(F.element_at(V.unit(F.col("v")), 1), 5).alias("first"), F.size("v").cast("bigint").alias("dimensions"))
