@@ -11,21 +11,32 @@ import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
 
 from passagemill.llm import naive_bayes
 from passagemill.llm.language_id import nameless, sentences_of
+from passagemill.llm.ngrams import BITS, hashed
 from passagemill.llm.refusals import PATTERN, declines
 from passagemill.llm.text_spans import quote_spans
+from passagemill.llm.totals import summed
 
-#: Bounds of the training sample: replies looked at, sentences that decline, and sentences that answer; and the least number of the former.
-TRAIN_REPLIES, TRAIN_DECLINING, TRAIN_ANSWERING, LEAST_DECLINING = 15_000, 2000, 8000, 20
-#: How far above all held-out answering sentences one without a known wording has to be to decline, and how far below all
+#: The least number of sentences that decline to learn from.
+LEAST_DECLINING = 20
+#: How far above held-out answering sentences one without a known wording has to be to decline, and how far below
 #: held-out declining ones a known wording still does; and the letters that a sentence without one needs.
 SLACK, LEAST_LETTERS = 0.25, 9
+#: One held-out sentence in so many may lie beyond these limits: of those that answer, and of those that decline.
+ANSWERS_ABOVE, DECLINES_BELOW = 8000, 2000
+#: Kinds of sentences, and the model's classes.
+ANSWERS, TELLS, DECLINES = 0, 1, 2
+CLASSES = ("answers", "declines")
+#: Scores lie within FARTHEST and are counted in steps.
+FARTHEST, STEP = 20.0, 0.001
+BINS, WIDTH = round(2 * FARTHEST / STEP), (4 << BITS) + 6
 #: Without a model, a sentence that names somebody new declines if so many words at most are left of it.
 FEW_WORDS = 6
 
@@ -102,52 +113,102 @@ def score(model: naive_bayes.NaiveBayes, rests: list[str]) -> np.ndarray:
     return (x[:, 1] - x[:, 0]) / np.maximum(counts, 1)
 
 
+def of_reply(text: str, question: str | None) -> list[tuple[int, str]]:
+    """The sentences of a reply with a known wording: those that decline, and those that tell something with it."""
+    out = []
+    if PATTERN.search(text.lower()):
+        for a, b in sentences_of(text):
+            rest = without_question(text[a:b].strip(), question)
+            if not declines(rest):
+                continue
+            if _tells(rest):
+                out.append((TELLS, rest))
+            elif not new_names(rest) and not any(c.isdigit() for c in rest):
+                out.append((DECLINES, rest))
+    return out
+
+
+def of_answer(text: str, question: str | None) -> list[tuple[int, str]]:
+    """The sentences of a gold answer, or of what is said around one."""
+    rests = (without_question(text[a:b].strip(), question) for a, b in sentences_of(text))
+    return [(ANSWERS, r) for r in rests if len(_LETTER.findall(r)) >= LEAST_LETTERS]
+
+
 def train(replies: Iterable[tuple[str, str | None]], answers: Iterable[tuple[str, str | None]]) -> Refusals:
     """From replies and gold answers, each with its question. Half sets the limits of a model of the other half."""
-    yes, no, told = [], [], []
-    for text, question in islice(replies, TRAIN_REPLIES):
-        if PATTERN.search(text.lower()):
-            for a, b in sentences_of(text):
-                s = text[a:b].strip()
-                rest = without_question(s, question)
-                if not declines(rest):
-                    continue
-                if _tells(rest):
-                    told.append(rest)
-                elif not new_names(rest) and not any(c.isdigit() for c in rest):
-                    yes.append(rest)
-    for text, question in answers:  # gold answers, and what is said around them
-        no += [without_question(text[a:b].strip(), question) for a, b in sentences_of(text)]
-        if len(no) > 2 * TRAIN_ANSWERING:
-            break
-    yes, told = (sorted(x, key=_order)[:TRAIN_DECLINING] for x in (yes, told))
-    no = sorted((n for n in no if len(_LETTER.findall(n)) >= LEAST_LETTERS), key=_order)[:TRAIN_ANSWERING]
-    if len(yes) < LEAST_DECLINING or not no:
+    found = [x for reply in replies for x in of_reply(*reply)] + [x for answer in answers for x in of_answer(*answer)]
+    total, held = np.zeros(WIDTH, np.int64), np.zeros(2 * BINS, np.int64)
+    _count(found, total)
+    halves = _halves(total)
+    if halves is None:
         return Refusals()
-    held: dict[str, list[float]] = {"yes": [], "no": [], "told": []}  # equal texts are on one side
-    for half in (0, 1):
-        side = [[t for t in x if _order(t) // 7 % 2 == half] for x in (yes, no, told)]
-        other = [[t for t in x if _order(t) // 7 % 2 != half] for x in (yes, no, told)]
-        if not all(x for x in (side[0], side[1], other[0], other[1])):
-            continue
-        model = _model(*other)
-        for name, rows in zip(held, side):
-            held[name] += score(model, rows).tolist() if rows else []
-    if not held["yes"]:
+    _hold(found, halves, held)
+    return _limited(total, held)
+
+
+def train_over(found: DataFrame) -> Refusals:
+    """``train`` from all sentences: what kind each is, and what the question leaves of it."""
+    total = summed(found, WIDTH, lambda batch, x: _count(_pairs(batch), x))
+    halves = _halves(total)
+    if halves is None:
         return Refusals()
-    high = max([0.0, *held["no"], *held["told"]]) + SLACK
-    low = min(0.0, min(held["yes"]) - SLACK)
-    return Refusals(_model(yes, no, told), high, low)
+    sent = found.sparkSession.sparkContext.broadcast(halves)
+    held = summed(found, 2 * BINS, lambda batch, x: _hold(_pairs(batch), sent.value, x))
+    sent.unpersist()
+    return _limited(total, held)
+
 
+def _pairs(batch: pa.RecordBatch) -> list[tuple[int, str]]:
+    return list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
-def _model(yes: list[str], no: list[str], told: list[str]) -> naive_bayes.NaiveBayes:
-    texts = [nameless(t) or t for t in (*no, *told, *yes)]
-    return naive_bayes.fit(texts, ["answers"] * (len(no) + len(told)) + ["declines"] * len(yes))
+
+def _count(found: list[tuple[int, str]], total: np.ndarray) -> None:
+    """Adds n-grams by half and class, and the number of sentences by half and kind."""
+    grams, sizes = total[: 4 << BITS].reshape(4, -1), total[4 << BITS :].reshape(2, 3)
+    for half in (0, 1):
+        own = [(kind, rest) for kind, rest in found if _half(rest) == half]
+        if own:
+            h, counts = hashed([nameless(r) or r for _, r in own])
+            labels = [CLASSES[kind == DECLINES] for kind, _ in own]
+            grams[2 * half : 2 * half + 2] += naive_bayes.counted(h, counts, labels, CLASSES)
+            sizes[half] += np.bincount([kind for kind, _ in own], minlength=3)
+
+
+def _halves(total: np.ndarray) -> list[naive_bayes.NaiveBayes | None] | None:
+    """The models of the other half for each half; None where there is too little to learn from."""
+    grams, sizes = total[: 4 << BITS].reshape(2, 2, -1), total[4 << BITS :].reshape(2, 3)
+    if sizes[:, DECLINES].sum() < LEAST_DECLINING or not sizes[:, ANSWERS].sum():
+        return None
+    both = bool((sizes[:, [ANSWERS, DECLINES]] > 0).all())
+    return [naive_bayes.from_counts(grams[1 - half], CLASSES) if both else None for half in (0, 1)]
+
+
+def _hold(found: list[tuple[int, str]], halves: list[naive_bayes.NaiveBayes | None], held: np.ndarray) -> None:
+    """Adds the scores that sentences get from the other half's model: those that answer or tell, and those that decline."""
+    rows = held.reshape(2, BINS)
+    for half, model in enumerate(halves):
+        own = [(kind, rest) for kind, rest in found if _half(rest) == half] if model else []
+        if own:
+            at = np.clip(((score(model, [r for _, r in own]) + FARTHEST) / STEP).astype(np.int64), 0, BINS - 1)
+            np.add.at(rows, (np.array([kind == DECLINES for kind, _ in own], int), at), 1)
+
+
+def _limited(total: np.ndarray, held: np.ndarray) -> Refusals:
+    """The model of both halves, with the scores that but few held-out sentences lie beyond."""
+    answers, declining = held.reshape(2, BINS)
+    if not declining.any():
+        return Refusals()
+    above = answers[::-1].cumsum()[::-1]  # with a score in the bin or above
+    high = STEP * (np.flatnonzero(above > answers.sum() // ANSWERS_ABOVE).max() + 1) - FARTHEST if answers.any() else 0.0
+    below = declining.cumsum()
+    low = STEP * np.flatnonzero(below > declining.sum() // DECLINES_BELOW).min() - FARTHEST
+    grams = total[: 4 << BITS].reshape(2, 2, -1).sum(axis=0)
+    return Refusals(naive_bayes.from_counts(grams, CLASSES), max(0.0, float(high)) + SLACK, min(0.0, float(low) - SLACK))
 
 
-def _order(text: str) -> int:
-    """An order by chance that depends on the text alone."""
-    return zlib.crc32(text.encode("utf-8", "replace"))
+def _half(text: str) -> int:
+    """Equal texts are in one half."""
+    return zlib.crc32(text.encode("utf-8", "replace")) // 7 % 2
 
 
 def refusing(replies: list[tuple[str, str | None]], model: Refusals = Refusals()) -> list[bool]:

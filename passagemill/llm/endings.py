@@ -60,15 +60,24 @@ def _fold(h: int, n: int) -> int:
 
 def fit(texts: list[str]) -> Endings:
     """From complete texts. Every place within a text counts as one where a text could have ended but did not."""
-    final = np.zeros(1 << BITS, np.float32)
-    total = np.zeros(1 << BITS, np.float32)
+    return from_counts(*counted(texts))
+
+
+def from_counts(final: np.ndarray, total: np.ndarray, ends: int, places: int) -> Endings:
+    return Endings(final.astype(np.float32), total.astype(np.float32), ends / places if places else 0.5)
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """n-grams at ends of texts and at any place, the number of texts, and of places; those of all texts are sums."""
+    final = np.zeros(1 << BITS, np.int64)
+    total = np.zeros(1 << BITS, np.int64)
     rows = ["\x02" + "".join("0" if c.isdigit() else c for c in _whole(t)).lower() for t in texts]
     rows = [r for r in rows if len(r) > 1]
     line = "\n".join(rows)
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1].copy()
     n = len(code)
     if n == 0:
-        return Endings(final, total, 0.5)
+        return final, total, 0, 0
     breaks = code == 10
     starts = np.append(0, np.flatnonzero(breaks) + 1)
     h = np.full(n, 0x811C9DC5, np.uint32)
@@ -88,7 +97,7 @@ def fit(texts: list[str]) -> Endings:
             final += np.bincount(x[at_end], minlength=1 << BITS)
         # no n-gram reaches over the start of its text
         alive = alive & (code[order - 1 :][: len(alive)] != 2)
-    return Endings(final, total, len(rows) / max(n, 1))
+    return final, total, len(rows), n + 1
 
 
 def _whole(text: str) -> str:

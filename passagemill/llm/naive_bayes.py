@@ -38,9 +38,17 @@ def fit(texts: list[str], labels: list[str], orders: tuple[int, ...] = ORDERS, b
 
 def _fit(h: np.ndarray, counts: np.ndarray, labels: list[str], orders: tuple[int, ...], bits: int) -> NaiveBayes:
     classes = tuple(sorted(set(labels)))
+    return from_counts(counted(h, counts, labels, classes, bits), classes, orders, bits)
+
+
+def counted(h: np.ndarray, counts: np.ndarray, labels: list[str], classes: tuple[str, ...], bits: int = BITS) -> np.ndarray:
+    """How often each class has each n-gram."""
     place = {c: j for j, c in enumerate(classes)}
     owner = np.repeat(np.array([place[c] for c in labels], np.int64), counts)
-    seen = np.bincount(owner << bits | h.astype(np.int64), minlength=len(classes) << bits).reshape(len(classes), -1)
+    return np.bincount(owner << bits | h.astype(np.int64), minlength=len(classes) << bits).reshape(len(classes), -1)
+
+
+def from_counts(seen: np.ndarray, classes: tuple[str, ...], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> NaiveBayes:
     floor = SMOOTHING / (1 << bits)
     table = np.log((1 - SMOOTHING) * seen / np.maximum(seen.sum(axis=1, keepdims=True), 1) + floor)
     return NaiveBayes(np.ascontiguousarray(table.T.astype(np.float32)), classes, orders, bits)

@@ -19,22 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm import declining, naive_bayes, truncation
-from passagemill.llm.bounded import bounded_sample
+from passagemill.llm import declining, language_counts, naive_bayes, truncation
 from passagemill.llm.language_id import _bare, nameless, readable, sentences_of
 from passagemill.llm.languages import clean_code_column
+from passagemill.llm.totals import dealt
 from passagemill.llm.truncation import CJK as _CJK
-from passagemill.session import spread
-
-#: Bounds of the training samples: labelled texts of each language, and sentences of each.
-TRAIN_TEXTS, TRAIN_SENTENCES = 150, 5
-#: Bounds of the sample of predictions that all other parts are trained on: rows, and bytes of question, gold answer and
-#: answer together, so that at most 90 MB come to the driver at any size of the data.
-TRAIN_ROWS, LONGEST_ROW = 30_000, 3000
-#: Rows repeat; of large tables the share of hashes is taken that holds so many times TRAIN_ROWS rows.
-ROW_SPARE = 4
-#: Bound of the prompts that join the training of the language model, and the least bytes of their answers.
-TRAIN_PAIRS, LONG_ANSWER = 6000, 60
+from passagemill.session import cut, spread
+
+#: The least bytes of an answer that tells the language of its prompt.
+LONG_ANSWER = 60
 #: Parts in which labels are checked, and how much likelier another language must be to drop a label.
 FOLDS, DOUBT = 3, 3.0
 #: Bytes of letters that a response needs to be in a language, and by how much its language must be likelier than the prompt's.
@@ -201,90 +194,84 @@ def _letter_bytes(text: str) -> int:
     return len(_NO_LETTER.sub("", text).encode())
 
 
-def train_languages(texts: DataFrame, pairs: list[tuple[str, str]], text: str = "passage", label: str = "lang", key: str = "passage_no") -> naive_bayes.NaiveBayes:
-    """A naive Bayes model of languages from at most TRAIN_TEXTS labelled texts of each, labels checked, and from prompts."""
-    labelled = texts.select(F.col(key), F.col(text).alias("_text"), clean_code_column(F.col(label)).alias("_lang")).filter(F.length("_text") > 30)
-    rows = bounded_sample(labelled, "_lang", key, TRAIN_TEXTS, "pair-sample").select("_lang", "_text").collect()
-    parts, labels, owners = [], [], []
-    pick = np.random.default_rng(5)
-    for n, (lang, body) in enumerate(sorted({(r[0], readable(r[1])) for r in rows})):
-        spans = [s for s in sentences_of(body) if s[1] - s[0] >= 16]
-        for j in pick.permutation(len(spans))[:TRAIN_SENTENCES]:
-            a, b = spans[j]
-            parts.append(nameless(body[a:b][:300]))
-            labels.append(lang)
-            owners.append(n)
-    if not parts:
-        return naive_bayes.fit(["the"], ["en"])
-    better = naive_bayes.corrected(parts, labels, owners, FOLDS, DOUBT)
-    use = [i for i, c in enumerate(better) if c is not None]
-    parts, labels = [parts[i] for i in use], [better[i] for i in use]
-    return with_prompts(naive_bayes.fit(parts, labels), parts, labels, pairs)
-
-
-def with_prompts(model: naive_bayes.NaiveBayes, parts: list[str], labels: list[str], pairs: list[tuple[str, str]]) -> naive_bayes.NaiveBayes:
-    """The model trained on prompts, too, which are short and worded unlike other texts.
-
-    A prompt gets the language in which it and its long answer are likeliest together: the two mostly agree, and
-    where they don't, a few wrong labels are outweighed by the right ones.
-    """
+def sentence_parts(text: str) -> list[str]:
+    """A text's sentences without names, as far as they have a few signs."""
+    body = readable(text)
+    return [p for a, b in sentences_of(body) if b - a >= 16 and (p := nameless(body[a:b]))]
+
+
+def prompt_parts(pairs: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """Prompts and their answers without names, where both have letters enough."""
     asked = [nameless(readable(q)) for q, _ in pairs]
-    told = [nameless(readable(after_question(a, q)))[:400] for q, a in pairs]
+    told = [nameless(readable(after_question(a, q))) for q, a in pairs]
     use = [i for i in range(len(pairs)) if _letter_bytes(asked[i]) >= 8 and _letter_bytes(told[i]) >= 2 * LEAST_LETTERS]
-    if not use:
-        return model
-    together = model.log_likelihoods([asked[i] for i in use])[0] + model.log_likelihoods([told[i] for i in use])[0]
-    best = [model.classes[j] for j in together.argmax(axis=1)]
-    return naive_bayes.fit(parts + [asked[i] for i in use], labels + best)
+    return [asked[i] for i in use], [told[i] for i in use]
 
 
-Row = tuple[str | None, str | None, str | None]
+def languages_over(texts: DataFrame, predictions: DataFrame, text: str = "passage", label: str = "lang") -> naive_bayes.NaiveBayes:
+    """A naive Bayes model of languages from all labelled texts, labels checked, and from all prompts.
 
+    Prompts are short and worded unlike other texts. A prompt gets the language in which it and a long answer of it are
+    likeliest together: the two mostly agree, and where they don't, a few wrong labels are outweighed by the right ones.
+    """
+    named = texts.select(F.col(text).alias("text"), clean_code_column(F.col(label)).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 30))
+    seen = language_counts.train(dealt(named, "text", "lang").distinct(), sentence_parts, FOLDS, DOUBT)
+    long = predictions.filter((F.length("question") > 0) & (F.octet_length("pred_answer") >= LONG_ANSWER)).select("question", "pred_answer")
+    prompts = dealt(long, "question").groupBy("question").agg(F.min("pred_answer").alias("answer"))
+    return language_counts.with_pairs(seen, prompts, prompt_parts) or naive_bayes.fit(["the"], ["en"])
 
-def sample_rows(predictions: DataFrame) -> list[Row]:
-    """At most TRAIN_ROWS distinct (question, gold answer, answer) of at most LONGEST_ROW bytes, by hash."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("question", "gold_answer", "pred_answer")), F.lit(0))
-    fields = predictions.filter(size <= LONGEST_ROW).select(
-        F.pmod(F.xxhash64("question", "gold_answer", "pred_answer", F.lit("pair-sample")), F.lit(1 << 40)).alias("h"), "question", "gold_answer", "pred_answer"
-    )
-    share = min(1.0, ROW_SPARE * TRAIN_ROWS / max(predictions.count(), 1))
-    once = fields.filter(F.col("h") < share * (1 << 40)).groupBy("h").agg(F.min(F.struct("question", "gold_answer", "pred_answer")).alias("x"))
-    return [tuple(r) for r in once.orderBy("h").limit(TRAIN_ROWS).select("x.*").collect()]
 
+_MARKED = re.compile(r"[^.…\s][.!?。！？]\s*$")
 
-def prompts_in(rows: list[Row]) -> list[tuple[str, str]]:
-    """One long answer of each prompt, at most TRAIN_PAIRS."""
-    once: dict[str, str] = {}
-    for question, _, answer in rows:
-        if question and answer and len(answer.encode()) >= LONG_ANSWER:
-            once.setdefault(question, answer)
-    return list(once.items())[:TRAIN_PAIRS]
 
+def is_whole(text: str, is_gold: bool) -> bool:
+    """Whether a text is taken for complete: gold answers, and answers with a closing mark."""
+    return len(text) > 3 and (is_gold or _MARKED.search(text) is not None)
+
+
+def train_endings(rows: list[tuple[str | None, str | None, str | None]]) -> truncation.Truncation:
+    """From all complete texts of some (question, gold answer, answer), each once."""
+    texts = {g: True for _, g, _ in rows if g}
+    texts |= {a: False for _, _, a in rows if a and a not in texts}
+    return truncation.train([t for t, is_gold in texts.items() if is_whole(t, is_gold)])
 
-_MARKED = re.compile(r"[^.…\s][.!?。！？]\s*$")
 
+def endings_over(predictions: DataFrame) -> truncation.Truncation:
+    """``train_endings`` from a table."""
+    both = predictions.select(F.col("gold_answer").alias("text"), F.lit(True).alias("gold")).unionByName(predictions.select(F.col("pred_answer").alias("text"), F.lit(False).alias("gold")))
+    texts = dealt(both.filter(F.length("text") > 3), "text").groupBy("text").agg(F.max("gold").alias("gold"))
 
-def train_endings(rows: list[Row]) -> truncation.Truncation:
-    """From gold answers, and from answers with a closing mark."""
-    texts = dict.fromkeys(g for _, g, _ in rows if g and len(g) > 3)
-    texts |= dict.fromkeys(a for _, _, a in rows if a and len(a) > 3 and _MARKED.search(a))
-    whole = list(texts)
-    return truncation.train(whole, [s for t in whole for s in truncation.split_ends(t)])
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if is_whole(t, g)], pa.string())], names=["text"])
 
+    return truncation.train_over(cut(texts.mapInArrow(keep, "text string")))
+
+
+def declining_sentences(question: str | None, gold: str | None, answer: str | None) -> list[tuple[int, str]]:
+    """What a prediction has to learn refusals from: replies that don't hold the gold answer; and, without it, those that do.
+
+    Without an answer, it is the gold answer alone.
+    """
+    if not answer:
+        return declining.of_answer(gold, question) if gold else []
+    body = plain_body(after_question(answer, question))
+    return declining.of_answer(body.replace(gold, " "), question) if holds(body, gold) else declining.of_reply(body, question)
+
+
+def refusals_over(predictions: DataFrame) -> declining.Refusals:
+    """From all distinct predictions, and from the gold answer of each question."""
+    fields = predictions.select("question", "gold_answer", "pred_answer")
+    replies = fields.filter((F.length("pred_answer") > 0) & ~F.col("pred_answer").eqNullSafe(F.col("gold_answer")))
+    golds = fields.filter(F.length("gold_answer") > 0).withColumn("pred_answer", F.lit(None).cast("string"))
+    rows = dealt(replies.unionByName(golds), "question", "gold_answer", "pred_answer").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for row in zip(*(c.to_pylist() for c in batch.columns)) for x in declining_sentences(*row)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([r for _, r in found], pa.string())], names=["kind", "rest"])
 
-def train_refusals(rows: list[Row]) -> declining.Refusals:
-    """From answers that don't hold their gold answer; and from gold answers and those that do, without it."""
-    replies, answers = [], []
-    for q, g, a in rows:
-        if g:
-            answers.append((g, q))
-        if a and a != g:
-            body = plain_body(after_question(a, q))
-            if holds(body, g):
-                answers.append((body.replace(g, " "), q))
-            else:
-                replies.append((body, q))
-    return declining.train(replies, answers)
+    return declining.train_over(cut(rows.mapInArrow(run, "kind int, rest string")))
 
 
 def broken_pairs(predictions: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -292,13 +279,11 @@ def broken_pairs(predictions: DataFrame, labelled: DataFrame) -> DataFrame:
 
     Defects are looked for in this order: empty, copies_question, refusal, other_language, truncated. An answer equal
     to its gold answer is none. Null questions and gold answers rule the tests out that need them. Repeated rows of
-    one prediction count once (the smallest defect name, where their texts differ). Models come from bounded samples
-    and are sent to the tasks; all predictions are read whole, and only defects are shuffled.
+    one prediction count once (the smallest defect name, where their texts differ). Models are of fixed size and
+    learned from all rows, whole; they are sent to the tasks.
     """
     context = predictions.sparkSession.sparkContext
-    rows = sample_rows(predictions)
-    languages = train_languages(labelled, prompts_in(rows))
-    model = context.broadcast(PairModel(languages, train_endings(rows), train_refusals(rows)))
+    model = context.broadcast(PairModel(languages_over(labelled, predictions), endings_over(predictions), refusals_over(predictions)))
     unsure = ~F.col("pred_answer").eqNullSafe(F.col("gold_answer")) | F.col("pred_answer").isNull()
     source = predictions.select("prediction_id", "question", "gold_answer", "pred_answer").filter(unsure)
 

@@ -7,19 +7,26 @@ gold answer goes on from there. It is trained on complete texts and on the same
 from __future__ import annotations
 
 import math
+import random
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from passagemill.llm import endings, maxent
+from passagemill.llm.totals import summed
+from passagemill.session import cut
 
 #: Share of responses taken to be broken off beforehand; the odds of training, where half are, have to outweigh it.
 SHARE = 0.25
 #: Cuts made of each complete text.
 CUTS = 3
-#: Bound of the complete texts that are cut; the likelihood of ends is learned from all of the sample.
-TRAIN_CUT = 6000
+#: How strongly the weights are drawn to PRIOR.
+RIDGE = 2.0
 #: Share of training texts that end in dots, as complete ones may and broken off ones often do; share that is wrapped, and in what.
 DOTTED = 0.1
 WRAPPED, WRAPPERS = 0.1, (('{"answer": "', '"}'), ("**", "**"), ("“", "”"), ("(", ")"))
@@ -51,8 +58,8 @@ def left_open(answer: str) -> bool:
     return False
 
 
-def features(body: str, answer: str, gold: str | None, ends: endings.Endings) -> list[float]:
-    """What speaks for and against an end after ``body``, the part of ``answer`` that answers."""
+def signs(body: str, answer: str, gold: str | None, ends: endings.Endings) -> tuple[float, int]:
+    """What speaks for and against an end after ``body``, the part of ``answer`` that answers: the likelihood of an end, and a bit for each sign."""
     text = body.rstrip()
     tail = text.rstrip("\"'”’“»«*_ ")
     last, kind = tail[-1:], script(text)
@@ -64,7 +71,6 @@ def features(body: str, answer: str, gold: str | None, ends: endings.Endings) ->
     words = len(_SPACED_WORD.findall(_LISTED.sub("", tail)))
     short = words < 4 and not (kind == "unspaced" and len(tail) > 12)
     told = _INNER_END.search(tail) is not None  # a sentence that ended before the last one
-    signs = kind == "unspaced"
     inside = at_word = at_sentence = False
     g = (gold or "").strip()
     if len(g) > len(text) > 0 and g.startswith(text):
@@ -73,13 +79,20 @@ def features(body: str, answer: str, gold: str | None, ends: endings.Endings) ->
         inside = not ended and rest[0].isalnum() and text[-1].isalnum() and kind != "unspaced"
         at_word = not ended and not inside
         at_sentence = bool(ended)
-    plain = not (strong or dot or dots or loose)
-    return [
-        1.0, likely, strong, dot, dots, loose, left_open(answer), short, inside, at_word, at_word and short, at_sentence,
-        likely * dot, likely * strong, likely * short, likely * at_sentence, likely * signs, likely * (kind == "other"),
-        signs, kind == "other", plain * likely, short and plain, likely * dots, told and plain, likely * (told and plain),
-        likely * (signs and short), signs and short, likely * (told and signs and plain),
-    ]
+    found = (strong, dot, dots, loose, left_open(answer), short, inside, at_word, at_sentence, told, kind == "unspaced", kind == "other")
+    return likely, sum(1 << k for k, yes in enumerate(found) if yes)
+
+
+def features(likely: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The model's features of many ends, a row each."""
+    strong, dot, dots, loose, opened, short, inside, at_word, at_sentence, told, signs, other = ((bits >> k & 1).astype(bool) for k in range(12))
+    plain = ~(strong | dot | dots | loose)
+    return np.column_stack([
+        np.ones(len(likely)), likely, strong, dot, dots, loose, opened, short, inside, at_word, at_word & short, at_sentence,
+        likely * dot, likely * strong, likely * short, likely * at_sentence, likely * signs, likely * other,
+        signs, other, plain * likely, short & plain, likely * dots, told & plain, likely * (told & plain),
+        likely * (signs & short), signs & short, likely * (told & signs & plain),
+    ])
 
 
 FEATURES = 28
@@ -96,18 +109,26 @@ class Truncation:
         """For each (body, answer, gold answer) whether the answer breaks off."""
         if not rows:
             return []
-        x = np.array([features(*r, self.ends) for r in rows], float)
-        return (x @ self.weights > math.log(1 / SHARE - 1)).tolist()
+        likely, bits = zip(*[signs(*r, self.ends) for r in rows])
+        return (features(np.array(likely), np.array(bits)) @ self.weights > math.log(1 / SHARE - 1)).tolist()
 
 
 def _sentence_ends(text: str) -> set[int]:
     return {m.end() for m in re.finditer(r"(?<=[^\W\d_]{3})[.!?…]+[\"”’»)]*(?=\s|$)|[。！？।؟॥][\"”’»)」』]*", text)}
 
 
-def examples(texts: list[str], ends: endings.Endings, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
-    """Complete texts, with and without their closing mark and their gold answer, and cuts of them."""
-    pick = np.random.default_rng(seed)
-    x, y = [], []
+def half_of(text: str) -> int:
+    """The half that a text is in: what the model learns from was not seen by its likelihood of ends."""
+    return zlib.crc32(text.encode("utf-8", "replace")) // 5 % 2
+
+
+def examples(whole: str, ends: endings.Endings) -> list[tuple[float, int, bool]]:
+    """A complete text, with and without its closing mark and its gold answer, and cuts of it: signs, and whether it is broken off.
+
+    Chance depends on the text alone. An unrelated gold answer would show no sign, so none is given where it isn't the text's own.
+    """
+    out: list[tuple[float, int, bool]] = []
+    pick = random.Random(zlib.crc32(whole.encode("utf-8", "replace")))
 
     def add(text: str, gold: str | None, broken: bool) -> None:
         if text.strip():
@@ -115,52 +136,99 @@ def examples(texts: list[str], ends: endings.Endings, seed: int = 23) -> tuple[n
             if pick.random() < DOTTED:
                 text = answer = text.rstrip(".。 ") + ("..." if pick.random() < 0.7 else "…")
             elif pick.random() < WRAPPED:  # as models often write their answers
-                before, after = WRAPPERS[int(pick.integers(len(WRAPPERS)))]
+                before, after = pick.choice(WRAPPERS)
                 answer = before + text + ("" if broken else after)
                 text = answer if before.startswith("{") else text
-            x.append(features(text, answer, gold, ends))
-            y.append(float(broken))
-
-    for i, whole in enumerate(texts):
-        text = whole.strip()
-        other = texts[int(pick.integers(len(texts)))]
-        bare = text.rstrip(".。") or text
-        stops = sorted(_sentence_ends(text) - {len(text)})
-        for body in (text, bare):
-            add(body, other if pick.random() < 0.5 else None, False)
-        if stops:
-            add(text[: stops[int(pick.integers(len(stops)))]], text, False)
-        if bare != text:
-            add(bare, text, False)
-        done = {len(text), len(bare), *stops, *(s - 1 for s in stops)}
-        for j in range(CUTS):
-            most = min(len(bare), 24) if j == 0 else len(bare)
-            k = int(pick.integers(1, most)) if most > 1 else 0
-            if j == 1 and " " in text[:k]:
-                k = text.rindex(" ", 0, k)
-            while k and text[k - 1].isspace():
-                k -= 1
-            if k == 0 or k in done:
-                continue
-            own = pick.random() < 0.5 or j == 0
-            # a word or two without a gold answer may be a whole answer
-            if own or len(_SPACED_WORD.findall(text[:k])) >= 4 or script(text) == "unspaced" and k > 12:
-                add(text[:k], text if own else None, True)
-    return np.array(x, float), np.array(y)
-
-
-def train(texts: list[str], sentences: list[str]) -> Truncation:
-    """From complete texts and their sentences. What the model learns from was not seen by its likelihood of ends."""
-    ends = endings.fit(sentences)
-    if len(texts) < 20:
+            out.append((*signs(text, answer, gold, ends), broken))
+
+    text = whole.strip()
+    bare = text.rstrip(".。") or text
+    stops = sorted(_sentence_ends(text) - {len(text)})
+    for body in (text, bare):
+        add(body, None, False)
+    if stops:
+        add(text[: pick.choice(stops)], text, False)
+    if bare != text:
+        add(bare, text, False)
+    done = {len(text), len(bare), *stops, *(s - 1 for s in stops)}
+    for j in range(CUTS):
+        most = min(len(bare), 24) if j == 0 else len(bare)
+        k = pick.randrange(1, most) if most > 1 else 0
+        if j == 1 and " " in text[:k]:
+            k = text.rindex(" ", 0, k)
+        while k and text[k - 1].isspace():
+            k -= 1
+        if k == 0 or k in done:
+            continue
+        own = pick.random() < 0.5 or j == 0
+        # a word or two without a gold answer may be a whole answer
+        if own or len(_SPACED_WORD.findall(text[:k])) >= 4 or script(text) == "unspaced" and k > 12:
+            add(text[:k], text if own else None, True)
+    return out
+
+
+#: Fewer complete texts than these are no ground to weigh the signs by.
+LEAST_TEXTS = 20
+
+
+def train(texts: list[str]) -> Truncation:
+    """From complete texts and their sentences."""
+    both = [endings.counted([s for t in texts if half_of(t) == half for s in split_ends(t)]) for half in (0, 1)]
+    ends = endings.from_counts(*(a + b for a, b in zip(*both)))
+    if len(texts) < LEAST_TEXTS:
+        return Truncation(ends)
+    halves = [endings.from_counts(*x) for x in both]
+    found = [e for t in texts for e in examples(t, halves[1 - half_of(t)])]
+    likely, bits, broken = (np.array(x) for x in zip(*found))
+    return Truncation(ends, maxent.fit(features(likely, bits), broken.astype(float), PRIOR, RIDGE))
+
+
+def train_over(texts: DataFrame) -> Truncation:
+    """``train`` from all of the complete texts in the only column, each of which is there once."""
+    size, context = 1 << endings.BITS, texts.sparkSession.sparkContext
+    width = 2 * size + 3  # a half's counts at ends and at any place, its ends, its places and its texts
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        whole = batch.column(0).to_pylist()
+        for half in (0, 1):
+            own = [t for t in whole if half_of(t) == half]
+            if own:
+                x = total[half * width : (half + 1) * width]
+                final, places, *sizes = endings.counted([s for t in own for s in split_ends(t)])
+                x[:size] += final
+                x[size : 2 * size] += places
+                x[2 * size :] += [*sizes, len(own)]
+
+    both = summed(texts, 2 * width, count).reshape(2, width)
+    ends, *halves = (endings.from_counts(x[:size], x[size : 2 * size], int(x[-3]), int(x[-2])) for x in (both.sum(axis=0), *both))
+    if both[:, -1].sum() < LEAST_TEXTS:
         return Truncation(ends)
-    parts = []
-    for half in (0, 1):
-        unseen = [t for i, t in enumerate(texts) if i % 2 == half]
-        known = {t for i, t in enumerate(texts) if i % 2 != half}
-        parts.append(examples(unseen[: TRAIN_CUT // 2], endings.fit([s for t in known for s in split_ends(t)]), 23 + half))
-    x, y = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
-    return Truncation(ends, maxent.fit(x, y, PRIOR, 2.0))
+    unseen = context.broadcast(halves)
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                found = [e for t in whole.column(0).slice(at, 2000).to_pylist() for e in examples(t, unseen.value[1 - half_of(t)])]
+                if found:
+                    likely, bits, broken = zip(*found)
+                    parts = (np.array(likely, np.float64), np.array(bits, np.int16), np.array(broken, np.int8))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["likely", "bits", "broken"])
+
+    shown = cut(texts.mapInArrow(show, "likely binary, bits binary, broken binary"))
+    unseen.unpersist()
+
+    def slopes_at(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + FEATURES + FEATURES * FEATURES)
+            for batch in batches:
+                for likely, bits, broken in zip(*(c.to_pylist() for c in batch.columns)):
+                    x = features(np.frombuffer(likely), np.frombuffer(bits, np.int16))
+                    total += maxent.slopes(x, np.frombuffer(broken, np.int8).astype(float), w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        return np.sum([np.frombuffer(x) for x in shown.mapInArrow(run, "total binary").toArrow().column(0).to_pylist()], axis=0)
+
+    return Truncation(ends, maxent.fit_over(slopes_at, FEATURES, PRIOR, RIDGE))
 
 
 _ENDED = re.compile(r"(?<=[^\W\d_]{3}[.!?])\s+(?=[^\W\d_a-z])|(?<=[。！？।؟])|\n\s*\n")
