@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from passagemill.llm import naive_bayes
 from passagemill.llm.language_id import nameless, sentences_of
 from passagemill.llm.ngrams import BITS, hashed
-from passagemill.llm.refusals import PATTERN, declines
+from passagemill.llm.refusals import ANYWHERE, PATTERN, declines
 from passagemill.llm.text_spans import quote_spans
 from passagemill.llm.totals import summed
 
@@ -116,7 +116,7 @@ def score(model: naive_bayes.NaiveBayes, rests: list[str]) -> np.ndarray:
 def of_reply(text: str, question: str | None) -> list[tuple[int, str]]:
     """The sentences of a reply with a known wording: those that decline, and those that tell something with it."""
     out = []
-    if PATTERN.search(text.lower()):
+    if ANYWHERE.search(text.lower()):
         for a, b in sentences_of(text):
             rest = without_question(text[a:b].strip(), question)
             if not declines(rest):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ ORDERS = (1, 2, 3, 4, 5, 7, 11)
 BITS = 20
 #: What a shorter ending counts for beside a longer one.
 BACKOFF = 1.5
+_FIGURE = re.compile("[0-9]")
 _MARKS = ".!?…。！？｡؟।"
 
 
@@ -33,11 +35,38 @@ class Endings:
         return p
 
 
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        """``probability`` of many texts at once."""
+        longest = ORDERS[-1]
+        bodies = ["\x02" + bare_end(t) for t in texts]
+        line = "".join(b[-longest:][::-1].ljust(longest, "\0") for b in bodies)
+        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), longest)
+        sizes = np.array([len(b) for b in bodies])
+        p = np.full(len(texts), self.base)
+        h = np.full(len(texts), 0x811C9DC5, np.uint32)
+        alive = np.ones(len(texts), bool)
+        for order in range(1, longest + 1):
+            h = (h ^ code[:, order - 1]) * np.uint32(0x01000193)
+            if order in ORDERS:
+                x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                key = ((x ^ (x >> np.uint32(13))) + np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
+                n = self.total[key].astype(float)
+                alive &= (sizes >= order) & (n > 0)
+                p = np.where(alive, (self.final[key] + BACKOFF * p) / (n + BACKOFF), p)
+        return p
+
+
 def bare_end(text: str) -> str:
     """The text in lower case without the marks, quotes and brackets at its end; figures count as zeros."""
     body = text.rstrip().rstrip("\"'”’“»«)]}」』*_ ")
     body = body.rstrip(_MARKS).rstrip("\"'”’“»«」』 ")
-    return "".join("0" if c.isdigit() else c for c in body[-24:]).lower()
+    return zeros(body[-24:]).lower()
+
+
+def zeros(text: str) -> str:
+    if text.isascii():
+        return _FIGURE.sub("0", text)
+    return "".join("0" if c.isdigit() else c for c in text)
 
 
 def _keys(body: str) -> list[int]:
@@ -71,7 +100,7 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
     """n-grams at ends of texts and at any place, the number of texts, and of places; those of all texts are sums."""
     final = np.zeros(1 << BITS, np.int64)
     total = np.zeros(1 << BITS, np.int64)
-    rows = ["\x02" + "".join("0" if c.isdigit() else c for c in _whole(t)).lower() for t in texts]
+    rows = ["\x02" + zeros(_whole(t)).lower() for t in texts]
     rows = [r for r in rows if len(r) > 1]
     line = "\n".join(rows)
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1].copy()

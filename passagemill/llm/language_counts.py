@@ -22,7 +22,7 @@ from passagemill.session import cut
 
 SIZE = len(CODES) << BITS
 #: Documents whose n-grams are in memory at a time.
-SOME = 500
+SOME = 2000
 
 
 def _model(seen: np.ndarray) -> naive_bayes.NaiveBayes | None:
@@ -77,7 +77,7 @@ def train(documents: DataFrame, parts: Callable[[str], list[str]], folds: int, d
                 for fold, h, now, given in _checked(part.column(0).to_pylist(), part.column(1).to_pylist(), sent.value if sent else None, folds, doubt):
                     use = now >= 0
                     slot = 0 if last else fold
-                    np.add.at(total, slot * SIZE + (now[use] << BITS | h[use]), 1)
+                    total[slot * SIZE : (slot + 1) * SIZE] += np.bincount(now[use] << BITS | h[use], minlength=SIZE)
                     if last:  # what no language was found for, under its label
                         np.add.at(total, SIZE + (given[~use] << BITS | h[~use]), 1)
 
@@ -102,8 +102,8 @@ def with_pairs(seen: np.ndarray, pairs: DataFrame, parts: Callable[[list[tuple]]
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        for at in range(0, len(rows), 2 * SOME):
-            first, second = parts(rows[at : at + 2 * SOME])
+        for at in range(0, len(rows), SOME):
+            first, second = parts(rows[at : at + SOME])
             if first:
                 h, counts = hashed(first)
                 best = (sums(sent.value.table, h, counts) + sent.value.log_likelihoods(second)[0]).argmax(axis=1)

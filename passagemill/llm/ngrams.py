@@ -57,7 +57,7 @@ def hashed(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS)
         found.append((x ^ (x >> np.uint32(13))) >> np.uint32(32 - bits))
         owners.append(owner[keep])
     h, owner = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner.astype(np.uint16) if len(texts) < 1 << 16 else owner, kind="stable")  # a radix sort of small numbers
     return h[order], np.bincount(owner, minlength=len(texts)).astype(np.int64)
 
 

@@ -77,11 +77,55 @@ def _split(line: str) -> list[str]:
     return line.strip().split(" | ")
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between the strokes that no bracket holds."""
+    parts, depth, at, start = [], 0, 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif c == "[":
+            at = pattern.index("]", at + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[start:at])
+            start = at + 1
+        at += 1
+    return [*parts, pattern[start:]]
+
+
+def _any(pattern: re.Pattern) -> re.Pattern:
+    """Found wherever ``pattern`` is, though not with the same end: what begins at a word's edge is tried only there."""
+    edge, other, todo = [], [], [pattern.pattern]
+    while todo:
+        for p in _alternatives(todo.pop()):
+            inner = p[3:-1]
+            if p.startswith("(?:") and p.endswith(")") and all(_balanced(x) for x in _alternatives(inner)):
+                todo.append(inner)
+            elif p.startswith("\\b"):
+                edge.append(p[2:])
+            else:
+                other.append(p)
+    parts = [r"\b(?:" + "|".join(edge) + ")"] * bool(edge) + other
+    return re.compile("|".join(parts))
+
+
+def _balanced(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
 PATTERN = _all()
+#: Whether a text has any of the wordings at all.
+ANYWHERE = _any(PATTERN)
 POINTING = re.compile(POINTS_TO)
 
 
 def declines(sentence: str) -> bool:
     """Whether a sentence's wording declines; who is named in it is for the caller to look at."""
     low = sentence.lower()
-    return PATTERN.search(low) is not None and POINTING.search(low) is None
+    return ANYWHERE.search(low) is not None and POINTING.search(low) is None

@@ -58,12 +58,11 @@ def left_open(answer: str) -> bool:
     return False
 
 
-def signs(body: str, answer: str, gold: str | None, ends: endings.Endings) -> tuple[float, int]:
-    """What speaks for and against an end after ``body``, the part of ``answer`` that answers: the likelihood of an end, and a bit for each sign."""
+def signs(body: str, answer: str, gold: str | None) -> tuple[str, int]:
+    """What speaks for and against an end after ``body``, the part of ``answer`` that answers: the text that may end, and a bit for each sign."""
     text = body.rstrip()
     tail = text.rstrip("\"'”’“»«*_ ")
     last, kind = tail[-1:], script(text)
-    likely = max(-12.0, math.log(ends.probability(text) + 1e-9))
     strong = last in STRONG and last != ""
     dots = last == "…" or tail.endswith("..")
     dot = last == "." and not dots
@@ -80,7 +79,11 @@ def signs(body: str, answer: str, gold: str | None, ends: endings.Endings) -> tu
         at_word = not ended and not inside
         at_sentence = bool(ended)
     found = (strong, dot, dots, loose, left_open(answer), short, inside, at_word, at_sentence, told, kind == "unspaced", kind == "other")
-    return likely, sum(1 << k for k, yes in enumerate(found) if yes)
+    return text, sum(1 << k for k, yes in enumerate(found) if yes)
+
+
+def likelihoods(texts: list[str], ends: endings.Endings) -> np.ndarray:
+    return np.maximum(-12.0, np.log(ends.probabilities(texts) + 1e-9))
 
 
 def features(likely: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -109,8 +112,8 @@ class Truncation:
         """For each (body, answer, gold answer) whether the answer breaks off."""
         if not rows:
             return []
-        likely, bits = zip(*[signs(*r, self.ends) for r in rows])
-        return (features(np.array(likely), np.array(bits)) @ self.weights > math.log(1 / SHARE - 1)).tolist()
+        texts, bits = zip(*[signs(*r) for r in rows])
+        return (features(likelihoods(texts, self.ends), np.array(bits)) @ self.weights > math.log(1 / SHARE - 1)).tolist()
 
 
 def _sentence_ends(text: str) -> set[int]:
@@ -122,12 +125,12 @@ def half_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) // 5 % 2
 
 
-def examples(whole: str, ends: endings.Endings) -> list[tuple[float, int, bool]]:
+def examples(whole: str) -> list[tuple[str, int, bool]]:
     """A complete text, with and without its closing mark and its gold answer, and cuts of it: signs, and whether it is broken off.
 
     Chance depends on the text alone. An unrelated gold answer would show no sign, so none is given where it isn't the text's own.
     """
-    out: list[tuple[float, int, bool]] = []
+    out: list[tuple[str, int, bool]] = []
     pick = random.Random(zlib.crc32(whole.encode("utf-8", "replace")))
 
     def add(text: str, gold: str | None, broken: bool) -> None:
@@ -139,7 +142,7 @@ def examples(whole: str, ends: endings.Endings) -> list[tuple[float, int, bool]]
                 before, after = pick.choice(WRAPPERS)
                 answer = before + text + ("" if broken else after)
                 text = answer if before.startswith("{") else text
-            out.append((*signs(text, answer, gold, ends), broken))
+            out.append((*signs(text, answer, gold), broken))
 
     text = whole.strip()
     bare = text.rstrip(".。") or text
@@ -171,6 +174,17 @@ def examples(whole: str, ends: endings.Endings) -> list[tuple[float, int, bool]]
 LEAST_TEXTS = 20
 
 
+def shown(texts: list[str], halves: list[endings.Endings]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all examples of some texts: how likely the other half's texts end there, the signs, and whether it is broken off."""
+    parts = [(np.zeros(0), np.zeros(0, np.int16), np.zeros(0, np.int8))]
+    for half in (0, 1):
+        found = [e for t in texts if half_of(t) == half for e in examples(t)]
+        if found:
+            ended, bits, broken = zip(*found)
+            parts.append((likelihoods(ended, halves[1 - half]), np.array(bits, np.int16), np.array(broken, np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def train(texts: list[str]) -> Truncation:
     """From complete texts and their sentences."""
     both = [endings.counted([s for t in texts if half_of(t) == half for s in split_ends(t)]) for half in (0, 1)]
@@ -178,8 +192,7 @@ def train(texts: list[str]) -> Truncation:
     if len(texts) < LEAST_TEXTS:
         return Truncation(ends)
     halves = [endings.from_counts(*x) for x in both]
-    found = [e for t in texts for e in examples(t, halves[1 - half_of(t)])]
-    likely, bits, broken = (np.array(x) for x in zip(*found))
+    likely, bits, broken = shown(texts, halves)
     return Truncation(ends, maxent.fit(features(likely, bits), broken.astype(float), PRIOR, RIDGE))
 
 
@@ -208,13 +221,10 @@ def train_over(texts: DataFrame) -> Truncation:
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                found = [e for t in whole.column(0).slice(at, 2000).to_pylist() for e in examples(t, unseen.value[1 - half_of(t)])]
-                if found:
-                    likely, bits, broken = zip(*found)
-                    parts = (np.array(likely, np.float64), np.array(bits, np.int16), np.array(broken, np.int8))
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["likely", "bits", "broken"])
+                parts = shown(whole.column(0).slice(at, 2000).to_pylist(), unseen.value)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["likely", "bits", "broken"])
 
-    shown = cut(texts.mapInArrow(show, "likely binary, bits binary, broken binary"))
+    rows = cut(texts.mapInArrow(show, "likely binary, bits binary, broken binary"))
     unseen.unpersist()
 
     def slopes_at(w: np.ndarray) -> np.ndarray:
@@ -226,7 +236,7 @@ def train_over(texts: DataFrame) -> Truncation:
                     total += maxent.slopes(x, np.frombuffer(broken, np.int8).astype(float), w)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-        return np.sum([np.frombuffer(x) for x in shown.mapInArrow(run, "total binary").toArrow().column(0).to_pylist()], axis=0)
+        return np.sum([np.frombuffer(x) for x in rows.mapInArrow(run, "total binary").toArrow().column(0).to_pylist()], axis=0)
 
     return Truncation(ends, maxent.fit_over(slopes_at, FEATURES, PRIOR, RIDGE))
 
