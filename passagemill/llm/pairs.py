@@ -225,8 +225,8 @@ _MARKED = re.compile(r"[^.…\s][.!?。！？]\s*$")
 
 
 def is_whole(text: str, is_gold: bool) -> bool:
-    """Whether a text is taken for complete: gold answers, and answers with a closing mark."""
-    return len(text) > 3 and (is_gold or _MARKED.search(text) is not None)
+    """Whether a text is taken for complete: gold answers, however short, and answers with a closing mark."""
+    return bool(text.strip()) and (is_gold or _MARKED.search(text) is not None)
 
 
 def train_endings(rows: list[tuple[str | None, str | None, str | None]]) -> truncation.Truncation:
@@ -239,7 +239,7 @@ def train_endings(rows: list[tuple[str | None, str | None, str | None]]) -> trun
 def endings_over(predictions: DataFrame) -> truncation.Truncation:
     """``train_endings`` from a table."""
     both = predictions.select(F.col("gold_answer").alias("text"), F.lit(True).alias("gold")).unionByName(predictions.select(F.col("pred_answer").alias("text"), F.lit(False).alias("gold")))
-    texts = dealt(both.filter(F.length("text") > 3), "text").groupBy("text").agg(F.max("gold").alias("gold"))
+    texts = dealt(both.filter(F.length("text") > 0), "text").groupBy("text").agg(F.max("gold").alias("gold"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
