@@ -12,6 +12,8 @@ BITS = 20
 #: What a shorter ending counts for beside a longer one.
 BACKOFF = 1.5
 _FIGURE = re.compile("[0-9]")
+#: What an answer may be wrapped in.
+_OPENING = "\"'“„«「『*_([{ "
 _MARKS = ".!?…。！？｡؟।"
 
 
@@ -58,7 +60,7 @@ class Endings:
 
 def bare_end(text: str) -> str:
     """The text in lower case without the marks, quotes and brackets at its end; figures count as zeros."""
-    body = text.rstrip().rstrip("\"'”’“»«)]}」』*_ ")
+    body = text.strip().lstrip(_OPENING).rstrip("\"'”’“»«)]}」』*_ ")
     body = body.rstrip(_MARKS).rstrip("\"'”’“»«」』 ")
     return zeros(body[-24:]).lower()
 
@@ -130,5 +132,5 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
 
 
 def _whole(text: str) -> str:
-    body = text.strip().rstrip("\"'”’“»«)]}」』*_ ").rstrip(_MARKS).rstrip("\"'”’“»«」』 ")
+    body = text.strip().lstrip(_OPENING).rstrip("\"'”’“»«)]}」』*_ ").rstrip(_MARKS).rstrip("\"'”’“»«」』 ")
     return body.replace("\n", " ")

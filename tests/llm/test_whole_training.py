@@ -61,3 +61,10 @@ def test_languages_come_from_all_sentences_of_all_texts_and_all_prompts(spark, m
 
     all_of_them, less = likely(texts, asked), likely(texts[:-1], [])
     assert all_of_them[0] > less[0] + 5 and all_of_them[1] > less[1] + 5
+
+
+def test_short_and_wrapped_texts_are_complete():
+    rows = [(QUESTION, g, None) for g in ("No", *(f"Nor{a}dan {b}ek" for a in "abcdefgh" for b in "klmnop"))]
+    ends = train_endings(rows).ends
+    assert min(ends.probability(t) for t in ("No", "**No**", "“No”")) > ends.probability("Nor")
+    assert ends.probability("**No**") == ends.probability("No")
