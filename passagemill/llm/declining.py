@@ -7,6 +7,7 @@ of gold answers, and finds wordings that no list has.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from passagemill.llm import naive_bayes
 from passagemill.llm.language_id import nameless, sentences_of
-from passagemill.llm.ngrams import BITS, hashed
+from passagemill.llm.ngrams import BITS, letters_only, scored, tallied
 from passagemill.llm.refusals import ANYWHERE, PATTERN, declines
 from passagemill.llm.text_spans import quote_spans
 from passagemill.llm.totals import summed
@@ -45,13 +46,18 @@ _CJK_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]{2,}")
 _NAME = regex.compile(r"(?<!^)(?<![.!?:]\s)(?<=\s)\p{Lu}\p{L}{2,}")
 _GERMAN = regex.compile(r"\b(?:ich|nicht|keine?|der|die|das|dazu|nichts|bei|es|aus|ohne|angaben)\b", regex.I)
 _DIGIT = regex.compile(r"\d")
-_LETTER = regex.compile(r"[\p{L}\p{M}]")
+#: The least letters of a sentence that declines without a known wording, and of any sentence.
+_LETTERS = regex.compile(rf"(?:[^\p{{L}}\p{{M}}]*+[\p{{L}}\p{{M}}]){{{LEAST_LETTERS}}}")
+_SOME_LETTERS = regex.compile(r"(?:[^\p{L}\p{M}]*+[\p{L}\p{M}]){3}")
+_SPLIT, _SPLIT_ASCII = regex.compile(r"([\p{L}\p{M}]{3,})"), re.compile("([a-zA-Z]{3,})")
 
 
 @lru_cache(maxsize=20_000)
 def asked_words(question: str) -> tuple[frozenset[str], frozenset[str]]:
     """The question's words of four letters or more and its names, in lower case; and its pairs of signs in unspaced scripts."""
-    words = {w.lower() for w in _WORD.findall(question) if len(w) > 3 or w[0].isupper()}
+    words = {w.lower() for w in (_SPLIT_ASCII if question.isascii() else _SPLIT).findall(question) if len(w) > 3 or w[0].isupper()}
+    if question.isascii():
+        return frozenset(words), frozenset()
     pairs = {run[i : i + 3] for run in _CJK_RUN.findall(question) for i in range(len(run) - 2)}
     return frozenset(words), frozenset(pairs)
 
@@ -65,7 +71,9 @@ def without_question(sentence: str, question: str | None) -> str:
     if not question:
         return sentence
     words, pairs = asked_words(question)
-    out = _WORD.sub(lambda m: " " if m.group().lower() in words else m.group(), sentence)
+    bits = (_SPLIT_ASCII if sentence.isascii() else _SPLIT).split(sentence)
+    bits[1::2] = [" " if w.lower() in words else w for w in bits[1::2]]
+    out = "".join(bits)
     if pairs and not out.isascii():
         hit = [False] * len(out)
         for i in range(len(out) - 2):
@@ -98,7 +106,7 @@ class Refusals:
 
 def _says_nothing_new(rest: str) -> bool:
     """Whether a sentence of some length holds neither a figure nor a new name."""
-    return len(_LETTER.findall(rest)) >= LEAST_LETTERS and not new_names(rest) and not _DIGIT.search(rest)
+    return _LETTERS.match(rest) is not None and not new_names(rest) and not _DIGIT.search(rest)
 
 
 def _tells(rest: str) -> bool:
@@ -109,8 +117,8 @@ def _tells(rest: str) -> bool:
 
 def score(model: naive_bayes.NaiveBayes, rests: list[str]) -> np.ndarray:
     """The mean log odds of a sentence's n-grams; 0 where nothing is left."""
-    x, counts = model.log_likelihoods([nameless(r) or r for r in rests])
-    return (x[:, 1] - x[:, 0]) / np.maximum(counts, 1)
+    x, counts = scored(model.table[:, 1] - model.table[:, 0], letters_only([nameless(r) or r for r in rests]))
+    return x / np.maximum(counts, 1)
 
 
 def of_reply(text: str, question: str | None) -> list[tuple[int, str]]:
@@ -131,7 +139,7 @@ def of_reply(text: str, question: str | None) -> list[tuple[int, str]]:
 def of_answer(text: str, question: str | None) -> list[tuple[int, str]]:
     """The sentences of a gold answer, or of what is said around one."""
     rests = (without_question(text[a:b].strip(), question) for a, b in sentences_of(text))
-    return [(ANSWERS, r) for r in rests if len(_LETTER.findall(r)) >= LEAST_LETTERS]
+    return [(ANSWERS, r) for r in rests if _LETTERS.match(r)]
 
 
 def train(replies: Iterable[tuple[str, str | None]], answers: Iterable[tuple[str, str | None]]) -> Refusals:
@@ -168,9 +176,9 @@ def _count(found: list[tuple[int, str]], total: np.ndarray) -> None:
     for half in (0, 1):
         own = [(kind, rest) for kind, rest in found if _half(rest) == half]
         if own:
-            h, counts = hashed([nameless(r) or r for _, r in own])
-            labels = [CLASSES[kind == DECLINES] for kind, _ in own]
-            grams[2 * half : 2 * half + 2] += naive_bayes.counted(h, counts, labels, CLASSES)
+            for declining in (0, 1):
+                if rests := [nameless(r) or r for kind, r in own if (kind == DECLINES) == declining]:
+                    grams[2 * half + declining] += tallied(letters_only(rests))
             sizes[half] += np.bincount([kind for kind, _ in own], minlength=3)
 
 
@@ -222,12 +230,16 @@ def refusing(replies: list[tuple[str, str | None]], model: Refusals = Refusals()
         own = []
         for a, b in sentences_of(body):
             s = body[a:b].strip()
-            if len(_LETTER.findall(s)) >= 3:
+            if _SOME_LETTERS.match(s):
                 own.append(rests.setdefault(without_question(s, question), len(rests)))
         places.append(own)
     declined = model.decline(list(rests)) if rests else []
-    short = [len(_WORD.findall(r)) <= 3 and sum(map(len, _CJK_RUN.findall(r))) <= 6 for r in rests]
-    return [any(declined[i] for i in own) and all(declined[i] or short[i] for i in own) for own in places]
+    rest = list(rests)
+
+    def short(i: int) -> bool:
+        return len(_WORD.findall(rest[i])) <= 3 and sum(map(len, _CJK_RUN.findall(rest[i]))) <= 6
+
+    return [any(declined[i] for i in own) and all(declined[i] or short(i) for i in own) for own in places]
 
 
 def refuses(body: str, question: str | None, model: Refusals = Refusals()) -> bool:

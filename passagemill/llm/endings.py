@@ -100,15 +100,14 @@ def from_counts(final: np.ndarray, total: np.ndarray, ends: int, places: int) ->
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
     """n-grams at ends of texts and at any place, the number of texts, and of places; those of all texts are sums."""
-    final = np.zeros(1 << BITS, np.int64)
-    total = np.zeros(1 << BITS, np.int64)
     rows = ["\x02" + zeros(_whole(t)).lower() for t in texts]
     rows = [r for r in rows if len(r) > 1]
     line = "\n".join(rows)
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1].copy()
     n = len(code)
     if n == 0:
-        return final, total, 0, 0
+        return np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0, 0
+    final, total = [], []
     breaks = code == 10
     starts = np.append(0, np.flatnonzero(breaks) + 1)
     h = np.full(n, 0x811C9DC5, np.uint32)
@@ -121,14 +120,12 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
         if order in ORDERS:
             x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             x = ((x ^ (x >> np.uint32(13))) + np.uint32(order * 0x9E3779B1 & 0xFFFFFFFF)) >> np.uint32(32 - BITS)
-            keep = np.flatnonzero(alive)
-            total += np.bincount(x[keep], minlength=1 << BITS)
+            total.append(x[alive])
             at_end = starts[starts < len(alive)]
-            at_end = at_end[alive[at_end]]
-            final += np.bincount(x[at_end], minlength=1 << BITS)
+            final.append(x[at_end[alive[at_end]]])
         # no n-gram reaches over the start of its text
         alive = alive & (code[order - 1 :][: len(alive)] != 2)
-    return final, total, len(rows), n + 1
+    return np.bincount(np.concatenate(final), minlength=1 << BITS), np.bincount(np.concatenate(total), minlength=1 << BITS), len(rows), n + 1
 
 
 def _whole(text: str) -> str:

@@ -1,28 +1,31 @@
 """Naive Bayes of languages from all labelled texts, whose labels are checked on the way.
 
 Labels are checked as ``naive_bayes.corrected`` does, over counts that are summed where the texts lie: each round
-scores all texts by models of the other parts, and counts their n-grams under the languages that it finds.
+scores all texts by models of the other parts, and moves the n-grams of those that it finds in another language than
+their label's.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from passagemill.llm import naive_bayes
 from passagemill.llm.languages import CODES
 from passagemill.llm.naive_bayes import LEAST_SENTENCE
-from passagemill.llm.ngrams import BITS, hashed, sums
+from passagemill.llm.ngrams import BITS, letters_only, located, scored, tallied
 from passagemill.llm.totals import summed
 from passagemill.session import cut
 
 SIZE = len(CODES) << BITS
-#: Documents whose n-grams are in memory at a time.
-SOME = 2000
+#: Pairs, and signs of documents, that are looked at together.
+SOME, SIGNS = 2000, 1 << 22
 
 
 def _model(seen: np.ndarray) -> naive_bayes.NaiveBayes | None:
@@ -35,58 +38,96 @@ def part_of(texts: list[str], folds: int) -> int:
     return zlib.crc32("\n".join(texts).encode("utf-8", "replace")) % folds
 
 
-def _checked(texts: list[list[str]], labels: list[int], models: list[naive_bayes.NaiveBayes | None] | None, folds: int, doubt: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For some documents of each part: the part, hashes of their n-grams, and the language and label of each n-gram; -1 for no language."""
-    parts = [part_of(t, folds) for t in texts]
-    for fold in range(folds):
-        own = [i for i, p in enumerate(parts) if p == fold]
-        h, counts = hashed([s for i in own for s in texts[i]])
-        if not len(h):
+def _parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SIGNS bytes of its first column."""
+    ends, a, at = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)), 0, 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, at + SIGNS, "right")))
+        yield batch.slice(a, b - a)
+        a, at = b, int(ends[b - 1])
+
+
+def count_given(lines: list[str], folds: list[int], labels: list[int], total: np.ndarray) -> None:
+    """Adds the n-grams of documents, by part and by their label."""
+    groups: dict[tuple[int, int], list[str]] = {}
+    for line, fold, label in zip(lines, folds, labels):
+        groups.setdefault((fold, label), []).append(line)
+    for (fold, label), own in groups.items():
+        at = fold * SIZE + (label << BITS)
+        total[at : at + (1 << BITS)] += tallied("\n".join(own))
+
+
+def count_moved(lines: list[str], folds: list[int], labels: list[int], models: list[naive_bayes.NaiveBayes | None], doubt: float, last: bool, total: np.ndarray) -> None:
+    """Moves the n-grams of sentences that aren't in the language of their document's label to the one found, if any.
+
+    The last time all parts are one, and what no language was found for is added under its label besides.
+    """
+    for fold, model in enumerate(models):
+        own = [i for i, f in enumerate(folds) if f == fold] if model is not None else []
+        if not own:
             continue
-        sizes = [len(texts[i]) for i in own]
+        line = "\n".join([lines[i] for i in own])
+        sizes = [lines[i].count("\n") + 1 for i in own]
         given = np.repeat(np.array([labels[i] for i in own], np.int64), sizes)
-        now = given
-        model = models[fold] if models else None
-        if model is not None:
-            x = sums(model.table, h, counts)
-            x -= np.logaddexp.reduce(x, axis=1, keepdims=True)
-            starts = np.cumsum(sizes) - sizes
-            best = np.repeat(np.add.reduceat(np.maximum(x, LEAST_SENTENCE), starts, axis=0).argmax(axis=1), sizes)
-            unlike = x.max(axis=1) - x[np.arange(len(x)), best] >= doubt
-            now = np.where(unlike, -1, np.array([CODES.index(c) for c in model.classes])[best])
-        yield fold, h.astype(np.int64), np.repeat(now, counts), np.repeat(given, counts)
+        x, counts = scored(model.table, line)
+        x -= np.logaddexp.reduce(x, axis=1, keepdims=True)
+        starts = np.cumsum(sizes) - sizes
+        best = np.repeat(np.add.reduceat(np.maximum(x, LEAST_SENTENCE), starts, axis=0).argmax(axis=1), sizes)
+        unlike = x.max(axis=1) - x[np.arange(len(x)), best] >= doubt
+        now = np.where(unlike, -1, np.array([CODES.index(c) for c in model.classes])[best])
+        moved = np.flatnonzero((now != given) & (counts > 0))
+        if not len(moved):
+            continue
+        each = line.split("\n")
+        slot = total[0 if last else fold * SIZE :]
+        given, now = given[moved] << BITS, now[moved] << BITS
+        for owner, h in located("\n".join([each[i] for i in moved.tolist()])):
+            at, to = given[owner] | h, now[owner] | h
+            np.subtract.at(slot, at, 1)
+            np.add.at(slot, to[to >= 0], 1)
+            if last:
+                np.add.at(total, SIZE + at[to < 0], 1)
 
 
 def train(documents: DataFrame, parts: Callable[[str], list[str]], folds: int, doubt: float, rounds: int = 2) -> np.ndarray:
-    """How often each of CODES has each n-gram, by language, in all documents (text, lang), of which ``parts`` gives what is learned from."""
+    """How often each of CODES has each n-gram, by language, in all documents (text, lang), of which ``parts`` gives what is learned from.
+
+    n-grams are counted under the labels once; each round counts what moves from them to other languages.
+    """
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(parts(t), CODES.index(c)) for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             rows = [r for r in rows if r[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.int32())], names=["parts", "label"])
-
-    rows = cut(documents.mapInArrow(prepare, "parts array<string>, label int"))
-    context, models, sent = documents.sparkSession.sparkContext, None, None
-    for nth in range(rounds + 1):
-        last = nth == rounds
-
-        def count(batch: pa.RecordBatch, total: np.ndarray, sent=sent, last=last) -> None:
-            for at in range(0, batch.num_rows, SOME):
-                part = batch.slice(at, SOME)
-                for fold, h, now, given in _checked(part.column(0).to_pylist(), part.column(1).to_pylist(), sent.value if sent else None, folds, doubt):
-                    use = now >= 0
-                    slot = 0 if last else fold
-                    total[slot * SIZE : (slot + 1) * SIZE] += np.bincount(now[use] << BITS | h[use], minlength=SIZE)
-                    if last:  # what no language was found for, under its label
-                        np.add.at(total, SIZE + (given[~use] << BITS | h[~use]), 1)
-
-        seen = summed(rows, SIZE * (2 if last else folds), count).reshape(-1, len(CODES), 1 << BITS)
-        if sent:
-            sent.unpersist()
-        if not last:
-            whole = seen.sum(axis=0)
-            sent = context.broadcast([_model(whole - seen[fold]) for fold in range(folds)])
+            lines = iter(letters_only([p for own, _ in rows for p in own]).split("\n"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["\n".join(islice(lines, len(own))) for own, _ in rows], pa.string()), pa.array([part_of(own, folds) for own, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.int32())],
+                names=["lines", "part", "label"],
+            )
+
+    rows = cut(documents.mapInArrow(prepare, "lines string, part int, label int"))
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        for some in _parts_of(batch):
+            count_given(*(c.to_pylist() for c in some.columns), total)
+
+    base = seen = summed(rows, SIZE * folds, count).reshape(folds, len(CODES), 1 << BITS)
+    context = documents.sparkSession.sparkContext
+    for nth in range(rounds):
+        last = nth == rounds - 1
+        whole = seen.sum(axis=0)
+        sent = context.broadcast([_model(whole - seen[fold]) for fold in range(folds)])
+
+        def move(batch: pa.RecordBatch, total: np.ndarray, sent=sent, last=last) -> None:
+            for some in _parts_of(batch):
+                count_moved(*(c.to_pylist() for c in some.columns), sent.value, doubt, last, total)
+
+        seen = summed(rows, SIZE * (2 if last else folds), move).reshape(-1, len(CODES), 1 << BITS)
+        sent.unpersist()
+        if last:
+            seen[0] += base.sum(axis=0)
+        else:
+            seen += base
     lost = ~seen[0].any(axis=1)
     seen[0][lost] = seen[1][lost]  # a label keeps its texts rather than none
     return seen[0]
@@ -105,9 +146,10 @@ def with_pairs(seen: np.ndarray, pairs: DataFrame, parts: Callable[[list[tuple]]
         for at in range(0, len(rows), SOME):
             first, second = parts(rows[at : at + SOME])
             if first:
-                h, counts = hashed(first)
-                best = (sums(sent.value.table, h, counts) + sent.value.log_likelihoods(second)[0]).argmax(axis=1)
-                np.add.at(total, np.repeat(place[best], counts) << BITS | h.astype(np.int64), 1)
+                line = letters_only(first)
+                best = place[(scored(sent.value.table, line)[0] + sent.value.log_likelihoods(second)[0]).argmax(axis=1)] << BITS
+                for owner, h in located(line):
+                    np.add.at(total, best[owner] | h, 1)
 
     found = summed(pairs, SIZE, count).reshape(len(CODES), -1)
     sent.unpersist()

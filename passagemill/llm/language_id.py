@@ -78,25 +78,35 @@ _CODE = regex.compile(r"(?:\w+://|www\.)\S+|\S+@\S+|</?[A-Za-z!][^<>]*>|&#?\w+;|
 
 #: Capitalised words within a line are mostly names, which say little about the language around them.
 _NAME = regex.compile(r"(?<=[^\s])(\s+(?:[\p{P}]*))\p{Lu}[\p{Ll}\p{M}'’-]+")
-_FOREIGN_LETTER = regex.compile(r"(?!\p{Latin})\p{L}")
 _LATIN_NAME = regex.compile(r"(?=\p{Lu})\p{Latin}[\p{Latin}\p{M}'’-]*")
 _ALONE = regex.compile(r"[^\p{L}]*\p{Lu}[\p{L}\p{M}]*[^\p{L}]*")
 
 
 _MAYBE_CODE = regex.compile(r"[<&@]|://|\w\.[a-z][a-z\d]")
+_DOTTED = re.compile(r"\.[a-z][a-z\d]")
+# the same for texts of ASCII signs, which these find faster; white space and marks are those of regex
+_CUT_ASCII = re.compile(
+    r"[.!?\t-\r ](?:(?<=[.!?])['\")\]]*()[\t-\r ]+(?=[^\t-\r a-z0-9])|(?<=[\n\t])[\t-\r ]*|(?<=[\x0b-\r ])[\x0b-\r ]*[\n\t][\t-\r ]*|(?<=[\t-\r ])[/|][\t-\r ]+)"
+)
+_NAME_ASCII = re.compile(r"([\t-\r ](?<=[^\t-\r ][\t-\r ])[\t-\r ]*[!-#%-*,-/:;?@\[-\]_{}]*)[A-Z][a-z'-]+")
+_ALONE_ASCII = re.compile(r"[^a-zA-Z]*[A-Z][a-zA-Z]*[^a-zA-Z]*")
+_FOREIGN = regex.compile(r"(?:[\p{Latin}\P{L}]*+\p{L}){3}")
 
 
 def readable(text: str) -> str:
     """The text in composed form without addresses and markup."""
-    if _MAYBE_CODE.search(text):
+    if ("<" in text or "&" in text or "@" in text or "://" in text or _DOTTED.search(text)) and _MAYBE_CODE.search(text):
         text = _CODE.sub(" ", text)
     return text if text.isascii() else unicodedata.normalize("NFC", text)
 
 
 def nameless(sentence: str) -> str:
     """A sentence without its names; one that is nothing but a name or title becomes empty."""
+    if sentence.isascii():
+        left = sentence if sentence[1:].islower() else _NAME_ASCII.sub(r"\1", sentence)
+        return "" if _ALONE_ASCII.fullmatch(left) else left
     left = sentence if sentence[1:].islower() else _NAME.sub(r"\1", sentence)
-    if not left.isascii() and len(_FOREIGN_LETTER.findall(left)) >= 3:
+    if not left.isascii() and _FOREIGN.match(left):
         left = _LATIN_NAME.sub(" ", left)
     return "" if _ALONE.fullmatch(left) else left
 
@@ -276,7 +286,7 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     spans, start = [], 0
     quotes = quote_spans(text)
     opens = [q[0] for q in quotes]
-    for m in _CUT.finditer(text):
+    for m in (_CUT_ASCII if text.isascii() else _CUT).finditer(text):
         end = m.end(m.lastindex) if m.lastindex else m.start()
         if opens:
             k = bisect_right(opens, m.start()) - 1

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from passagemill.llm.ngrams import BITS, ORDERS, hashed, sums
+from passagemill.llm.ngrams import BITS, ORDERS, hashed, letters_only, scored, sums
 
 SMOOTHING = 0.02
 
@@ -22,6 +22,8 @@ class NaiveBayes:
 
     def log_likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text and class; and the number of n-grams of each text."""
+        if texts and (self.orders, self.bits) == (ORDERS, BITS):
+            return scored(self.table, letters_only(texts))
         h, counts = hashed(texts, self.orders, self.bits)
         return sums(self.table, h, counts), counts
 

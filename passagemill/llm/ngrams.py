@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import regex
 
@@ -9,6 +11,8 @@ ORDERS = (1, 2, 3, 4)
 BITS = 17
 #: n-grams scored at a time; bounds the memory of one step.
 CHUNK = 1 << 17
+#: Signs of lines that are looked at together; what is worked on then stays near the processor.
+SIGNS = 1 << 15
 
 _NOISE = regex.compile(r"[^\p{L}\p{M}\n]+")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -61,6 +65,79 @@ def hashed(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS)
     return h[order], np.bincount(owner, minlength=len(texts)).astype(np.int64)
 
 
+def places(code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ORDERS the hash of the n-gram that begins at each sign of ``letters_only``'s lines, and whether one does; the same n-grams as ``hashed``."""
+    breaks = code == 10
+    space = (code == 32) | breaks
+    h = np.zeros(len(code), np.uint32)
+    ok = ~breaks
+    for order in ORDERS:
+        if order > len(code):
+            break
+        shifted = code[order - 1 :]
+        h = h[: len(shifted)] ^ shifted * _MIX[order - 1]
+        h *= np.uint32(0x01000193)
+        h += np.uint32(order)
+        ok = ok[: len(shifted)] & ~breaks[order - 1 :]
+        x = h >> np.uint32(15)
+        x ^= h
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(13)
+        x >>= np.uint32(32 - BITS)
+        yield x, ok & ~space if order == 1 else ok & ~(space[:-1] & space[1:]) if order == 2 else ok
+
+
+def _pieces(line: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of lines, and their codes, in pieces of about SIGNS signs of whole lines."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.append(np.flatnonzero(code == 10), len(code))
+    a = at = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, at + SIGNS, "right")))
+        yield b - a, code[at : ends[b - 1]]
+        a, at = b, int(ends[b - 1]) + 1
+
+
+def tallied(line: str) -> np.ndarray:
+    """How often each n-gram is in some lines of ``letters_only``."""
+    found = np.zeros(1 << BITS, np.int64)
+    for _, code in _pieces(line):
+        if len(code):
+            found += np.bincount(np.concatenate([x[ok] for x, ok in places(code)]), minlength=1 << BITS)
+    return found
+
+
+def located(line: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All n-grams of some lines of ``letters_only``: the number of the line and the hash of each."""
+    first = 0
+    for lines, code in _pieces(line):
+        owner = np.cumsum(code == 10)
+        owner += first
+        first += lines
+        for x, ok in places(code):
+            keep = np.flatnonzero(ok)
+            yield owner[keep], x[keep]
+
+
+def scored(table: np.ndarray, line: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each line of ``letters_only`` the sum of its n-grams' rows in ``table``, and how many it has."""
+    out, sizes = [], []
+    for lines, code in _pieces(line):
+        total, many = np.zeros((lines, *table.shape[1:]), np.float32), np.zeros(lines, np.int64)
+        starts = np.append(0, np.flatnonzero(code == 10) + 1)
+        for x, ok in places(code):
+            keep = np.flatnonzero(ok)
+            at = np.searchsorted(keep, starts)
+            count = np.diff(at, append=len(keep))
+            some = np.flatnonzero(count)
+            if len(some):
+                total[some] += np.add.reduceat(table.take(x[keep], axis=0), at[some], axis=0)
+                many += count
+        out.append(total)
+        sizes.append(many)
+    return np.concatenate(out), np.concatenate(sizes)
+
+
 def sums(table: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each text the sum of its n-grams' rows in ``table``."""
     out = np.zeros((len(counts), table.shape[1]), np.float32)

@@ -49,6 +49,7 @@ _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]|[^\W_]+")
 _NAME = regex.compile(r"(?<!^)(?<![.!?:]\s)(?<=\s)\p{Lu}\p{L}{2,}")
 _SIGN = re.compile(r"[^\W_]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_ASCII_LETTER = {i: None for i in range(128) if not chr(i).isalpha()}
 
 @dataclass(frozen=True)
 class PairModel:
@@ -103,7 +104,7 @@ def copies(answer: str, question: str | None) -> bool:
     if not question:
         return False
     asked, given = words(question), words(_LABEL.sub(" ", answer))
-    if not asked or not given:
+    if not asked or len(given) < COPIED * len(asked):
         return False
     have, want = Counter(given), Counter(asked)
     if sum(min(n, have[w]) for w, n in want.items()) < COPIED * len(asked):
@@ -191,6 +192,8 @@ def _foreign(rows: list[tuple[str | None, str | None, str]], model: PairModel) -
 
 
 def _letter_bytes(text: str) -> int:
+    if text.isascii():
+        return len(text.translate(_NO_ASCII_LETTER))
     return len(_NO_LETTER.sub("", text).encode())
 
 

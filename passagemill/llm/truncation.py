@@ -33,21 +33,32 @@ WRAPPED, WRAPPERS = 0.1, (('{"answer": "', '"}'), ("**", "**"), ("“", "”"),
 STRONG = "!?。！？।؟॥"
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff]")
-_SPACED_WORD = re.compile(r"[^\W_]+")
+_FOUR_WORDS = re.compile(r"[\W_]*+(?:[^\W_]++[\W_]++){3}[^\W_]")
 _GOLD_GOES_ON = re.compile(r"[.!?…。！？।]?[\"”’»)」』]*(?:\s|$)")
-_INNER_END = re.compile(r"[^\W\d_]{2}[.!?…]+[\"”’»)]*\s|[。！？।؟॥]")
+# two letters with marks and white space after them, or a mark that needs none
+_INNER_END = re.compile(r"[.!?…。！？।؟॥](?:(?<=[。！？।؟॥])|(?<=[^\W\d_]{2}[.!?…])[.!?…]*[\"”’»)]*\s)")
 _LISTED = re.compile(r"^[\s\-*•\d.)]+")
 _BRACKETS = (("{", "}"), ("[", "]"), ("(", ")"), ("「", "」"))
 
 
 def script(text: str) -> str:
-    return "unspaced" if CJK.search(text) else "latin" if text.isascii() or not _OTHER_SCRIPT.search(text) else "other"
+    return "latin" if text.isascii() else "unspaced" if CJK.search(text) else "other" if _OTHER_SCRIPT.search(text) else "latin"
+
+
+def _several_words(text: str) -> bool:
+    """Whether there are four words or more."""
+    return _FOUR_WORDS.match(text) is not None
 
 
 def left_open(answer: str) -> bool:
     """Whether a bracket, quotation or emphasis is opened and not closed."""
-    if any(answer.count(a) > answer.count(b) for a, b in _BRACKETS) or answer.count("**") % 2:
+    for a, b in _BRACKETS:
+        if a in answer and answer.count(a) > answer.count(b):
+            return True
+    if "**" in answer and answer.count("**") % 2:
         return True
+    if answer.isascii():
+        return False
     for mark, closing in (("“", "”"), ("«", "»"), ("„", "“”")):
         i = answer.rfind(mark)
         if i < 0 or any(c in answer[i + 1 :] for c in closing):
@@ -67,8 +78,8 @@ def signs(body: str, answer: str, gold: str | None) -> tuple[str, int]:
     dots = last == "…" or tail.endswith("..")
     dot = last == "." and not dots
     loose = last != "" and last in ",;:([{«„–—-/&" and text[-1:] == last
-    words = len(_SPACED_WORD.findall(_LISTED.sub("", tail)))
-    short = words < 4 and not (kind == "unspaced" and len(tail) > 12)
+    listed = _LISTED.match(tail)
+    short = not _several_words(tail[listed.end() :] if listed else tail) and not (kind == "unspaced" and len(tail) > 12)
     told = _INNER_END.search(tail) is not None  # a sentence that ended before the last one
     inside = at_word = at_sentence = False
     g = (gold or "").strip()
@@ -78,8 +89,8 @@ def signs(body: str, answer: str, gold: str | None) -> tuple[str, int]:
         inside = not ended and rest[0].isalnum() and text[-1].isalnum() and kind != "unspaced"
         at_word = not ended and not inside
         at_sentence = bool(ended)
-    found = (strong, dot, dots, loose, left_open(answer), short, inside, at_word, at_sentence, told, kind == "unspaced", kind == "other")
-    return text, sum(1 << k for k, yes in enumerate(found) if yes)
+    found = strong | dot << 1 | dots << 2 | loose << 3 | left_open(answer) << 4 | short << 5 | inside << 6 | at_word << 7 | at_sentence << 8
+    return text, int(found | told << 9 | (kind == "unspaced") << 10 | (kind == "other") << 11)
 
 
 def likelihoods(texts: list[str], ends: endings.Endings) -> np.ndarray:
@@ -116,8 +127,11 @@ class Truncation:
         return (features(likelihoods(texts, self.ends), np.array(bits)) @ self.weights > math.log(1 / SHARE - 1)).tolist()
 
 
+_SENTENCE_END = re.compile(r"[.!?…。！？।؟॥](?:(?<=[^\W\d_]{3}[.!?…])[.!?…]*[\"”’»)]*(?=\s|$)|(?<=[。！？।؟॥])[\"”’»)」』]*)")
+
+
 def _sentence_ends(text: str) -> set[int]:
-    return {m.end() for m in re.finditer(r"(?<=[^\W\d_]{3})[.!?…]+[\"”’»)]*(?=\s|$)|[。！？।؟॥][\"”’»)」』]*", text)}
+    return {m.end() for m in _SENTENCE_END.finditer(text)}
 
 
 def half_of(text: str) -> int:
@@ -165,7 +179,7 @@ def examples(whole: str) -> list[tuple[str, int, bool]]:
             continue
         own = pick.random() < 0.5 or j == 0
         # a word or two without a gold answer may be a whole answer
-        if own or len(_SPACED_WORD.findall(text[:k])) >= 4 or script(text) == "unspaced" and k > 12:
+        if own or _several_words(text[:k]) or script(text) == "unspaced" and k > 12:
             add(text[:k], text if own else None, True)
     return out
 

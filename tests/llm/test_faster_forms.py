@@ -1,10 +1,12 @@
 """What is written twice, once for speed, gives the same."""
 
 import random
+import re
 
 import numpy as np
 
-from passagemill.llm import endings, refusals, sentences
+from passagemill.llm import declining, endings, language_counts, language_id, ngrams, pairs, refusals, sentences, truncation
+from tests.llm.test_language import PHRASES, _text
 from tests.llm.test_pairs import DECLINING
 
 
@@ -42,3 +44,60 @@ def test_probabilities_of_many_ends():
     texts = [*_ascii_texts(), "", "…", "完了しました。", "२३"]
     ends = endings.fit(texts[::2])
     assert (ends.probabilities(texts) == np.array([ends.probability(t) for t in texts])).all()
+
+
+def test_names_cuts_and_question_words_of_ascii_texts():
+    for text in _ascii_texts():
+        assert [(*m.span(), m.lastindex and m.end(m.lastindex)) for m in language_id._CUT_ASCII.finditer(text)] == [(*m.span(), m.lastindex and m.end(m.lastindex)) for m in language_id._CUT.finditer(text)]
+        assert language_id._NAME_ASCII.sub(r"\1", text) == language_id._NAME.sub(r"\1", text)
+        assert bool(language_id._ALONE_ASCII.fullmatch(text)) == bool(language_id._ALONE.fullmatch(text))
+        assert declining._SPLIT_ASCII.split(text) == declining._SPLIT.split(text)
+        assert pairs._letter_bytes(text) == len(pairs._NO_LETTER.sub("", text))
+
+
+def test_words_and_ends_within_texts():
+    inner, ends = re.compile(r"[^\W\d_]{2}[.!?…]+[\"”’»)]*\s|[。！？।؟॥]"), re.compile(r"(?<=[^\W\d_]{3})[.!?…]+[\"”’»)]*(?=\s|$)|[。！？।؟॥][\"”’»)」』]*")
+    for text in [*_ascii_texts(), "完了。」はい", "ab…” c", "कखग।»", "é.é. é!", "“abc?” d"]:
+        assert bool(truncation._INNER_END.search(text)) == bool(inner.search(text))
+        assert truncation._sentence_ends(text) == {m.end() for m in ends.finditer(text)}
+        assert truncation._several_words(text) == (len(re.findall(r"[^\W_]+", text)) >= 4)
+
+
+def test_ngrams_of_lines_are_those_of_texts(monkeypatch):
+    monkeypatch.setattr(ngrams, "SIGNS", 200)  # many pieces
+    texts = [*_ascii_texts()[:500], "", "a", "完了しました。", "२३", *[""] * 9, "x" * 900]
+    table = np.random.default_rng(6).normal(size=(1 << ngrams.BITS, 3)).astype(np.float32)
+    for some in (texts, ["", "b", ""], [""]):
+        h, counts = ngrams.hashed(some)
+        line = ngrams.letters_only(some)
+        sums, sizes = ngrams.scored(table, line)
+        assert (sizes == counts).all() and np.allclose(sums, ngrams.sums(table, h, counts), atol=1e-3)
+        assert (ngrams.tallied(line) == np.bincount(h, minlength=1 << ngrams.BITS)).all()
+        owner, found = (np.concatenate(x) for x in zip(*ngrams.located(line)))
+        assert sorted(zip(owner.tolist(), found.tolist())) == sorted(zip(np.repeat(np.arange(len(some)), counts).tolist(), h.tolist()))
+
+
+def test_moving_sentences_gives_the_counts_of_all_anew():
+    rng = np.random.default_rng(12)
+    langs = list(PHRASES)
+    at = [i % len(langs) for i in range(120)]
+    lines = [ngrams.letters_only([_text(langs[j], rng), _text(langs[(j + (i % 7 == 0)) % len(langs)], rng)]) for i, j in enumerate(at)]
+    labels = [language_counts.CODES.index(langs[(j + (i % 11 == 0)) % len(langs)]) for i, j in enumerate(at)]  # some of them wrong
+    folds = [i % 2 for i in range(120)]
+    base = np.zeros(2 * language_counts.SIZE, np.int64)
+    language_counts.count_given(lines, folds, labels, base)
+    seen = base.reshape(2, len(language_counts.CODES), -1)
+    models = [language_counts._model(seen[1 - fold]) for fold in (0, 1)]
+    moved = np.zeros_like(base)
+    language_counts.count_moved(lines, folds, labels, models, 3.0, False, moved)
+    anew = np.zeros_like(base)
+    for line, fold in zip(lines, folds):
+        own, model = line.split("\n"), models[fold]
+        x, _ = ngrams.scored(model.table, line)
+        x = x - np.logaddexp.reduce(x, axis=1, keepdims=True)
+        best = int(np.maximum(x, language_counts.LEAST_SENTENCE).sum(axis=0).argmax())
+        for s, row in zip(own, x):
+            if row.max() - row[best] < 3.0:
+                j = fold * len(language_counts.CODES) + language_counts.CODES.index(model.classes[best])
+                anew.reshape(-1, 1 << ngrams.BITS)[j] += ngrams.tallied(s)
+    assert moved.any() and (base + moved == anew).all()
