@@ -101,3 +101,31 @@ def test_moving_sentences_gives_the_counts_of_all_anew():
                 j = fold * len(language_counts.CODES) + language_counts.CODES.index(model.classes[best])
                 anew.reshape(-1, 1 << ngrams.BITS)[j] += ngrams.tallied(s)
     assert moved.any() and (base + moved == anew).all()
+
+
+def test_features_of_many_marks():
+    pick = random.Random(7)
+    signs = "abÉß 19 ..!?… \n\"')“”(«»;中。！؟हि。」é.e.g. "
+    texts = [*_ascii_texts(), *("".join(pick.choice(signs) for _ in range(pick.randrange(1, 120))) for _ in range(3000))]
+    model = sentences.train_sentence_model([(t, True) for t in texts[::2]])
+    found = [(t, c) for t in texts for r in sentences.regions_of(t, False) for c in sentences.marks_in(t, r, [])]
+    assert found and (sentences.all_mark_features(model, found) == np.array([sentences.mark_features(model, t, c) for t, c in found], float)).all()
+
+
+def test_gathered_tokens_count_the_same():
+    texts = [*_ascii_texts(), "Σὺν τοῖς ΟΔΟΣ'Α. İSTANBUL İ ΟΔΟΣ", "ÉCOLE Ärger. ÜBER", "ไทย ภาษา ไทย"]
+    at_once, later, gathered = sentences.TokenCounts(), sentences.TokenCounts(), sentences.Gathered()
+    for i, text in enumerate(texts):
+        sentences._read(text, i % 2 == 0, (at_once,))
+        sentences._read(text, i % 2 == 0, (gathered,))
+        if i % 100 == 0 or i + 1 == len(texts):
+            gathered.into(later)
+    assert at_once == later
+
+
+def test_unmarked_words_in_lower_case():
+    signs = [chr(i) for i in range(0x20000) if not 0xD800 <= i < 0xE000]
+    for a, b in zip(signs, signs[1:] + ["a"]):
+        text = f"é{a}{b} {a} x{b}. {a}İ"
+        for t in (text, text[:-1]):
+            assert sentences.unmarked_words(t) == [w.lower() for w in sentences._UNMARKED.findall(t)], repr(t)
