@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from passagemill.llm import naive_bayes
 from passagemill.llm.language_id import nameless, sentences_of
 from passagemill.llm.ngrams import BITS, letters_only, scored, tallied
-from passagemill.llm.refusals import ANYWHERE, PATTERN, declines
+from passagemill.llm.refusals import ANYWHERE, PATTERN, declines, may_decline
 from passagemill.llm.text_spans import quote_spans
 from passagemill.llm.totals import summed
 
@@ -101,7 +101,7 @@ class Refusals:
         if self.model is None:
             return [declines(r) and not _tells(r) for r in rests]
         scores = score(self.model, rests).tolist()
-        return [s > self.low and (declines(r) and not _tells(r) or s > self.high and _says_nothing_new(r)) for s, r in zip(scores, rests)]
+        return [s > self.low and (may and declines(r) and not _tells(r) or s > self.high and _says_nothing_new(r)) for s, may, r in zip(scores, may_decline(rests), rests)]
 
 
 def _says_nothing_new(rest: str) -> bool:

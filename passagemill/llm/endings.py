@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -36,13 +37,12 @@ class Endings:
             p = (float(self.final[key]) + BACKOFF * p) / (n + BACKOFF)
         return p
 
-
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """``probability`` of many texts at once."""
         longest = ORDERS[-1]
-        bodies = ["\x02" + bare_end(t) for t in texts]
-        line = "".join(b[-longest:][::-1].ljust(longest, "\0") for b in bodies)
-        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), longest)
+        bodies = ["\x02" + _last_signs(t).lower() for t in texts]
+        line = "".join([b[-longest:][::-1].ljust(longest, "\0") for b in bodies])
+        code = _zeroed(line).reshape(len(texts), longest)
         sizes = np.array([len(b) for b in bodies])
         p = np.full(len(texts), self.base)
         h = np.full(len(texts), 0x811C9DC5, np.uint32)
@@ -60,9 +60,26 @@ class Endings:
 
 def bare_end(text: str) -> str:
     """The text in lower case without the marks, quotes and brackets at its end; figures count as zeros."""
+    return zeros(_last_signs(text)).lower()
+
+
+def _last_signs(text: str) -> str:
     body = text.strip().lstrip(_OPENING).rstrip("\"'”’“»«)]}」』*_ ")
-    body = body.rstrip(_MARKS).rstrip("\"'”’“»«」』 ")
-    return zeros(body[-24:]).lower()
+    return body.rstrip(_MARKS).rstrip("\"'”’“»«」』 ")[-24:]
+
+
+@lru_cache(maxsize=1)
+def _digits() -> np.ndarray:
+    """Of each sign whether it is a digit; the last ones lie below U+20000."""
+    table = np.zeros(0x110000, bool)
+    table[[i for i in range(0x20000) if chr(i).isdigit()]] = True
+    return table
+
+
+def _zeroed(line: str) -> np.ndarray:
+    """The codes of a line, figures as zeros."""
+    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_digits()[code], np.uint32(48), code)
 
 
 def zeros(text: str) -> str:
@@ -100,10 +117,8 @@ def from_counts(final: np.ndarray, total: np.ndarray, ends: int, places: int) ->
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
     """n-grams at ends of texts and at any place, the number of texts, and of places; those of all texts are sums."""
-    rows = ["\x02" + zeros(_whole(t)).lower() for t in texts]
-    rows = [r for r in rows if len(r) > 1]
-    line = "\n".join(rows)
-    code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1].copy()
+    rows = ["\x02" + body for t in texts if (body := _whole(t))]
+    code = _zeroed("\n".join(rows).lower())[::-1].copy()
     n = len(code)
     if n == 0:
         return np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), 0, 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -14,13 +15,35 @@ CHUNK = 1 << 17
 #: Signs of lines that are looked at together; what is worked on then stays near the processor.
 SIGNS = 1 << 15
 
-_NOISE = regex.compile(r"[^\p{L}\p{M}\n]+")
+_KEPT = regex.compile(r"[\p{L}\p{M}\n]+")
+#: The planes of Unicode that hold signs, other than those for private use.
+_PLANES = ((0, 0x40000), (0xE0000, 0xF0000))
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
+@lru_cache(maxsize=1)
+def _kept() -> np.ndarray:
+    """Of each sign whether it is a letter, a mark or a line break."""
+    table = np.zeros(0x110000, bool)
+    for a, b in _PLANES:
+        for m in _KEPT.finditer(np.arange(a, b, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")):
+            table[a + m.start() : a + m.end()] = True
+    return table
+
+
 def letters_only(texts: list[str]) -> str:
     """The texts in lower case, one a line, with one space for whatever isn't a letter or mark."""
-    return _NOISE.sub(" ", "\n".join(" " + t.replace("\n", " ") + " " for t in texts).lower())
+    line = "\n".join([" " + t.replace("\n", " ") + " " for t in texts]).lower()
+    table, parts, before = _kept(), [], True  # whether the sign before the piece is kept
+    for at in range(0, len(line), SIGNS):
+        code = np.frombuffer(line[at : at + SIGNS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        kept = table[code]
+        first = ~kept
+        first[1:] &= kept[:-1]
+        first[0] &= before
+        before = bool(kept[-1])
+        parts.append(np.where(kept, code, np.uint32(32))[kept | first].tobytes())
+    return b"".join(parts).decode("utf-32-le", "surrogatepass")
 
 
 def hashed(texts: list[str], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from passagemill.llm import declining, language_counts, naive_bayes, truncation
 from passagemill.llm.language_id import _bare, nameless, readable, sentences_of
 from passagemill.llm.languages import clean_code_column
+from passagemill.llm.refusals import may_decline
 from passagemill.llm.totals import dealt
 from passagemill.llm.truncation import CJK as _CJK
 from passagemill.session import cut, spread
@@ -46,6 +47,7 @@ _TAG = re.compile(r"<[^<>]*>")
 _LABEL = re.compile(r"(?:^|\n)\s*[\"'{\[]*\s*(?:thought|thoughts|answer|final answer|response|reasoning|result|output|antwort|gedanke|réponse|respuesta|risposta|resposta|ответ|мысль|antwoord|svar|odpowiedź|cevap|jawaban|відповідь|απάντηση|答案|回答|答え|思考|답변|답|คำตอบ|उत्तर|إجابة|پاسخ)\s*[\"']?\s*[:：]\s*", re.I)
 _INNER_LABEL = re.compile(r"\b(?:thought|answer|final answer)\s*:\s*", re.I)
 _WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]|[^\W_]+")
+_WORD_ASCII = re.compile("[a-z0-9]+")
 _NAME = regex.compile(r"(?<!^)(?<![.!?:]\s)(?<=\s)\p{Lu}\p{L}{2,}")
 _SIGN = re.compile(r"[^\W_]")
 _NO_LETTER = re.compile(r"[\W\d_]+")
@@ -60,8 +62,9 @@ class PairModel:
 
 def words(text: str) -> list[str]:
     """Words in a form that leaves case, accents and width out; single signs in unspaced scripts."""
-    if not text.isascii():
-        text = _bare(unicodedata.normalize("NFKC", text))
+    if text.isascii():
+        return _WORD_ASCII.findall(text.lower())
+    text = _bare(unicodedata.normalize("NFKC", text))
     return _WORD.findall(text.casefold())
 
 
@@ -103,8 +106,9 @@ def copies(answer: str, question: str | None) -> bool:
     """
     if not question:
         return False
-    asked, given = words(question), words(_LABEL.sub(" ", answer))
-    if not asked or len(given) < COPIED * len(asked):
+    asked, given = words(question), words(_LABEL.sub(" ", answer) if ":" in answer or "：" in answer else answer)
+    # no more words than are in both can count for both
+    if not asked or len(given) < COPIED * len(asked) or sum(map(set(asked).__contains__, given)) < COPIED * len(asked):
         return False
     have, want = Counter(given), Counter(asked)
     if sum(min(n, have[w]) for w, n in want.items()) < COPIED * len(asked):
@@ -174,23 +178,30 @@ def _foreign(rows: list[tuple[str | None, str | None, str]], model: PairModel) -
     answer = [False] * len(rows)
     if not check:
         return answer
-    asked = sorted({t for i in check for t in rows[i][:2] if t})
-    place = {q: j for j, q in enumerate(asked)}
-    stripped = [nameless(readable(x)) for x in asked]
     a = model.languages.log_posteriors([told[i] for i in check])
-    q = model.languages.log_posteriors(stripped)
-    enough = [_letter_bytes(t) >= 2 * LEAST_LETTERS for t in stripped]
-    for row, i in zip(a, check):
-        j = place[rows[i][0]]
-        likely = q[j] > q[j].max() - 3
-        g = place.get(rows[i][1])
-        if g is not None and enough[g]:
-            likely = likely | (q[g] > q[g].max() - 3)
+    asked = {x: nameless(readable(x)) for x in dict.fromkeys(rows[i][0] for i in check)}
+    may = _likely(asked, model)
+    # of the gold answers only those matter whose prompt isn't in the response's language
+    unlike = [(row, i) for row, i in zip(a, check) if not may[rows[i][0]][int(row.argmax())]]
+    golds = {x: nameless(readable(x)) for x in dict.fromkeys(rows[i][1] for _, i in unlike if rows[i][1])}
+    may_too = _likely({x: t for x, t in golds.items() if _letter_bytes(t) >= 2 * LEAST_LETTERS}, model)
+    for row, i in unlike:
+        likely = may[rows[i][0]]
+        if rows[i][1] in may_too:
+            likely = likely | may_too[rows[i][1]]
         best = int(row.argmax())
         answer[i] = not likely[best] and float(row[best] - row[likely].max()) > LANGUAGE_MARGIN
     return answer
 
 
+def _likely(texts: dict[str, str], model: PairModel) -> dict[str, np.ndarray]:
+    """For each text, given in a form to be scored, the languages that it may well be in."""
+    if not texts:
+        return {}
+    post = model.languages.log_posteriors(list(texts.values()))
+    return dict(zip(texts, post > post.max(axis=1, keepdims=True) - 3))
+
+
 def _letter_bytes(text: str) -> int:
     if text.isascii():
         return len(text.translate(_NO_ASCII_LETTER))
@@ -256,10 +267,21 @@ def declining_sentences(question: str | None, gold: str | None, answer: str | No
 
     Without an answer, it is the gold answer alone.
     """
-    if not answer:
-        return declining.of_answer(gold, question) if gold else []
-    body = plain_body(after_question(answer, question))
-    return declining.of_answer(body.replace(gold, " "), question) if holds(body, gold) else declining.of_reply(body, question)
+    return declining_sentences_of([(question, gold, answer)])
+
+
+def declining_sentences_of(rows: list[tuple[str | None, str | None, str | None]]) -> list[tuple[int, str]]:
+    """``declining_sentences`` of many predictions."""
+    told: list[tuple[bool, str, str | None]] = []
+    for question, gold, answer in rows:
+        if not answer:
+            told.append((True, gold or "", question))
+            continue
+        body = plain_body(after_question(answer, question))
+        known = holds(body, gold)
+        told.append((known, body.replace(gold, " ") if known else body, question))
+    may = iter(may_decline([text for known, text, _ in told if not known]))
+    return [x for known, text, question in told if known or next(may) for x in (declining.of_answer if known else declining.of_reply)(text, question)]
 
 
 def refusals_over(predictions: DataFrame) -> declining.Refusals:
@@ -271,7 +293,8 @@ def refusals_over(predictions: DataFrame) -> declining.Refusals:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for row in zip(*(c.to_pylist() for c in batch.columns)) for x in declining_sentences(*row)]
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            found = [x for at in range(0, len(rows), 2000) for x in declining_sentences_of(rows[at : at + 2000])]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([r for _, r in found], pa.string())], names=["kind", "rest"])
 
     return declining.train_over(cut(rows.mapInArrow(run, "kind int, rest string")))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Patterns of wordings, by language, in lower case.
 WORDINGS = {
     "en": r"""
@@ -122,9 +125,17 @@ def _balanced(pattern: str) -> bool:
 PATTERN = _all()
 #: Whether a text has any of the wordings at all.
 ANYWHERE = _any(PATTERN)
+#: The same for Arrow, wherever words begin and end: it tells edges of words in ASCII only.
+_LOOSE = PATTERN.pattern.replace("\\b", "")
 POINTING = re.compile(POINTS_TO)
 
 
+def may_decline(texts: list[str]) -> list[bool]:
+    """For each text whether it may hold any of the wordings; where not, it holds none."""
+    low = pa.array([t.lower().encode("utf-8", "replace") for t in texts], pa.binary()).view(pa.string())
+    return pc.match_substring_regex(low, _LOOSE).to_pylist()
+
+
 def declines(sentence: str) -> bool:
     """Whether a sentence's wording declines; who is named in it is for the caller to look at."""
     low = sentence.lower()

@@ -39,6 +39,7 @@ _GOLD_GOES_ON = re.compile(r"[.!?…。！？।]?[\"”’»)」』]*(?:\s|$)")
 _INNER_END = re.compile(r"[.!?…。！？।؟॥](?:(?<=[。！？।؟॥])|(?<=[^\W\d_]{2}[.!?…])[.!?…]*[\"”’»)]*\s)")
 _LISTED = re.compile(r"^[\s\-*•\d.)]+")
 _BRACKETS = (("{", "}"), ("[", "]"), ("(", ")"), ("「", "」"))
+_OPENS = re.compile("[{\\[(「*“«„]")
 
 
 def script(text: str) -> str:
@@ -52,6 +53,8 @@ def _several_words(text: str) -> bool:
 
 def left_open(answer: str) -> bool:
     """Whether a bracket, quotation or emphasis is opened and not closed."""
+    if not _OPENS.search(answer):
+        return False
     for a, b in _BRACKETS:
         if a in answer and answer.count(a) > answer.count(b):
             return True
@@ -74,15 +77,17 @@ def signs(body: str, answer: str, gold: str | None) -> tuple[str, int]:
     text = body.rstrip()
     tail = text.rstrip("\"'”’“»«*_ ")
     last, kind = tail[-1:], script(text)
-    strong = last in STRONG and last != ""
-    dots = last == "…" or tail.endswith("..")
-    dot = last == "." and not dots
-    loose = last != "" and last in ",;:([{«„–—-/&" and text[-1:] == last
-    listed = _LISTED.match(tail)
+    strong = loose = dots = dot = False
+    if last and not last.isalnum():
+        strong = last in STRONG
+        dots = last == "…" or tail.endswith("..")
+        dot = last == "." and not dots
+        loose = last in ",;:([{«„–—-/&" and text[-1:] == last
+    listed = None if tail[:1].isalpha() else _LISTED.match(tail)
     short = not _several_words(tail[listed.end() :] if listed else tail) and not (kind == "unspaced" and len(tail) > 12)
     told = _INNER_END.search(tail) is not None  # a sentence that ended before the last one
     inside = at_word = at_sentence = False
-    g = (gold or "").strip()
+    g = gold.strip() if gold else ""
     if len(g) > len(text) > 0 and g.startswith(text):
         rest = g[len(text) :]
         ended = _GOLD_GOES_ON.match(rest) and (rest[0] in ".!?…。！？।" or text[-1] in ".!?…。！？।") or strong
@@ -191,8 +196,11 @@ LEAST_TEXTS = 20
 def shown(texts: list[str], halves: list[endings.Endings]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all examples of some texts: how likely the other half's texts end there, the signs, and whether it is broken off."""
     parts = [(np.zeros(0), np.zeros(0, np.int16), np.zeros(0, np.int8))]
+    own: tuple[list[str], list[str]] = ([], [])
+    for t in texts:
+        own[half_of(t)].append(t)
     for half in (0, 1):
-        found = [e for t in texts if half_of(t) == half for e in examples(t)]
+        found = [e for t in own[half] for e in examples(t)]
         if found:
             ended, bits, broken = zip(*found)
             parts.append((likelihoods(ended, halves[1 - half]), np.array(bits, np.int16), np.array(broken, np.int8)))
@@ -216,9 +224,10 @@ def train_over(texts: DataFrame) -> Truncation:
     width = 2 * size + 3  # a half's counts at ends and at any place, its ends, its places and its texts
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        whole = batch.column(0).to_pylist()
-        for half in (0, 1):
-            own = [t for t in whole if half_of(t) == half]
+        halves: tuple[list[str], list[str]] = ([], [])
+        for t in batch.column(0).to_pylist():
+            halves[half_of(t)].append(t)
+        for half, own in enumerate(halves):
             if own:
                 x = total[half * width : (half + 1) * width]
                 final, places, *sizes = endings.counted([s for t in own for s in split_ends(t)])

@@ -4,8 +4,9 @@ import random
 import re
 
 import numpy as np
+import regex
 
-from passagemill.llm import declining, endings, language_counts, language_id, ngrams, pairs, refusals, sentences, truncation
+from passagemill.llm import declining, endings, language_counts, language_id, naive_bayes, ngrams, pairs, refusals, sentences, truncation
 from tests.llm.test_language import PHRASES, _text
 from tests.llm.test_pairs import DECLINING
 
@@ -77,6 +78,51 @@ def test_ngrams_of_lines_are_those_of_texts(monkeypatch):
         assert sorted(zip(owner.tolist(), found.tolist())) == sorted(zip(np.repeat(np.arange(len(some)), counts).tolist(), h.tolist()))
 
 
+def _any_texts():
+    pick = random.Random(11)
+    signs = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    common = "abÉßΣσİж中は्ि٣²१ ..!?…\n\t\x1c\xa0“”«»(/—"
+    return ["".join(pick.choice(common) if pick.random() < 0.8 else pick.choice(signs) for _ in range(pick.randrange(80))) for _ in range(2000)]
+
+
+def test_letters_are_told_in_pieces(monkeypatch):
+    monkeypatch.setattr(ngrams, "SIGNS", 7)
+    noise = regex.compile(r"[^\p{L}\p{M}\n]+")
+    for some in (_any_texts(), _ascii_texts(), [], [""], ["--", "a\nb"]):
+        assert ngrams.letters_only(some) == noise.sub(" ", "\n".join(" " + t.replace("\n", " ") + " " for t in some).lower())
+    every = "".join(map(chr, range(0x110000)))
+    assert [m.span() for m in regex.finditer(r"[\p{L}\p{M}\n]+", every)] == [tuple(x) for x in np.flatnonzero(np.diff(ngrams._kept(), prepend=False, append=False)).reshape(-1, 2).tolist()]
+
+
+def test_figures_of_any_script_are_zeros():
+    every = "".join(map(chr, range(0x110000)))
+    assert (endings._zeroed(every) == np.frombuffer(endings.zeros(every).encode("utf-32-le", "surrogatepass"), np.uint32)).all()
+    texts = _any_texts()
+    ends = endings.fit(texts[::2])
+    assert (ends.probabilities(texts) == np.array([ends.probability(t) for t in texts])).all()
+
+
+def test_no_wording_is_left_out():
+    texts = [d.format(n="Ithis Merundek") for d in DECLINING] + _any_texts() + ["Je ne\xa0peux pas", "désolé, cela m’est impossible", "Éi can't", "\ud800 I can't"]
+    may = refusals.may_decline(texts)
+    assert [m for m, t in zip(may, texts) if refusals.ANYWHERE.search(t.lower())].count(False) == 0 and sum(may) < 30
+    rows = [(q, g, a) for q in (None, "Who was Ithis?") for g in (None, "The mill was sold by the guild.") for a in (None, "", "The mill was sold by the guild. I can't say more.", *texts[:11])]
+    assert pairs.declining_sentences_of(rows) == [x for r in rows for x in pairs.declining_sentences_of([r])]
+
+
+def test_gold_answers_are_scored_only_where_the_prompt_tells_another_language(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [_text(c, rng) for c in ("en", "de") for _ in range(40)]
+    model = pairs.PairModel(naive_bayes.fit(texts, ["en"] * 40 + ["de"] * 40), None)
+    scored = []
+    plain = naive_bayes.NaiveBayes.log_posteriors
+    monkeypatch.setattr(naive_bayes.NaiveBayes, "log_posteriors", lambda self, some: (scored.extend(some), plain(self, some))[1])
+    en, de, gold = (" ".join(PHRASES[c][k : k + 3]) for c, k in (("en", 0), ("de", 0), ("de", 2)))
+    asked = "what did she write about the old bridge by the river?"
+    assert pairs._foreign([(asked, gold, en)], model) == [False] and gold not in scored
+    assert pairs._foreign([(asked, None, de), (asked, gold, de)], model) == [True, False] and gold in scored
+
+
 def test_moving_sentences_gives_the_counts_of_all_anew():
     rng = np.random.default_rng(12)
     langs = list(PHRASES)
