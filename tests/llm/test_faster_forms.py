@@ -1,7 +1,10 @@
 """What is written twice, once for speed, gives the same."""
 
+import gc
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import regex
@@ -175,3 +178,35 @@ def test_unmarked_words_in_lower_case():
         text = f"é{a}{b} {a} x{b}. {a}İ"
         for t in (text, text[:-1]):
             assert sentences.unmarked_words(t) == [w.lower() for w in sentences._UNMARKED.findall(t)], repr(t)
+
+
+def test_words_of_many_texts_are_counted_at_once(monkeypatch):
+    signs = [chr(i) for i in range(0x20000)]
+    texts = [*_ascii_texts(), "", "...", *(f"é{a}{b} {a} x{b}. {a}İ"[: None if i % 50 == 0 else -1] for i, (a, b) in enumerate(zip(signs, signs[1:] + ["a"])))]
+    single = Counter(w for t in texts for w in sentences.unmarked_words(t))
+    assert sentences.counted_unmarked(texts) == single and len(single) > 50_000
+    assert sentences.counted_unmarked([]) == sentences.counted_unmarked(["", "1. 2!"]) == {}
+    gathered, counts, read = sentences.Gathered(), sentences.TokenCounts(), []
+    plain = sentences.unmarked_words
+    monkeypatch.setattr(sentences, "unmarked_words", lambda text: read.append(text) or plain(text))
+    for text in ("Nobody knew why.", "Никто не знал.", "ΟΔΟΣ ΟΔΟΣ."):
+        sentences._read(text, False, (gathered,))
+    gathered.into(counts)
+    assert counts.unmarked == {"nobody": 1, "knew": 1, "никто": 1, "не": 1, "οδος": 1} and read == ["ΟΔΟΣ ΟΔΟΣ."]
+
+
+def test_lines_that_begin_with_a_letter_have_no_marker():
+    signs = "aéZ①५5)）(.-•、 \u3000"
+    for line in ("".join(x) for x in itertools.product(signs, repeat=4)):
+        m = sentences._NUMBERED.match(line)
+        number = m is not None and (m.group(1) is None or int(m.group(1)) == 1) and len(line) > m.end()
+        assert [r.kind for r in sentences.regions_of(line, False)] == ([] if not line.strip() else ["entry" if number else "text"])
+
+
+def test_no_search_for_cycles_while_texts_are_read():
+    run = sentences.uncollected(lambda batches: (gc.isenabled() for _ in batches))
+    assert gc.isenabled() and list(run(iter([1, 2]))) == [False, False] and gc.isenabled()
+    some = run(iter([1, 2]))
+    next(some)
+    some.close()
+    assert gc.isenabled()
